@@ -1,0 +1,151 @@
+"""Scalars, the gate, streams and tables, by examples."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from civicframe.functions import arrow
+from civicframe.functions import domain as dom
+from civicframe.functions import text as tx
+from civicframe.functions import web
+from civicframe.operators import search
+from civicframe.plans import gate
+from civicframe.sources import readers, silver, sinks
+from civicframe.streaming import events as ev
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("f", "given", "want"),
+    [
+        (tx.case_number, "०८१-cr-81", "081-CR-0081"), (tx.case_number, "079-C4-3431", "079-C4-3431"), (tx.case_number, "93-068-0194", "93-068-0194"), (tx.case_number, "1-a-123456", "001-A-123456"), (tx.case_number, None, None),
+        (tx.bs_date, "२०८१/०९/२८", "2081-09-28"), (tx.bs_date, "2081.9.8", "2081-09-08"), (tx.bs_date, None, ""), (tx.bs_date, "soon", "soon"),
+        (tx.bs_year, "२०८१-०१", 2081), (tx.bs_year, "x", None), (tx.counted, "१2 पटक", 12), (tx.counted, "none", None),
+        (tx.no_verdict, "**** ** **", True), (tx.no_verdict, None, True), (tx.no_verdict, "2081-01-01", False),
+        (tx.unquoted, ' "a  b" ', "a b"), (tx.spaced_parentheses, "082( x )", "082 (x)"), (tx.split_judges, "मा. न्या. राममा. न्या. श्याम", "मा. न्या. राम, मा. न्या. श्याम"), (tx.split_judges, " ", None),
+        (tx.sound_fold, "Vhittal  Bhadgaon!", "bhital badgaon"), (tx.amount_tier, 12345678, "~1 Crore 23 Lakh"), (tx.amount_tier, 999, "Under 1 Hazar"), (tx.amount_tier, 2_500_000_000, "~2 Arab 50 Crore"), (tx.amount_tier, None, None),
+        (tx.repaired_mojibake, "Ã©t", "ét"), (tx.repaired_mojibake, "plain", "plain"), (tx.repaired_mojibake, "नेपाल", "नेपाल"), (tx.slug, "A b--C!", "a-b-c"),
+        (web.registrable_domain, "results.ecn.gov.np", "ecn.gov.np"), (web.registrable_domain, "a.b.example.org", "example.org"), (web.registrable_domain, "localhost", "localhost"), (web.registrable_domain, "", None),
+        (web.article_url, "HTTPS://www.Example.org/a/?utm_source=x&id=3#top", "https://example.org/a?id=3"), (web.article_url, "http://e.org", "http://e.org/"),
+    ],
+)
+def test_scalars(spark, f, given, want):
+    assert one(spark, f(F.lit(given).cast("string") if not isinstance(given, int) else F.lit(given))) == want
+
+
+def test_stated_defendants(spark):
+    assert one(spark, tx.stated_defendants(F.lit("राम समेत १२")))[:] == (12, False)
+    assert one(spark, tx.stated_defendants(F.lit("राम समेत ।")))[:] == (None, True)
+    assert one(spark, tx.stated_defendants(F.lit("राम")))[:] == (None, False)
+
+
+def test_matches(spark):
+    assert one(spark, tx.matches(F.lit("Badhi ujuri list"), F.lit("ujuri  bhadhi")))
+    assert not one(spark, tx.matches(F.lit("abc"), F.lit("xyz"))) and one(spark, tx.matches(F.lit("abc"), F.lit(" ")))
+
+
+def test_windows(spark):
+    w = one(spark, tx.windows(F.lit("x" * 1000), 400, 50))
+    assert [(x.start, len(x.body)) for x in w] == [(0, 400), (350, 400), (700, 300)] and one(spark, tx.windows(F.lit(""), 400, 50)) == []
+
+
+def test_json(spark):
+    assert arrow.repaired('```json\n{"a": [1, {"b": "c"}, 2') == '{"a": [1, {"b": "c"}]}' and arrow.repaired("no") is None
+    assert arrow.rewritten({"x": [{"@id": "a"}, {"@id": "b"}], "y": ["q", "q"]}, {"a": "b"}) == {"x": [{"@id": "b"}], "y": ["q", "q"]}
+    fine = json.dumps([{"op": "add", "path": "/a", "value": 1}, {"op": "test", "path": "/slug", "value": 1}])
+    assert arrow.patch_problem(fine, ("/slug",)) is None
+    for bad in ([{"op": "move", "path": "/a", "from": "/slug"}], [{"op": "x", "path": "/a"}], [{"op": "add", "path": "/a"}], [{"op": "remove", "path": "a"}], []):
+        assert arrow.patch_problem(json.dumps(bad), ("/slug",))
+
+
+@pytest.mark.parametrize("error,poison,delivered,want", [(False, False, 1, "ack"), (True, True, 1, "dead_letter"), (True, False, None, "dead_letter"), (True, False, 5, "dead_letter"), (True, False, 2, "retry")])
+def test_disposition(spark, error, poison, delivered, want):
+    assert one(spark, dom.disposition(F.lit(error), F.lit(poison), F.lit(delivered).cast("int"), 5)) == want
+
+
+def test_cursor(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b")], "k int, v string")
+    got = [r.k for r in df.where(search.after([("v", True), ("k", False)], ["b", 1])).orderBy(F.desc_nulls_last("v"), "k").collect()]
+    assert got == [4, 2, 3]
+    assert [r.k for r in df.where(search.after([("v", True), ("k", False)], [None, 2])).collect()] == [3]
+    with pytest.raises(ValueError):
+        search.decode_cursor("??", 2)
+
+
+ACCEPTED = [
+    "select case_number, count(*) from court_cases group by case_number",
+    "select c.case_number, count(h.bench) from court_cases c left join hearings h on c.case_number = h.case_number where c.case_number like '0%' group by c.case_number limit 5",
+    "select * from court_cases join hearings using (case_number)",
+    "select rank() over (order by case_number) r from court_cases",
+]
+REFUSED = [
+    "", "delete from court_cases", "select 1; select 2", "select * from court_cases -- x", "select * from other", "select * from a.court_cases", "with x as (select 1) select * from x",
+    "select * from court_cases union select * from court_cases", "select * from court_cases cross join hearings", "select * from court_cases, hearings", "select * from court_cases c join hearings h on true",
+    "select * from court_cases c join hearings h on c.case_number = h.case_number or c.case_number = h.bench", "select * from court_cases natural join hearings", "select collect_list(case_number) from court_cases", "select java_method('a','b') from court_cases", "select lag(case_number) over (order by case_number) from court_cases",
+]
+
+
+def test_gate(spark):
+    views = {"court_cases": spark.createDataFrame([("1",), ("2",)], "case_number string"), "hearings": spark.createDataFrame([("1", "b")], "case_number string, bench string")}
+    for q in ACCEPTED:
+        assert gate.run(spark, q, views, 1).count() == 1, q
+    for q in REFUSED:
+        with pytest.raises(gate.Refused):
+            gate.check(spark, q, set(views))
+            pytest.fail(q)
+
+
+def test_silver(spark, tmp_path):
+    assert len(silver.TABLES) == 15 and all(set(t.key) <= set(t.schema.names) for t in silver.TABLES.values())
+    now = dt.datetime(2024, 1, 1)
+    bronze = spark.createDataFrame([("t1", "A", now, "u1"), ("t1", "B", now + dt.timedelta(1), "u2"), ("t2", "C", now, "u3"), (None, "D", now, "u4")], "tender_id string, title string, ingested_at timestamp, bronze_uri string")
+    first = silver.promote(bronze, spark.createDataFrame([("t2", "old")], "tender_id string, status string"), "procurement_tenders")
+    assert {r.tender_id: (r.title, r.status, r.action) for r in first.collect()} == {"t1": ("B", None, "created"), "t2": ("C", "old", "updated")}
+    silver.write(first.drop("action").withColumn("fiscal_year", F.lit("2080")), "procurement_tenders", str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n')
+    assert sorted(r.a for r in readers.json_lines(spark, str(tmp_path / "log.jsonl"), "a int").collect()) == [1, 2]
+    (tmp_path / "batch.csv").write_text("slug\nb\na\nb\n\n")
+    assert [r.slug for r in readers.batch_slugs(spark, str(tmp_path / "batch.csv")).orderBy("position").collect()] == ["b", "a"]
+    spark.range(3).write.parquet(str(tmp_path / "pages"))
+    assert readers.shards(spark, str(tmp_path), "pages").count() == 3
+    with pytest.raises(FileNotFoundError):
+        readers.shards(spark, str(tmp_path), "none")
+
+
+def test_rebuild_refuses_to_empty(spark, tmp_path):
+    live = spark.range(2)
+    assert sinks.rebuild(spark, live, str(tmp_path), 1, None).count() == 2
+    with pytest.raises(ValueError):
+        sinks.rebuild(spark, live.where("id > 5"), str(tmp_path), 2, live)
+
+
+def test_streams(spark, tmp_path):
+    rows = [(i % 5, dt.datetime(2024, 1, 1, 0, i % 5)) for i in range(10)]
+    spark.createDataFrame(rows, "k int, occurred timestamp").write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("k int, occurred timestamp").parquet(str(tmp_path / "in"))
+    env = ev.envelope(src, F.lit("court.x"), F.col("k").cast("string"), F.col("occurred"), ["k"])
+    q = ev.deduplicated(env).writeStream.format("memory").queryName("dedup").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("dedup").count() == 5
+
+
+def test_job_fold_and_stream_agree(spark, tmp_path):
+    rows = [("a", 1, "claim"), ("a", 2, "fail"), ("a", 3, "claim"), ("a", 3, "claim"), ("a", 4, "done"), ("b", 1, "claim"), ("c", 1, "done")]
+    frame = spark.createDataFrame(rows, "job string, seq long, event string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    want = {r.job: (r.status, r.attempts) for r in ev.job_states(frame).collect()}
+    assert want == {"a": ("done", 2), "b": ("running", 1), "c": ("queued", 0)}
+    q = ev.job_states(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("jobs").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.job: (r.status, r.attempts) for r in spark.table("jobs").collect()} == want
