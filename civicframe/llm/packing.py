@@ -21,6 +21,10 @@ from .common import cut, pylists, slices
 from .tokens import encoder
 
 
+#: Rows of (source, input split) that are broadcast.
+SMALL = 500_000
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """doc_id, source, ids (little-endian 32-bit, the end id last), n, and the place in the source's queue as (part, at)."""
 
@@ -61,11 +65,13 @@ def arrange(tokens: DataFrame, window: int = 2048, grain: int = 256, shares: dic
     ordered = W.partitionBy("source").orderBy("part")  # a row for each input split at most, however large a source is
     queues = by_part.select("source", "part", (F.sum("n").over(ordered) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("source")).alias("size"))
     sums = tokens.groupBy("source").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n").alias("total"))
+    total = tokens.agg(F.sum("n")).first()[0] or 1
     named = spark.createDataFrame([(k, float(v)) for k, v in (shares or {}).items()], "source string, share double")
-    weights = sums.join(F.broadcast(total)).join(F.broadcast(named), "source", "left")
-    weights = weights.select("source", (F.coalesce("share", F.col("n") / F.col("total")) * window).alias("credit"))
+    weights = sums.join(F.broadcast(named), "source", "left")
+    weights = weights.select("source", (F.coalesce("share", F.col("n") / total) * window).alias("credit"))
     queues = queues.join(weights, "source")
+    if by_part.count() <= SMALL:  # else the tokens are shuffled to their queues
+        queues = F.broadcast(queues)
     rows = tokens.join(queues, ["source", "part"]).withColumn("at", F.col("at") + F.col("before")).drop("before")
     k = F.explode(F.sequence(F.expr(f"at div {grain}"), F.expr(f"(at + n - 1) div {grain}")))
     pieces = rows.select("doc_id", "source", "ids", "n", "at", "size", "credit", k.alias("k"))
