@@ -23,6 +23,13 @@ CACHE = 400_000
 ODD = re.compile("[\x1c-\x1f\x85]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @cache
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian 32-bit ids, as ``encode(text, add_special_tokens=False)`` does.
@@ -33,11 +40,30 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    model, specials = t.model, [x.content for x in t.get_added_tokens_decoder().values()]
+    plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    part = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    letters = _byte_letters()
     known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}
 
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def lookup(piece: str) -> bytes:
+        """Of ASCII and Latin-1 letters alone, a piece is split here and its parts go to the model; others go through the whole tokenizer."""
+        if not plain.fullmatch(piece) or any(x in piece for x in specials):
+            return ids([piece])[0]
+        out = []
+        for x in part.findall(piece.lower()):
+            got = parts.get(x)
+            if got is None:
+                if len(parts) >= CACHE:
+                    parts.clear()
+                got = parts[x] = b"".join(y.id.to_bytes(4, "little") for y in model.tokenize(x.encode().decode("latin-1").translate(letters)))
+            out.append(got)
+        return b"".join(out)
+
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
@@ -49,8 +75,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 if len(known) + len(missing) > CACHE:
                     known.clear()
                     missing = list(dict.fromkeys(pieces))
-                for i in range(0, len(missing), 4096):
-                    known.update(zip(missing[i : i + 4096], ids(missing[i : i + 4096]), strict=True))
+                known.update((p, lookup(p)) for p in missing)
             out.append(b"".join(map(known.__getitem__, pieces)))
         return out
 
