@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,9 +134,8 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "k int, occurred timestamp").write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("k int, occurred timestamp").parquet(str(tmp_path / "in"))
     env = ev.envelope(src, F.lit("court.x"), F.col("k").cast("string"), F.col("occurred"), ["k"])
-    q = ev.deduplicated(env).writeStream.format("memory").queryName("dedup").start()
-    q.processAllAvailable()
-    q.stop()
+    q = ev.deduplicated(env).writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert spark.table("dedup").count() == 5
 
 
@@ -146,6 +146,10 @@ def test_job_fold_and_stream_agree(spark, tmp_path):
     want = {r.job: (r.status, r.attempts) for r in ev.job_states(frame).collect()}
     assert want == {"a": ("done", 2), "b": ("running", 1), "c": ("queued", 0)}
     q = ev.job_states(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("jobs").start()
-    q.processAllAvailable()
-    q.stop()
+    try:
+        end = time.time() + 60
+        while spark.table("jobs").count() < len(want) and time.time() < end:  # a query with running leases never rests
+            time.sleep(0.5)
+    finally:
+        q.stop()
     assert {r.job: (r.status, r.attempts) for r in spark.table("jobs").collect()} == want
