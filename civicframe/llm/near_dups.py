@@ -3,8 +3,10 @@
 Every text is its set of word shingles. Equal sets are one vertex from the start. Each of ``TREES`` sorted signature orders
 is a tree of the forest: its label is ``DEPTH`` minima, and vertices that share the first ``BASE`` of them are neighbours
 by longest common prefix. Vertices joined by such prefixes form regions. A region of bounded weight is compared in one
-task, set by set; a heavier one is taken apart tree by tree, each at the depth that its density asks for, and what
-is heavy at the last depth too is compared block against block, so no pair of it is left out. The confirmed links are contracted to components.
+task, set by set. A heavier one is compared twice. First, the buckets of a few trees, each at the depth that its density asks for, give
+links that join nearly all of a group of copies. Then, whatever a bucket at ``BASE`` still holds of different components is compared
+block against block: all outside its largest component with all in it. So a group of copies costs no pairs of its own, and no pair
+of neighbours is left out at any size. The confirmed links are contracted to components.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pylists, slices, utf8
@@ -24,8 +26,8 @@ SHINGLE = 5
 TREES, BASE, DEPTH = 28, 4, 8
 #: Shingles that are compared in one task at a time, and members.
 WEIGHT, MEMBERS = 1 << 20, 4096
-#: Blocks of a region before it is split at a deeper level instead.
-BLOCKS = 8
+#: Trees that are looked at first in heavy regions.
+SEEDS = 8
 #: Vertices that are looked up by a broadcast table; more are joined by a shuffle.
 SMALL = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -164,30 +166,70 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out, "components")
 
 
-def _heavy(rows: DataFrame) -> DataFrame:
-    """key and group of the vertices in heavy regions: each tree's bucket, deeper where it is dense, in pairs of blocks."""
+def _blocks(weight: Column, members: Column) -> Column:
+    """Blocks of at most about half of what a task compares."""
+    return F.ceil(F.greatest(2 * weight / WEIGHT, 2 * members / MEMBERS, F.lit(1.0))).cast("long")
+
+
+def _fits() -> Column:
+    return (F.col("weight") <= WEIGHT) & (F.col("members") <= MEMBERS)
+
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    """key and group of the vertices in heavy regions: buckets of the first trees, deeper where they are dense, at last in blocks.
+
+    What shares a group may be linked; what shares none is left to ``_rest``.
+    """
     levels = range(DEPTH - BASE + 1)
+    todo, out = rows.where(F.col("tree") < SEEDS), None
     for d in levels:
-        prefix = F.shiftright("rest", 16 * (DEPTH - BASE - d)) if d else F.lit(0).cast("long")
-        rows = rows.withColumn(f"p{d}", prefix)
-    todo, out = rows, None
+        todo = todo.withColumn(f"p{d}", F.shiftright("rest", 16 * (DEPTH - BASE - d)) if d else F.lit(0).cast("long"))
     for d in levels:
         path = ["tree", "base", f"p{d}"]
-        sums = todo.groupBy(*path).agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
-        sums = sums.where("members > 1").withColumn("blocks", F.ceil(F.greatest(2 * F.col("weight") / WEIGHT, 2 * F.col("members") / MEMBERS, F.lit(1.0))).cast("int"))
+        sums = todo.groupBy(*path).agg(F.sum("n").alias("weight"), F.count("*").alias("members")).where("members > 1")
         todo = todo.join(sums, path)
-        last = d == levels[-1]
-        take = todo if last else todo.where(F.col("blocks") <= 2 * BLOCKS)
-        block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-        one = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        take = take.withColumn("block", block).withColumn("other", F.explode(one))
-        pair = F.when(F.col("blocks") <= 2, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.least("block", "other"), F.greatest("block", "other")))
-        take = take.select("key", F.xxhash64(F.lit(d), *path, pair).alias("group"))
+        take = todo if d == levels[-1] else todo.where(_fits())
+        block = F.when(_fits(), 0).otherwise(F.pmod(F.xxhash64("key", "tree"), _blocks(F.col("weight"), F.col("members"))))
+        take = take.select("key", F.xxhash64(F.lit(d), *path, block).alias("group"))
         out = take if out is None else out.unionByName(take)
-        todo = todo.where(F.col("blocks") > 2 * BLOCKS).drop("weight", "members", "blocks")
+        todo = todo.where(~_fits()).drop("weight", "members")
     return out
 
 
+def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """key and group of the vertices in heavy regions whose bucket holds different components (``parts``: key, part).
+
+    Pairs within the largest component of a bucket need no look. Its blocks meet those of the other vertices, and these each other.
+    Buckets that ``_seeds`` compared whole are left out.
+    """
+    path = ["tree", "base"]
+    rows = rows.join(parts, "key")
+    by = rows.groupBy(*path, "part").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
+    buckets = by.groupBy(*path).agg(F.sum("w").alias("weight"), F.sum("m").alias("members"), F.max(F.struct("w", "m", "part")).alias("top"), F.count("*").alias("parts"))
+    buckets = buckets.where(F.col("parts") > 1).where(~_fits() | (F.col("tree") >= SEEDS))
+    few = _blocks(F.col("weight") - F.col("top.w"), F.col("members") - F.col("top.m"))
+    buckets = buckets.select(*path, _fits().alias("whole"), few.alias("few"), _blocks(F.col("top.w"), F.col("top.m")).alias("many"), F.col("top.part").alias("top"))
+    rows = rows.join(buckets, path)
+    whole = rows.where("whole").select("key", F.xxhash64(F.lit("whole"), *path).alias("group"))
+    split = rows.where("not whole").withColumn("inner", F.col("part") == F.col("top"))
+    split = split.withColumn("block", F.expr("if(inner, few + pmod(xxhash64(key), many), pmod(xxhash64(key), few))"))
+    split = split.withColumn("other", F.explode(F.expr("sequence(0L, few + if(inner, 0L, many) - 1)"))).where("block <> other")
+    return whole.unionByName(split.select("key", F.xxhash64(F.lit("split"), *path, F.least("block", "other"), F.greatest("block", "other")).alias("group"))).distinct()
+
+
+def _hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """key, groups and hashes of the vertices in ``members`` (key, doc_id, groups)."""
+    members = cut(members, "members")
+    if members.count() <= SMALL:
+        members = F.broadcast(members)
+    return docs.select("doc_id", "text").join(members, "doc_id").select("key", "groups", "text").mapInArrow(_sets, "key long, groups array<long>, hashes binary")
+
+
+def _links(grouped: DataFrame, percent: int) -> DataFrame:
+    """The confirmed links of ``grouped`` (key, group, hashes)."""
+    return grouped.repartition("group").sortWithinPartitions("group", "key").mapInArrow(_compare(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
@@ -208,16 +250,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     heavy = weights.where((F.col("weight") > WEIGHT) | (F.col("members") > MEMBERS)).select("root")
     light = vertices.join(heavy, "root", "left_anti").select("key", "doc_id", F.array(F.xxhash64(F.lit("region"), "root")).alias("groups"))
     dense = vertices.join(heavy, "root", "left_semi").select("key", "doc_id")
+    some = not heavy.isEmpty()
     members = light
-    if not heavy.isEmpty():
-        groups = _heavy(near.drop("head", "doc_id").join(dense.select("key"), "key", "left_semi")).groupBy("key").agg(F.collect_set("group").alias("groups"))  # trees x blocks at most
+    if some:
+        inside = cut(near.drop("head", "doc_id").join(dense.select("key"), "key", "left_semi"), "heavy")
+        groups = _seeds(inside).groupBy("key").agg(F.collect_set("group").alias("groups"))  # SEEDS at most
         members = light.unionByName(dense.join(groups, "key"))
-    members = cut(members, "members")
-    if members.count() <= SMALL:
-        members = F.broadcast(members)
-    sets = docs.select("doc_id", "text").join(members, "doc_id").select("key", "groups", "text").mapInArrow(_sets, "key long, groups array<long>, hashes binary")
-    grouped = sets.select("key", F.explode("groups").alias("group"), "hashes").repartition("group").sortWithinPartitions("group", "key")
-    joined = components(grouped.mapInArrow(_compare(percent), "u long, v long"))
+    joined = components(_links(_hashes(docs, members).select("key", F.explode("groups").alias("group"), "hashes"), percent))
+    if some:
+        parts = dense.join(joined.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("part"))
+        rest = cut(_rest(inside, cut(parts, "parts")), "rest")
+        if not rest.isEmpty():
+            members = dense.join(rest.select("key").distinct(), "key").withColumn("groups", F.expr("cast(array() as array<bigint>)"))
+            more = _links(_hashes(docs, members).drop("groups").join(rest, "key").select("key", "group", "hashes"), percent)
+            joined = components(joined.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     keys = own.groupBy("key").agg(F.min("doc_id").alias("first")).join(joined.withColumnRenamed("id", "key"), "key", "left")
     keys = keys.withColumn("root", F.coalesce("root", "key"))

@@ -293,9 +293,11 @@ def test_near_duplicates(spark, size):
     assert len({x for _, x in want.values()}) < len(want)
 
 
-def test_heavy_regions_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "WEIGHT", 1500)
-    monkeypatch.setattr(near_dups, "MEMBERS", 40)
+@pytest.mark.parametrize(("weight", "members"), [(1500, 40), (300, 6)])
+def test_heavy_regions_lose_nothing(spark, monkeypatch, weight, members):
+    """Near copies with similarities on both sides of the threshold, over many small blocks."""
+    monkeypatch.setattr(near_dups, "WEIGHT", weight)
+    monkeypatch.setattr(near_dups, "MEMBERS", members)
     monkeypatch.setattr(near_dups, "SMALL", 0)
     rng = np.random.default_rng(2)
     base = [f"w{k}" for k in range(60)]
