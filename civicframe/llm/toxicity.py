@@ -62,17 +62,19 @@ class Machine:
 
 def _associated(rows: list[np.ndarray], y: np.ndarray, least_g: float, most: int) -> np.ndarray:
     """Terms whose presence goes with the label, by the log-likelihood ratio; seen in three rows at least."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    ids, inverse = np.unique(flat, return_inverse=True)
-    of = np.repeat(y, [len(r) for r in rows])
-    n, p = np.bincount(inverse, minlength=len(ids)), np.bincount(inverse, weights=of, minlength=len(ids))
+    n, p = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r, label in zip(rows, y, strict=True):  # the terms of a row are distinct
+        n[r] += 1
+        p[r] += label
+    ids = np.flatnonzero(n >= 3)
+    n, p = n[ids], p[ids]
     total, pos = len(y), y.sum()
 
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0)
 
     g = 2 * (part(p, n * pos / total) + part(n - p, n * (1 - pos / total)) + part(pos - p, (total - n) * pos / total) + part(total - n - pos + p, (total - n) * (1 - pos / total)))
-    keep = np.flatnonzero((n >= 3) & (g >= least_g))
+    keep = np.flatnonzero(g >= least_g)
     return np.sort(ids[keep[np.argsort(-g[keep], kind="stable")[:most]]])
 
 
@@ -82,7 +84,9 @@ def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int =
         p = float(y.mean()) if len(y) else 0.0
         return Machine(np.zeros(0, np.int64), float(np.log((p + 1e-3) / (1 - p + 1e-3))), np.zeros(0), np.zeros((0, factors)))
     ids = _associated(rows, y.astype(float), least_g, most)
-    own = [np.searchsorted(ids, r[np.isin(r, ids)]) for r in rows]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    own = [k[k >= 0] for k in (place[r] for r in rows)]
     rng = np.random.default_rng(11)
     base = float(np.log(y.mean() / (1 - y.mean())))
     theta = [np.array([base]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]
@@ -126,9 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Machine:
     sample = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
     got = joined.mapInArrow(_hashed, "toxic int, terms array<int>").limit(4 * max_rows).toArrow()
-    rows = [x.values.to_numpy().astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in got.column("terms").combine_chunks()] if got.num_rows else []
+    rows = [x.values.to_numpy() if len(x) else np.zeros(0, np.int32) for x in got.column("terms").combine_chunks()] if got.num_rows else []
     y = got.column("toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # the same model in whatever order the rows come
+    order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh3_128_digest(rows[i].tobytes()), y[i]))  # the same model in whatever order the rows come
     return learn([rows[i] for i in order], y[order] if order else y)
 
 
