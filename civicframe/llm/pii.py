@@ -15,12 +15,30 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-
 ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+#: A number with its country code leaves an address, a date or a card behind it alone; <cards> stands for the cards of the text.
+PHONE = rf"(?<![\d+])\+?\d{{0,3}}[ .-]?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{4}}(?!\d)|(?<!\d)\+\d{{1,3}}(?:(?![ .-]?(?:{ADDRESS}|{DATE}|<cards>))[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![\d-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?![\d-])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 SECRET = r"(?:(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_/+=-]{8,}[\"']?)|\bAKIA[0-9A-Z]{16}\b|\b(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})\b"
-#: In this order, at each place of a text.
-KINDS = {"secret": SECRET, "email": EMAIL, "address": ADDRESS, "date": DATE, "card": CARD, "phone": PHONE, "social": SOCIAL}
-FOUND = "|".join(KINDS.values())
+#: Digits of a possible card, and the groups in which cards are written; from any group on, so that a number before it hides none.
+RUN = r"\d(?:[ -]?\d){12}"
+GROUPS = tuple(
+    rf"(?<!\d)(?=(<first>{more})(?!\d{after}))"
+    for more, after in (
+        (r"\d{12,18}", ""),
+        (r"\d{3}(?:[ -]\d{4}){3}", ""),
+        (r"\d{3}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"|[./]\d"),
+        (r"\d{3}[ -](?:\d{6}[ -]\d{4,5}|\d{5}[ -]\d{6}|\d{4}[ -]\d{5}|\d{3}[ -]\d{3}[ -]\d{3})", r"|[./]\d"),
+        (r"(?:\d{5}[ -]\d{13}|\d{7}[ -]\d{8})", ""),
+    )
+)
+#: A whole run of digits, however grouped.
+WHOLE = r"(?<!\d)(?<!\d[./ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)(?![./]\d)"
+#: Numbers with a wrong check digit that are counted but stay; they never reach into another value.
+ALIKE = r"(?<!\d)(?:\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?![ -]?\d|[./]\d|[\w.%+-]*@))"
+NEVER = "(?!)"
+#: In this order, at each place of a text. The cards are those with a right check digit.
+KINDS = {"secret": SECRET, "email": EMAIL, "address": ADDRESS, "date": DATE, "card": CARD, "phone": PHONE.replace("<cards>", NEVER), "social": SOCIAL}
+FOUND = f"{SECRET}|{EMAIL}|{ADDRESS}|{DATE}|<all cards>|{PHONE}|{SOCIAL}"
 #: Every value of KINDS has one of these, so texts without them are passed on as they are.
 MAYBE = r"[0-9@:=]|AKIA"
 ROUNDS = 8
@@ -72,6 +90,40 @@ def _card(key: str, x: str) -> str:
     return _with("d", _digits(x), f"if({_weighted('d', 1)} % 10 = 0, {_with('e', body, put)}, {x})")
 
 
+def _right(values: str) -> str:
+    """Those of an array of numbers whose check digit is right, each once."""
+    return f"filter(array_distinct({values}), c -> {_with('d', _digits('c'), f'{_weighted("d", 1)} % 10 = 0')})"
+
+
+def _any(values: str) -> str:
+    """A regular expression for the numbers of an array, the longest first."""
+    return f"if(size({values}) = 0, {_quoted(NEVER)}, concat({_quoted(r'(?<!\d)(?:')}, array_join(array_sort({values}, (p, q) -> length(q) - length(p)), '|'), {_quoted(r')(?!\d)')}))"
+
+
+def _pattern(text: str) -> str:
+    """The regular expression for the values of a text.
+
+    A check digit is beyond a regular expression, so the cards are looked up first: in the groups in which cards are written, at any place of
+    a run of digits; then, in what is neither these nor another kind, whole runs and the longest starts of runs, however grouped. The
+    digits around a card are left to the other kinds.
+    """
+    plain = f"{FOUND}|{ALIKE}".replace("<all cards>", NEVER).replace("<cards>", NEVER)
+
+    def found(cards: str, all_cards: str, more: str = "") -> str:
+        sql = _quoted(FOUND + more)
+        return f"replace(replace({sql}, '<all cards>', {all_cards}), '<cards>', {cards})"
+
+    def groups(x: str, first: str) -> str:
+        return "flatten(array(" + ", ".join(f"regexp_extract_all({x}, {_quoted(g.replace('<first>', first))}, 1)" for g in GROUPS) + "))"
+
+    grouped = _right(groups(text, "[2-6]"))
+    whole = f"filter(regexp_extract_all({text}, {_quoted(WHOLE)}, 0), c -> not exists(r, y -> instr(c, y) > 0))"
+    rest = _with("m", f"regexp_replace({text}, {found('a', 'a')}, '|')", f"concat(regexp_extract_all(m, {_quoted(CARD)}, 0), {groups('m', '[0-9]')})")
+    others = _with("o", _right(f"concat({whole}, {rest})"), _any("o"))
+    cards = _with("r", grouped, _with("a", _any("r"), _with("b", others, found("a", "concat(a, '|', b)", f"|{ALIKE}"))))
+    return f"case when {text} rlike {_quoted(RUN)} then {cards} else {_quoted(plain)} end"
+
+
 def _address(key: str, x: str) -> str:
     octet = [f"cast(split({x}, '[.]')[{i}] as int)" for i in range(4)]
     start = f"named_struct('l', {octet[0]} * 256 + {octet[1]}, 'r', {octet[2]} * 256 + {octet[3]})"
@@ -110,16 +162,16 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str | N
     """``docs`` with the personal data of ``column`` replaced, and the number of values replaced in ``count`` (None: no such column).
 
     A null text stays null and has none; an empty one stays empty. All other columns and repeated rows pass through; a column
-    named as ``count`` is replaced. The same key gives the same pseudonyms in every run. Card-like numbers with a wrong check digit and
-    impossible dates aren't validated, and stay. Nothing is shuffled.
+    named as ``count`` is replaced. The same key gives the same pseudonyms in every run. Card-like numbers with a wrong check digit (alone
+    or in fours) and impossible dates are counted, but aren't validated, and stay. Nothing is shuffled.
     """
-    found = _quoted(FOUND)
     text = f"`{column}`"
-    new = f"transform(regexp_extract_all({text}, {found}, 0), x -> {_pseudonym(key)})"
-    parts = f"zip_with(split({text}, {found}, -1), {new}, (a, b) -> concat(a, coalesce(b, '')))"
-    marked = f"case when {text} rlike {_quoted(MAYBE)} then array_join({parts}, '') else {text} end"
+    new = f"transform(regexp_extract_all({text}, f, 0), x -> {_pseudonym(key)})"
+    parts = f"zip_with(split({text}, f, -1), {new}, (a, b) -> concat(a, coalesce(b, '')))"
+    found = _pattern(text)
+    marked = f"case when {text} rlike {_quoted(MAYBE)} then {_with('f', found, f"array_join({parts}, '')")} else {text} end"
     out = docs.withColumn(column, F.expr(marked))
     if count is None:
         return out
-    number = f"case when {text} rlike {_quoted(MAYBE)} then regexp_count({text}, {found}) else 0 end"
+    number = f"case when {text} rlike {_quoted(MAYBE)} then {_with('f', found, f'regexp_count({text}, f)')} else 0 end"
     return docs.withColumns({column: F.expr(marked), count: F.expr(f"cast({number} as bigint)")})

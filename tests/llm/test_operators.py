@@ -251,6 +251,25 @@ def test_pseudonyms(spark):
     assert rows(pii.pseudonymize(df, "other").where("doc_id = 0"))[0]["text"] != one[0]["text"]
 
 
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [
+        ("4111 1111 1111 1111 12/27", 1), ("4111111111111111 123.", 1), ("order 12 4111111111111111", 1), ("12 4111-1111-1111-1111 7", 1), ("1234 4111 1111 1111 1111 99", 1), ("378282246310005 10 1", 1),
+        ("3782 822463 10005 7 of 9", 1), ("4111111111111111 192.168.1.10", 2), ("4111 1111 1111 1111 10.0.0.1", 2), ("4111111111111112 192.168.1.10", 2), ("4111 1111 1111 1111 5500 0000 0000 0004", 2),
+        ("4111111111111111 2021-03-04", 2), ("+1 309 555 7741 4111 1111 1111 1111", 2), ("+1 309 555 7741 192.168.1.10", 2), ("41 11 11 11 11 11 11 11", 1), ("555-010-1234 41 11 11 11 11 11 11 11 192.168.1.10", 3),
+    ],
+)
+def test_cards_beside_other_numbers(spark, text, n):
+    (got,) = rows(pii.pseudonymize(spark.createDataFrame([(text,)], "text string"), "k"))
+    out = got["text"]
+    assert got["n_pii"] == n and re.sub(r"\d+\.\d+\.\d+\.\d+", "A", re.sub(r"\d", "9", out)) == re.sub(r"\d+\.\d+\.\d+\.\d+", "A", re.sub(r"\d", "9", text))
+    for value in ("4111111111111111", "378282246310005", "5500000000000004", "192.168.1.10", "10.0.0.1", "2021-03-04", "309 555 7741", "555-010-1234"):
+        plain = re.sub(r"[ -]", "", value)
+        assert value not in out and plain not in re.sub(r"[ -]", "", out)
+    for card in re.finditer(r"4111([ -]?)1111\1" r"1111\1" r"1111|41( 11){7}|378282246310005|3782 822463 10005|5500 0000 0000 0004|9111111111111111|6304000000000000000", text):
+        assert luhn(out[card.start() : card.end()]) and out[card.start() : card.end()] != card[0]
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = spark.range(0, 146_097, 7).select(F.expr("cast(date_add(date'1800-01-01', cast(id as int)) as string)").alias("text"))
     assert pii.pseudonymize(dates, "k").agg(F.countDistinct("text"), F.countDistinct(F.length("text"))).first()[:] == (dates.count(), 1)
