@@ -2,7 +2,8 @@
 
 ``html.parser`` events become *lines* (runs of text between block boundaries), each with its text length and the number of
 tags seen with it. The text-to-tag ratios are smoothed by a Gaussian kernel and split at a threshold; the lines above it
-mark where the content is. The element that holds these lines is the content region, and every line of the region
+mark where the content is. The lowest element that holds these lines (but for links in passing), or all text in main or in articles
+if most is there, and the h1, is the content region, and every line of the region
 that isn't in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments) is kept, short ones too.
 """
 
@@ -46,21 +47,21 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """lines: (text, tags, path of element numbers, dropped)."""
+    """lines: (text, tags, path of element numbers, dropped, characters in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.tags: dict[int, str] = {}
         self.parts: list[str] = []
-        self.n_tags, self.count = 0, 0
+        self.n_tags, self.count, self.linked = 0, 0, 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.lines.append((text, self.n_tags, tuple(n for _, n, _ in self.stack), False))
+            self.lines.append((text, self.n_tags, tuple(n for _, n, _ in self.stack), False, self.linked))
             self.n_tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROP:
@@ -107,8 +108,10 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
+            if any(t == "a" for t, _, _ in self.stack):
+                self.linked += len(data.strip())
         elif data.strip():  # a line of its own, so that a dropped element within a word doesn't part the word
-            self.lines.append((data, self.n_tags, (), True))
+            self.lines.append((data, self.n_tags, (), True, 0))
 
 
 def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
@@ -126,6 +129,13 @@ def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def _standing(lines: list[tuple]) -> tuple[list[float], list[float], float]:
+    """The text-to-tag ratios of the lines, the smoothed ones, and the threshold."""
+    ratios = [0.0 if gone else len(text) / max(1, n) for text, n, _, gone, _ in lines]
+    smooth = smoothed(ratios)
+    return ratios, smooth, sum(smooth) / len(smooth) / 2
+
+
 def extract(html: str | None) -> tuple[str, int, int]:
     """The main text, the number of lines kept and of all lines. Null and empty pages: ("", 0, 0)."""
     if not html:
@@ -138,29 +148,39 @@ def extract(html: str | None) -> tuple[str, int, int]:
     live = [x for x in lines if not x[3]]
     if not live:
         return "", 0, len(lines)
-    ratios = [0.0 if gone else len(text) / max(1, n) for text, n, _, gone in lines]
-    smooth = smoothed(ratios)
-    threshold = sum(smooth) / len(smooth) / 2
+    ratios, smooth, threshold = _standing(lines)
     mass: dict[int, float] = defaultdict(float)
+    marks: dict[int, int] = defaultdict(int)
     children: dict[int, set[int]] = defaultdict(set)
-    titled: set[int] = set()
-    for (text, _, path, gone), r in zip(lines, smooth, strict=True):
+    titles: dict[int, int] = defaultdict(int)
+    main: dict[int, float] = defaultdict(float)
+    named: dict[int, float] = defaultdict(float)
+    for (text, _, path, gone, linked), ratio, r in zip(lines, ratios, smooth, strict=True):
         if gone:
             continue
         for up, down in zip((0, *path), path, strict=False):
             children[up].add(down)
-        if len(path) > 1 and p.tags[path[-1]] == "h1":
-            titled.add(path[-2])
-        if r >= threshold:
-            for n in (0, *path):
+        title = any(p.tags[n] == "h1" for n in path)
+        inside = {p.tags[n] for n in path} & CONTENT
+        for n in (0, *path):
+            titles[n] += title
+            if r >= threshold:
                 mass[n] += len(text)
+                marks[n] += ratio >= threshold or 2 * linked < len(text)
+                main[n] += len(text) * ("main" in inside)
+                named[n] += len(text) * bool(inside)
     total, at = mass[0], 0
-    while at not in titled and p.tags.get(at) not in CONTENT:
+    if 2 * main[0] >= total:
+        named = main
+    while p.tags.get(at) not in CONTENT:
         inner = max((n for n in children[at] if p.tags[n] in CONTAINER), key=lambda n: mass[n], default=None)
-        if inner is None or mass[inner] < 0.5 * total:
+        if inner is None or mass[inner] < 0.5 * total or titles[at] and not titles[inner]:
+            break
+        # what is left behind holds no marked line, or all text of main or articles is inside
+        if marks[inner] < marks[at] and (2 * named[inner] < total or named[inner] < named[at]):
             break
         at = inner
-    kept = [text for text, _, path, _ in live if not at or at in path]
+    kept = [text for text, _, path, _, _ in live if not at or at in path]
     return " ".join(kept), len(kept), len(lines)
 
 

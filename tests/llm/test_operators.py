@@ -61,6 +61,25 @@ def test_extract_cases(html, want):
     assert html_extract.extract(html)[0] == want
 
 
+P, Q = "A long paragraph of the page, with some words in it. " * 6, "Another part that is shorter, yet as much of the text. " * 4
+P, Q = P.strip(), Q.strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div><h2>T</h2><section><p>{P}</p></section><section><p>{Q}</p></section></div></body>", f"T {P} {Q}"),
+        (f"<body><article><p>{P}</p></article><article><p>{Q}</p></article></body>", f"{P} {Q}"),
+        (f"<body><main><p>{P}</p></main><div><article><p>{Q[:50]}</p></article></div></body>", P),
+        (f"<body><div><h1><a href=x><span>Title</span></a></h1></div><div><p>{P}</p><p>{Q}</p></div></body>", f"Title {P} {Q}"),
+        (f"<body><div><div><h1>Title</h1></div></div><article><p>{P}</p></article></body>", f"Title {P}"),
+        (f"<body><div>{'<p><a href=x>Link</a></p>' * 9}</div><div><p>{P}</p><p>{Q}</p></div></body>", f"{P} {Q}"),
+    ],
+)
+def test_extract_leaves_no_text_behind(html, want):
+    assert html_extract.extract(html)[0] == want
+
+
 def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
