@@ -38,6 +38,17 @@ DROP_HINT = frozenset(
     "notification outbrain pagination paywall popup promo promotion related reply replies respond responses share sharing sidebar "
     "signup skyscraper social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split()
 )
+#: Hints that also have other meanings: in a name they only ask for a look at the text.
+VAGUE = frozenset(
+    "banner billboard comment discussion disclaimer masthead menu navigation notice notices notification promotion related reply replies respond "
+    "response responses share sharing social sponsor sponsored subscribe subscription teaser toolbar".split()
+)
+#: Words that leave a hint what it is, as in ad-slot, and words before a hint that say it of the page, as in with-sidebar.
+LAYOUT = frozenset("area bar block bottom box button buttons container content group inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
+ABOUT = frozenset("has hide is no not show with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Hinted text of fewer words is never kept.
+FEW = 4
 CONTENT = frozenset(("article", "main"))
 #: Elements that may be the region: the walk to the region goes down through these only.
 CONTAINER = frozenset("html body main article section div table tbody tr td center".split())
@@ -46,11 +57,24 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _hint(name: str, inside: bool) -> bool | None:
+    """Of a class or an id: None if it holds no hint of boilerplate, True if it says nothing else."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    hints = [w for w in words if w in DROP_HINT or w == "header" and not inside]
+    if not hints or words[0] in ABOUT:
+        return None
+    return any(w not in VAGUE for w in hints) and all(w in hints or w in LAYOUT or w.isdigit() for w in words)
+
+
 class _Lines(HTMLParser):
     """lines: (text, tags, path of element numbers, dropped, characters in links)."""
 
-    def __init__(self) -> None:
+    def __init__(self, judged: dict[int, bool] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.judged = judged
+        #: Of each hinted element: whether the hint is plain, and its text by line (characters, those in links, words).
+        self.hinted: dict[int, bool] = {}
+        self.shares: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
         self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.tags: dict[int, str] = {}
@@ -69,14 +93,17 @@ class _Lines(HTMLParser):
         inside = any(t in CONTENT for t, _, _ in self.stack)
         if tag == "header":
             return not inside
+        hints = []
         for k, v in attrs:
             if k in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", (v or "").lower()))
-                if words & DROP_HINT or "header" in words and not inside:
-                    return tag not in ("html", "body", "article", "main")
+                hints += [_hint(name, inside) for name in (v or "").lower().split()]
             elif k == "role" and (v or "").lower() in DROP_ROLE or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v or ""):
                 return True
-        return False
+        hints = [x for x in hints if x is not None]
+        if not hints or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+            return False
+        self.hinted[self.count] = any(hints)
+        return self.judged is not None and self.judged[self.count]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -108,8 +135,15 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
-            if any(t == "a" for t, _, _ in self.stack):
-                self.linked += len(data.strip())
+            size, link = len(data.strip()), any(t == "a" for t, _, _ in self.stack)
+            self.linked += size * link
+            if self.hinted and size:
+                for _, n, _ in self.stack:
+                    if n in self.hinted:
+                        share = self.shares[n][len(self.lines)]
+                        share[0] += size
+                        share[1] += size * link
+                        share[2] += len(data.split())
         elif data.strip():  # a line of its own, so that a dropped element within a word doesn't part the word
             self.lines.append((data, self.n_tags, (), True, 0))
 
@@ -136,14 +170,40 @@ def _standing(lines: list[tuple]) -> tuple[list[float], list[float], float]:
     return ratios, smooth, sum(smooth) / len(smooth) / 2
 
 
+def _parsed(html: str, judged: dict[int, bool] | None = None) -> _Lines:
+    p = _Lines(judged)
+    p.feed(html)
+    p.close()
+    p.flush()
+    return p
+
+
+def _judged(p: _Lines) -> dict[int, bool]:
+    """Whether each hinted element is dropped: by a plain hint, unless it holds most of the clustered text, or if its text has no standing.
+
+    Beside main or articles with text of their own, a plain hint holds however much text there is. Text has standing if its smoothed ratio reaches the threshold, most of it isn't in links, and it has more than a few words.
+    """
+    _, smooth, threshold = _standing(p.lines)
+    total = sum(len(text) for (text, _, _, gone, _), r in zip(p.lines, smooth, strict=True) if not gone and r >= threshold)
+    inside = {n for _, _, path, gone, _ in p.lines if not gone and any(p.tags[x] in CONTENT for x in path) for n in path}
+    out = {}
+    for n, plain in p.hinted.items():
+        share = {i: x for i, x in p.shares[n].items() if i < len(p.lines)}
+        size = sum(x[0] for x in share.values())
+        clustered = sum(x[0] for i, x in share.items() if smooth[i] >= threshold)
+        low = 2 * clustered < size or 2 * sum(x[1] for x in share.values()) > size or sum(x[2] for x in share.values()) < FEW
+        aside = bool(inside) and n not in inside
+        out[n] = (aside or 2 * clustered <= total) and (plain or low)
+    return out
+
+
 def extract(html: str | None) -> tuple[str, int, int]:
     """The main text, the number of lines kept and of all lines. Null and empty pages: ("", 0, 0)."""
     if not html:
         return "", 0, 0
-    p = _Lines()
-    p.feed(html)
-    p.close()
-    p.flush()
+    p = _parsed(html)
+    if p.hinted:
+        p = _parsed(html, _judged(p))
     lines = p.lines
     live = [x for x in lines if not x[3]]
     if not live:

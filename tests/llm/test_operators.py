@@ -80,6 +80,23 @@ def test_extract_leaves_no_text_behind(html, want):
     assert html_extract.extract(html)[0] == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><p>{P}</p><section id=discussion><p>{Q}</p></section></article>", f"{P} {Q}"),
+        (f"<article><h2 id=related-work>Related work</h2><p>{P}</p><h2 class=comments>Comments</h2><p>{Q}</p></article>", f"Related work {P} Comments {Q}"),
+        (f"<article><p>{P}</p><p class=notice-period>The notice period is three months.</p><p>{Q}</p></article>", f"{P} The notice period is three months. {Q}"),
+        (f"<div id=content class=with-sidebar><p>{P}</p></div>", P),
+        (f"<div class='post no-comments'><p>{P}</p><div class=comments><p>{Q}</p></div></div>", P),
+        (f"<div class=sidebar><p>{P}</p></div><div class=ad><p>{Q[:60]}</p></div>", P),
+        (f"<article><p>{P}</p><div class=related-posts><a href=x>One more of our long texts</a> <a href=y>And two more of them</a></div><div class=share>Share it</div></article>", P),
+        (f"<article><p>{P} <span class=notice>This is part of the text</span> and on.</p></article>", f"{P} This is part of the text and on."),
+    ],
+)
+def test_extract_hints_only_lower(html, want):
+    assert html_extract.extract(html)[0] == want
+
+
 def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
