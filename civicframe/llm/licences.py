@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Wording of public licences and of the usual notices.
@@ -20,10 +20,12 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -38,6 +40,24 @@ TEMPLATES = {
     "BSD": [
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "Zlib": [
+        "Licensed under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -58,10 +78,18 @@ OTHER = [
     "They granted permission to any person to copy and distribute the notice.",
 ]
 #: Words of which any licence notice has one; a paragraph without them is unknown. Fixed values.
-ANCHOR = r"licen[cs]|copyright|\bcc\b|\bcc0\b|creative commons|public domain|redistribut|permission|rights reserved|\bgnu\b|mozilla"
+ANCHOR = r"licen[cs]|copyright|\bcc\b|\bcc0\b|creative\W+commons|public\W+domain|redistribut|permission|rights\W+reserved|\bgnu\b|mozilla|eclipse|warrant|anyone\W+is\W+free\W+to"
+#: Line breaks within a paragraph: in texts with blank lines (or bare comment marks) all others; elsewhere those that a hard wrap may have made, after
+#: a line of such a width that ends no sentence.
+BLANK = r"\n[^\w\n]*\n"
+BREAK = r"(?<=\w[^\w\n]{0,20})\n(?=[^\w\n]*\w)"
+WRAP = r"(?<![^\n]{121})(?<![.!?][^\w\s]{0,2}\s{0,2})(?:(?<=[^\n]{60})\n(?=[^\w\n]*\w)|(?<=[^\n]{30})\n(?=[^\w\n]*[\p{Ll}\d]))"
+JOIN = "\x01"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 FAMILIES = (*TEMPLATES, "unknown")
 THRESHOLD, CONFIRMED = 0.6, 0.6
+#: Bigrams of a template that a paragraph has to have for its share to be taken of the part it covers.
+COVERED = 10
 
 
 def words(text: str) -> list[str]:
@@ -132,38 +160,62 @@ def train(seed: int = 5, copies: int = 60, epochs: int = 300) -> Model:
 def tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
     """The weights of each gram, and the bigrams of each template: a few thousand rows."""
     weights = spark.createDataFrame([(g, v) for g, v in model.weights.items()], "gram string, w array<double>")
-    rows = [(f, i, g, len(b)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for b in [{g for g in grams(words(t)) if " " in g}] for g in sorted(b)]
-    return weights, spark.createDataFrame(rows, "family string, template int, gram string, size int")
+    rows = [(f, i, g, at, len(b)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for w in [words(t)] for b in [[*dict.fromkeys(f"{x} {y}" for x, y in zip(w, w[1:], strict=False))]] for at, g in enumerate(b)]
+    return weights, spark.createDataFrame(rows, "family string, template int, gram string, place int, size int")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line of the text, from 0) and text of the lines with an anchor word; equal rows once."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    return lines.where(F.lower("body").rlike(ANCHOR)).distinct()
+    """The paragraphs with an anchor word, and of those of several lines the lines with one too; equal rows once.
+
+    doc_id, paragraph (its first line in the text, from 0) and body; ``run`` and ``of`` name the paragraph that a line is in, ``whole`` is false for such lines.
+    """
+    sql = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    anchor, join = sql(ANCHOR), f"'{JOIN}'"
+    text = f"translate(text, {join}, ' ')"
+    joined = f"regexp_replace({text}, case when text rlike {sql(BLANK)} then {sql(BREAK)} else {sql(WRAP)} end, {join})"
+    found = f"filter(transform(split(joined, '\n'), (x, i) -> named_struct('i', i, 'x', x)), s -> lower(s.x) rlike {anchor})"
+    before = "substring_index(joined, '\n', s.i)"
+    first = f"if(s.i = 0, 0, s.i + length({before}) - length(replace({before}, {join}, '')))"
+    runs = f"transform(found, s -> named_struct('run', cast({first} as int), 'x', s.x))"
+    lines = f"filter(transform(split(run.x, {join}), (x, k) -> named_struct('paragraph', run.run + k, 'body', x, 'whole', false)), l -> instr(run.x, {join}) > 0 and lower(l.body) rlike {anchor})"
+    units = f"concat(array(named_struct('paragraph', run.run, 'body', replace(run.x, {join}, ' '), 'whole', true)), {lines})"
+    out = docs.where(F.lower("text").rlike(ANCHOR)).select("doc_id", F.expr(joined).alias("joined")).select("doc_id", "joined", F.expr(found).alias("found"))
+    out = out.select("doc_id", F.explode(F.expr(runs)).alias("run")).select("doc_id", F.col("run.run").alias("run"), F.xxhash64("run.x").alias("of"), F.explode(F.expr(units)).alias("unit"))
+    return out.select("doc_id", "unit.paragraph", "unit.body", "run", "of", "unit.whole").distinct()
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per paragraph found: doc_id, paragraph, family, probability, template_share, confirmed.
 
-    A paragraph is a line. Paragraphs of the unknown class aren't findings, so null and empty texts, and an empty table, give no rows. Null
+    A paragraph is a line or a run of wrapped lines, numbered by its first line. Its lines are scored too, so that a notice among other lines counts: one is a finding
+    instead of the paragraph if it has as many of the template's bigrams or is confirmed alone, and besides it if confirmed of another family. The share is that of the template's
+    part which the paragraph covers, if that is long enough, else of the whole. Paragraphs of the unknown class aren't findings, so null and empty texts, and an empty table, give no rows. Null
     ids stay null; repeated rows of one id and text give one finding. Other columns are ignored. Only paragraphs with an anchor word are shuffled.
     """
     model = model or train()
     weights, templates = tables(docs.sparkSession, model)
     found = paragraphs(docs).withColumn("words", F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))
     pairs = F.expr("if(size(words) < 2, array(), transform(sequence(1, greatest(size(words) - 1, 1)), i -> concat(words[i - 1], ' ', words[i])))")
-    rows = found.select("doc_id", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
-    by = ["doc_id", "paragraph", F.xxhash64("body").alias("mark")]
+    by = ["doc_id", "paragraph", F.xxhash64("body").alias("mark"), "run", "of", "whole"]
     rows = found.select(*by, F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     n = len(FAMILIES)
-    key = ["doc_id", "paragraph", "mark"]
+    key = ["doc_id", "paragraph", "mark", "run", "of", "whole"]
     sums = rows.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)))
     z = F.array(*((F.col(f"z{i}") + model.bias[i]) / model.temperature for i in range(n)))
     scored = sums.select(*key, z.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.select(*key, F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))).alias("probability"))
-    shares = rows.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg((F.count("*") / F.first("size")).alias("share"))
-    shares = shares.groupBy(*key, "family").agg(F.max("share").alias("share"))
+    shares = rows.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.count("*").alias("had"), F.first("size").alias("size"), (F.max("place") - F.min("place") + 1).alias("part"))
+    shares = shares.withColumn("share", F.col("had") / F.when(F.col("had") >= COVERED, F.col("part")).otherwise(F.col("size")))
+    shares = shares.groupBy(*key, "family").agg(F.max("share").alias("share"), F.max("had").alias("had"))
     same = [scored[k].eqNullSafe(shares[k]) for k in (*key, "family")]
     out = scored.where((F.col("family") != "unknown") & (F.col("probability") >= THRESHOLD)).join(shares, same, "left")
     share = F.coalesce("share", F.lit(0.0))
-    return out.select(*(scored[k] for k in ("doc_id", "paragraph", "family")), F.round("probability", 6).alias("probability"), F.round(share, 6).alias("template_share"), (share >= CONFIRMED).alias("confirmed"))
+    out = out.select(*(scored[k] for k in (*key, "family")), F.round("probability", 6).alias("probability"), F.round(share, 6).alias("template_share"), (share >= CONFIRMED).alias("confirmed"), F.coalesce("had", F.lit(0)).alias("had"))
+    w = Window.partitionBy("doc_id", "run", "of")
+    most = lambda where, x: F.max(F.when(where, x)).over(w)
+    whole, line = F.col("whole"), ~F.col("whole") & F.col("confirmed")
+    out = out.select("*", *(most(whole, F.col(x)).alias(f"run_{x}") for x in ("family", "confirmed", "had")), F.coalesce(most(line, F.lit(True)), F.lit(False)).alias("lines"))
+    as_much = F.coalesce(most(line & (F.col("family") == F.col("run_family")), F.col("had")) >= F.col("run_had"), F.lit(False))
+    out = out.withColumn("run_found", F.col("run_family").isNotNull() & (F.col("run_confirmed") | ~F.col("lines")) & ~as_much)
+    out = out.where(F.when(whole, F.col("run_found")).otherwise(~F.col("run_found") | F.col("confirmed") & (F.col("family") != F.col("run_family"))))
+    return out.select("doc_id", "paragraph", "family", "probability", "template_share", "confirmed")

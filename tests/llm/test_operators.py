@@ -224,6 +224,21 @@ def test_licences(spark, sf):
     assert got == {(0, 1): ("MIT", True), (1, 0): ("CC-BY-NC", True), (5, 1): ("GPL-3.0", True)}
 
 
+def test_licences_in_wrapped_lines(spark):
+    import textwrap
+
+    mit = "\n".join(textwrap.wrap(licences.TEMPLATES["MIT"][1].replace("associated documentation files,", 'associated documentation files (the "Software"),'), 78))
+    apache = "# " + "\n# ".join(textwrap.wrap(licences.TEMPLATES["Apache-2.0"][1], 60))
+    isc = "\n".join(textwrap.wrap(licences.TEMPLATES["ISC"][1], 70))
+    half = "\n".join(textwrap.wrap(licences.TEMPLATES["GPL-3.0"][1], 70)[1:])
+    prose = "Some other text that stands here for many words of the page.\n" * 20
+    text = [mit, f"Title\n\n{mit}\n\nEnd of it.", f"# File\n#\n{apache}\n#\n# x", f"One.\n{isc}\nTwo.", half, f"{prose}Released under the MIT License.\n{prose}\n\nEnd."]
+    got = rows(licences.scan(spark.createDataFrame([*enumerate(text)], "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in got) == [
+        (0, 0, "MIT", True), (1, 2, "MIT", True), (2, 2, "Apache-2.0", True), (3, 1, "ISC", True), (4, 0, "GPL-3.0", True), (5, 20, "MIT", True),
+    ]
+
+
 def test_licence_scores_match_plain(spark):
     m = licences.train()
     text = [t for ts in licences.TEMPLATES.values() for t in ts] + licences.OTHER
