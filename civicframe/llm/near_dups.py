@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an LSH forest, links confirmed on the full shingle sets.
 
-Every text is its set of word shingles. Equal sets are one vertex from the start. Each of ``TREES`` sorted signature orders
-is a tree of the forest: its label is ``DEPTH`` minima, and vertices that share the first ``BASE`` of them are neighbours
-by longest common prefix. Vertices joined by such prefixes form regions. A region of bounded weight is compared in one
+Every text is its set of word shingles. Equal sets are one vertex from the start. Each of ``TREES``
+labels of ``DEPTH`` minima is a tree of the forest. Nothing is sorted: vertices that share the first ``BASE`` minima, a fixed depth, are
+neighbours; the deeper minima only serve the buckets of heavy regions below. Vertices joined by such prefixes form regions. A region of bounded weight is compared in one
 task, set by set. A heavier one is compared twice. First, the buckets of a few trees, each at the depth that its density asks for, give
 links that join nearly all of a group of copies. Then, whatever a bucket at ``BASE`` still holds of different components is compared
 block against block: all outside its largest component with all in it. So a group of copies costs no pairs of its own, and no pair
