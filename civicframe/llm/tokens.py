@@ -7,6 +7,7 @@ crosses a boundary goes to the section that holds its first byte.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -17,10 +18,15 @@ from pyspark.sql import DataFrame
 
 from .common import slices, utf8
 
-#: Pieces kept by the encoder of a worker; beyond, it starts anew, so that its memory stays bounded.
-CACHE = 400_000
+#: Parts kept by the encoder of a worker, in two generations, so that its memory stays bounded and frequent parts stay known.
+CACHE = 500_000
+#: Text of these characters alone is split here: printable ASCII, white space, and the letters of Latin-1. All are stable under NFC.
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 #: White space to Python but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f\x85]")
+#: The settings of a tokenizer file under which the encoder splits texts itself; files with others are used as they are.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,53 +36,68 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Values of a function by key. When half of ``CACHE`` is full, what isn't used again before the next time is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE // 2:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.pop(key, None)
+        self[key] = value = self.make(key) if got is None else got
+        return value
+
+
+def _splits_alike(path: str) -> bool:
+    """Whether the file's texts are lower-cased, split by ``SPLIT`` and encoded part by part, none joined to another."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, *bytes_of = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    plain_bytes = len(bytes_of) == 1 and bytes_of[0].get("type") == "ByteLevel" and not bytes_of[0].get("use_regex") and not bytes_of[0].get("add_prefix_space")
+    removed = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split["pattern"].get("Regex") == SPLIT
+    return (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS and bool(removed) and plain_bytes and not spec["post_processor"] and not spec["truncation"] and not spec["padding"]
+
+
 @cache
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts to little-endian 32-bit ids, as ``encode(text, add_special_tokens=False)`` does.
 
-    The tokenizer never joins what white space separates, so a text is encoded as its pieces between white space, and each
-    piece only the first time a worker sees it.
+    Where the file's settings are those above, a text of plain letters is split into the parts that the tokenizer encodes one by one, and each part is
+    encoded only the first time a worker sees it; other texts go through the whole tokenizer by their pieces between white space. Any other file encodes whole texts.
     """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if not _splits_alike(path):
+        return whole
     model, specials = t.model, [x.content for x in t.get_added_tokens_decoder().values()]
-    plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    part = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    part = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
     letters = _byte_letters()
-    known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    def of_part(x: str) -> bytes:
+        shown = x if x.isascii() else x.encode().decode("latin-1").translate(letters)
+        return b"".join([y.id.to_bytes(4, "little") for y in model.tokenize(shown)])
 
-    def lookup(piece: str) -> bytes:
-        """Of ASCII and Latin-1 letters alone, a piece is split here and its parts go to the model; others go through the whole tokenizer."""
-        if not plain.fullmatch(piece) or any(x in piece for x in specials):
-            return ids([piece])[0]
-        out = []
-        for x in part.findall(piece.lower()):
-            got = parts.get(x)
-            if got is None:
-                if len(parts) >= CACHE:
-                    parts.clear()
-                got = parts[x] = b"".join(y.id.to_bytes(4, "little") for y in model.tokenize(x.encode().decode("latin-1").translate(letters)))
-            out.append(got)
-        return b"".join(out)
+    parts, pieces = _Known(of_part), _Known(lambda x: whole([x])[0])
 
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if ODD.search(text):
-                out.append(ids([text])[0])
-                continue
-            pieces = text.split()
-            if missing := [p for p in dict.fromkeys(pieces) if p not in known]:
-                if len(known) + len(missing) > CACHE:
-                    known.clear()
-                    missing = list(dict.fromkeys(pieces))
-                known.update((p, lookup(p)) for p in missing)
-            out.append(b"".join(map(known.__getitem__, pieces)))
+            special = any(x in text for x in specials)
+            if not special and PLAIN.fullmatch(text):
+                out.append(b"".join(map(parts.__getitem__, part.findall(text.lower()))))
+            elif special or ODD.search(text):
+                out.append(whole([text])[0])
+            else:
+                out.append(b"".join(map(pieces.__getitem__, text.split())))
         return out
 
     return encode
