@@ -9,6 +9,7 @@ stream, cut into windows without gaps; only the last is short.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,25 +51,39 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 def pack(docs: DataFrame, path: str, window: int = 2048, grain: int = 256, shares: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, source, sequence_id, offset.
 
-    path: the tokenizer's file. grain: tokens that a source sends at once. shares: target proportions of sources; by
-    default, and for sources not named, those of the input. The pieces of a document tile its ids. Null texts count as empty: one end id. A null
+    path: the tokenizer's file. grain: tokens that a source sends at once. shares: target proportions of sources, from 0 and
+    1 in sum at most; sources not named have what is left, by their sizes. A source without a share is served after all others; where one
+    has run out, the others go on in their proportions. The pieces of a document tile its ids. Null texts count as empty: one end id. A null
     source is the source "". Repeated rows are packed each. An empty table gives no rows; other columns are ignored.
     """
     tokens = cut(tokenize(docs, path), "tokens")
     return arrange(tokens, window, grain, shares)
 
 
+def checked(shares: dict[str, float] | None) -> dict[str, float]:
+    """Target proportions as numbers from 0 that sum to 1 at most; raises ValueError for others."""
+    out = {k: float(v) for k, v in (shares or {}).items()}
+    if any(not math.isfinite(v) or v < 0 for v in out.values()) or sum(out.values()) > 1 + 1e-9:
+        raise ValueError("shares must be numbers from 0 that sum to 1 at most")
+    return out
+
+
+def credits(sums: DataFrame, shares: dict[str, float], window: int) -> DataFrame:
+    """source and credit of (source, n): the tokens that a source earns in a round; 0 for those that are served after all others."""
+    named = sums.sparkSession.createDataFrame([*shares.items()], "source string, share double")
+    of = sums.join(F.broadcast(named), "source", "left")  # as many rows as the caller named
+    rest = of.agg(F.sum(F.when(F.col("share").isNull(), F.col("n")))).first()[0] or 1
+    left = max(0.0, 1 - sum(shares.values()))
+    return of.select("source", (F.coalesce("share", F.col("n") / rest * left) * window).alias("credit"))
+
+
 def arrange(tokens: DataFrame, window: int = 2048, grain: int = 256, shares: dict[str, float] | None = None) -> DataFrame:
     """Pieces of what ``tokenize`` gave, written."""
     spark = tokens.sparkSession
     by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     ordered = W.partitionBy("source").orderBy("part")  # a row for each input split at most, however large a source is
     queues = by_part.select("source", "part", (F.sum("n").over(ordered) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("source")).alias("size"))
-    sums = tokens.groupBy("source").agg(F.sum("n").alias("n"))
-    total = tokens.agg(F.sum("n")).first()[0] or 1
-    named = spark.createDataFrame([(k, float(v)) for k, v in (shares or {}).items()], "source string, share double")
-    weights = sums.join(F.broadcast(named), "source", "left")
-    weights = weights.select("source", (F.coalesce("share", F.col("n") / total) * window).alias("credit"))
+    weights = cut(credits(tokens.groupBy("source").agg(F.sum("n").alias("n")), checked(shares), window), "credits")
     queues = queues.join(weights, "source")
     if by_part.count() <= SMALL:  # else the tokens are shuffled to their queues
         queues = F.broadcast(queues)
@@ -79,7 +94,9 @@ def arrange(tokens: DataFrame, window: int = 2048, grain: int = 256, shares: dic
     pieces = pieces.withColumn("first", first).withColumn("length", last - first).withColumn("start", F.col("first") - F.col("at"))
     # A source begins with a credit of its own, or all small ones would wait for the last rounds.
     due = F.least((F.col("k") + 1) * grain, "size") - F.least(F.lit(grain), "size") * (F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20))
-    pieces = pieces.withColumn("round", F.ceil(due / F.col("credit")).cast("long"))
+    last = queues.where("credit > 0").agg(F.max(F.ceil(F.col("size") / F.col("credit")))).first()[0] or 0
+    turn = F.when(F.col("credit") > 0, F.ceil(due / F.col("credit"))).otherwise(int(last) + 1 + F.ceil(due / window))
+    pieces = pieces.withColumn("round", turn.cast("long"))
     pieces = pieces.withColumn("ids", F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))"))
     pieces = pieces.select("doc_id", "source", "ids", F.col("n").alias("doc_tokens"), "start", "length", "round", "k", "first")
     before = W.partitionBy("block").orderBy("round")

@@ -131,6 +131,73 @@ def test_packing(spark, sf, docs):
             assert all(abs(sent[k] - share[k] * 2048 * (s + 1)) <= 2 * 256 + 2048 * share[k] + 256 for k in share)
 
 
+def pack_small(spark, tmp_path, made, **kwargs):
+    """Pieces, by place in the stream, of texts of one-letter words: a token each, and the end."""
+    df = spark.createDataFrame([(i, " ".join("x" * n) if n is not None else None, s, 7, "k") for i, n, s in made], "doc_id long, text string, source string, n int, key string")
+    return sorted(rows(packing.pack(df, catalog.tokenizer("word_bpe_49k.json"), **kwargs)), key=lambda p: (p["sequence_id"], p["offset"]))
+
+
+def test_packing_meets_target_shares(spark, tmp_path):
+    """Against a round-robin that serves one chunk after the other, each source from a credit of its own."""
+    rng = np.random.default_rng(4)
+    made = [(i, int(rng.integers(0, 90)), "abc"[min(2, int(rng.exponential(0.7)))]) for i in range(2400)]
+    share = {"a": 0.2, "b": 0.5, "c": 0.3}
+    pieces = pack_small(spark, tmp_path, made, window=256, grain=32, shares=share)
+    size = Counter()
+    for _, n, s in made:
+        size[s] += n + 1
+    sent, served, at = Counter(), {k: [] for k in share}, 0
+    for p in pieces:
+        assert p["sequence_id"] * 256 + p["offset"] == at
+        at += p["length"]
+        sent[p["source"]] += p["length"]
+        for k in share:
+            served[k].append((at, sent[k]))
+    assert sent == size and at == sum(size.values())
+    first_out = min(k for k in (n for n in range(1, at // 256) if any(sum(p["length"] for p in pieces if p["source"] == s and p["sequence_id"] < n) == size[s] for s in share)))
+    for n in range(1, first_out):  # until a source runs out, every source is within a chunk and a first credit of its target
+        for k, x in share.items():
+            got = max((b for a, b in served[k] if a <= n * 256), default=0)
+            assert abs(got - x * 256 * n) <= 2 * 32 + 256 * x + 32, (n, k)
+    credit = {k: x * 256 for k, x in share.items()}
+    simulated = []
+    start = {r[0]: min(32, size[r[0]]) * (r[1] % (1 << 20)) / (1 << 20) for r in spark.createDataFrame([(k,) for k in share], "s string").select("s", F.xxhash64("s")).collect()}
+    deficit, left = dict(start), dict(size)
+    while any(left.values()):
+        for s in sorted(share):
+            deficit[s] += credit[s]
+            while left[s] and min(32, left[s]) <= deficit[s] + 1e-9:
+                n = min(32, left[s])
+                deficit[s] -= n
+                left[s] -= n
+                simulated.append((s, n))
+    assert [p["source"] for p in pieces for _ in range(p["length"])] == [s for s, n in simulated for _ in range(n)]
+
+
+def test_packing_cases(spark, tmp_path):
+    for bad in ({"a": -0.1}, {"a": 0.7, "b": 0.6}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            packing.checked(bad)
+    made = [(1, 40, "a"), (2, 30, "b"), (1, 40, "a"), (3, None, "a"), (4, 0, None), (None, 5, "b"), (5, 3000, "a")]
+    for shares in ({"a": 0.0}, {"b": 1.0}, None):
+        pieces = pack_small(spark, tmp_path, made, window=64, grain=16, shares=shares)
+        got = Counter()
+        for p in pieces:
+            got[p["doc_id"], p["doc_tokens"]] += p["length"]
+        assert got == {(1, 41): 82, (2, 31): 31, (3, 1): 1, (4, 1): 1, (None, 6): 6, (5, 3001): 3001}
+        if shares:  # a has no share, so it is served last
+            assert [p["source"] == "a" for p in pieces] == sorted(p["source"] == "a" for p in pieces)
+    assert pack_small(spark, tmp_path, []) == []
+
+
+def test_encoder_follows_the_file():
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer("byte_bpe_50k.json")
+    text = "Hello World it's  12"
+    assert np.frombuffer(tokens.encoder(path)([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_statistics_and_list(spark, sf, docs):
     got = {r["doc_id"]: r for r in rows(catalog.op3_decision_list(spark, sf))}
     for i, text in docs:
