@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +23,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set to a local one only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset; a cluster's machines share no local folder."""
     ship(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
+
+
+#: A folder within the shared one, for what is written until ``scratch`` ends.
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What operators write while this lasts is removed at its end, so results must have been written elsewhere by then."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +59,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows that are broadcast; more are joined by a shuffle.
+SMALL = 500_000
+
+
+def mark(text: str | Column = "text") -> Column:
+    """A hash of a text, which names a row together with its id. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Broadcast if it has few rows. ``df`` should be cut, as it is counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; 2 is held out. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -8,6 +8,7 @@ ordered ``when`` expression, so that applying it is a projection.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, pylists, slices, utf8
+from .common import mark, slices, utf8
 
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -77,12 +79,18 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         rows = np.array([measure(x) for x in utf8(b, "text")], np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], names=["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], names=[*b.schema.names, *(f"q_{c}" for c in COUNTS)])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of the whole text of each row. Null and empty texts count zero; repeated rows stay repeated."""
-    return docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    """The rows with COUNTS of their whole text, as q_n_words and so on. Null and empty texts count zero; repeated rows stay repeated."""
+    schema = StructType([*docs.schema.fields, *(StructField(f"q_{c}", LongType()) for c in COUNTS)])
+    return docs.mapInArrow(_measure, schema)
+
+
+def _of(expression: str) -> str:
+    """An expression over COUNTS as one over the columns of ``statistics``."""
+    return re.sub(r"\b(" + "|".join(COUNTS) + r")\b", r"q_\1", expression)
 
 
 @dataclass(frozen=True)
@@ -94,7 +102,7 @@ class Rule:
     def column(self) -> Column:
         out = F.lit(True)
         for name, sign, at in self.conditions:
-            out = out & (F.expr(FEATURES[name]) >= at if sign > 0 else F.expr(FEATURES[name]) <= at)
+            out = out & (F.expr(_of(FEATURES[name])) >= at if sign > 0 else F.expr(_of(FEATURES[name])) <= at)
         return out
 
     def __str__(self) -> str:
@@ -167,14 +175,25 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 16,
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[Rule]:
-    """Rules from a bounded sample of labelled rows: the ``max_rows`` labels first in the order of a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """text and label of a bounded sample: the ``max_rows`` ids first in the order of a hash, each with one text.
+
+    An id with several labels has the smallest; of several texts with one id, the one with the smallest hash teaches. So the sample is the same in every run.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), mark()).alias("row")).select("row.text", F.col("row.label").alias(label))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[Rule]:
+    """Rules from the texts of ``max_rows`` labelled ids at most (``labelled``).
 
     Rows without id or label don't teach; with no labelled rows the list is empty, and keeps all that the base rules keep.
     """
-    sample = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     names = list(FEATURES)
-    rows = stats.join(F.broadcast(sample), "doc_id").select("quality", *(F.expr(c).alias(k) for k, c in FEATURES.items())).limit(4 * max_rows).toArrow()
+    stats = statistics(labelled(docs, labels, "quality", max_rows))
+    rows = stats.select("quality", *(F.expr(_of(c)).alias(k) for k, c in FEATURES.items())).toArrow()
     x = np.column_stack([rows.column(k).to_numpy() for k in names]) if rows.num_rows else np.zeros((0, len(names)))
     y = rows.column("quality").to_numpy() == 0
     order = np.lexsort([*x.T, y]) if len(x) else []  # the same rules in whatever order the rows come
@@ -186,15 +205,22 @@ def decide(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     rule = F.lit(0)
     for i, r in reversed(list(enumerate(rules, 1))):
         rule = F.when(r.column(), F.lit(i)).otherwise(rule)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    failed = (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
+    return stats.withColumns({"base_failed": failed, "rule": rule}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, COUNTS, base_failed, rule, kept.
 
-    Texts are read once; the statistics are written to the shared folder, then learned from and judged. Null and empty texts
+    The labelled texts are measured and learned from; then all are measured and judged in one pass, without a shuffle. Null and empty texts
     have no words and fail the base rules. Repeated rows are judged alike. Other columns of either table are ignored.
     """
-    stats = cut(statistics(docs), "quality")
-    return decide(stats, fit(stats, labels))
+    judged = decide(statistics(docs.select("doc_id", "text")), fit(docs, labels))
+    return judged.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in COUNTS), "base_failed", "rule", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns: each is judged where it is read, whatever its id."""
+    plain = [c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)]  # names that clash with none of ours
+    judged = decide(statistics(docs.toDF(*plain)), fit(docs, labels))
+    return judged.where("kept").select(*(F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, pylists, slices
+from .quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 22
@@ -79,7 +80,7 @@ def _associated(rows: list[np.ndarray], y: np.ndarray, least_g: float, most: int
 
 
 def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 60, rate: float = 0.05, decay: float = 2e-4, least_g: float = 8.0, most: int = 20_000) -> Machine:
-    """Adam on the logistic loss. rows: distinct hashed terms of each text."""
+    """Adam on the logistic loss. rows: distinct hashed terms of each text. most: terms that the machine knows at most, those most associated with the label."""
     if not len(rows) or not 0 < y.sum() < len(y):
         p = float(y.mean()) if len(y) else 0.0
         return Machine(np.zeros(0, np.int64), float(np.log((p + 1e-3) / (1 - p + 1e-3))), np.zeros(0), np.zeros((0, factors)))
@@ -123,13 +124,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Machine:
-    """The machine, from a bounded sample of the labels outside the held-out fold: ``max_rows`` in the order of a hash of the id.
+    """The machine, from the texts of ``max_rows`` labelled ids at most outside the held-out fold (``quality.labelled``).
 
-    Only the text teaches. Rows without id or label are left out; with no rows the score is a constant.
+    Only the text teaches. Rows without id or label are left out; with no rows the score is a constant. Of a text's terms, those count whose presence
+    goes with the label in the sample (``least_g``), the ``most`` strongest: a pair whose members show nothing alone isn't learned.
     """
-    sample = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 2).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = joined.mapInArrow(_hashed, "toxic int, terms array<int>").limit(4 * max_rows).toArrow()
+    sample = labelled(docs, labels.where(fold(F.col("doc_id")) != 2), "toxic", max_rows)
+    got = sample.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms array<int>").toArrow()
     rows = [x.values.to_numpy() if len(x) else np.zeros(0, np.int32) for x in got.column("terms").combine_chunks()] if got.num_rows else []
     y = got.column("toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh3_128_digest(rows[i].tobytes()), y[i]))  # the same model in whatever order the rows come
