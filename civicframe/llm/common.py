@@ -59,6 +59,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is computed once; as a column it may be put back into the lambdas that use it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 #: Keys of rows that are broadcast; more are joined by a shuffle.
 SMALL = 500_000
 

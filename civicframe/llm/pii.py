@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bind as _with
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Bounded by the standards' lengths, 64 (here 256) of a local part, 63 of a label and 127 labels, and possessive where that changes nothing: a
 #: run of any length is passed over in steps of a bounded number, and the matcher never goes deep.
@@ -83,11 +85,6 @@ def _turned(key: str, x: str, hexadecimal: bool = False) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> named_struct('l', s.r, 'r', {left}), s -> concat(s.l, s.r))"
 
 
-def _with(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _weighted(digits: str, doubled: int) -> str:
     """Sum of the digits, those of this parity of the place from the right doubled, as the check digit rule has it."""
     digit = f"cast(substr({digits}, length({digits}) - q, 1) as int)"

@@ -344,6 +344,19 @@ def test_decontaminate_cases(spark):
     ])
 
 
+def test_decontaminate_edges(spark):
+    item, doc = "item_id long, text string", "doc_id long, text string, mark string, places int"
+    words = [f"w{k}" for k in range(60_000)]
+    long = spark.createDataFrame([(1, " ".join(words), "m", 0)], doc)
+    items = spark.createDataFrame([(k, " ".join(words[k * 30 : k * 30 + 15])) for k in range(2000)], item)  # half of a long text
+    start = time.time()
+    (got,) = rows(decontaminate.decontaminate(long, items))
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == (60_000, 30_000, 2000) and time.time() - start < 60
+    assert rows(decontaminate.decontaminate(long.where("doc_id = 5"), items)) == []
+    (got,) = rows(decontaminate.decontaminate(long, items.where("item_id < 0")))
+    assert (got["n_words"], got["n_hit"], got["items"]) == (60_000, 0, [])
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
