@@ -73,9 +73,9 @@ def mark(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """Broadcast if it has few rows. ``df`` should be cut, as it is counted."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= (SMALL if most is None else most) else df
 
 
 def fold(doc_id: Column) -> Column:

@@ -1,12 +1,12 @@
 """MinHash near-duplicates by an LSH forest, links confirmed on the full shingle sets.
 
-Every text is its set of word shingles. Equal sets are one vertex from the start. Each of ``TREES``
-labels of ``DEPTH`` minima is a tree of the forest. Nothing is sorted: vertices that share the first ``BASE`` minima, a fixed depth, are
-neighbours; the deeper minima only serve the buckets of heavy regions below. Vertices joined by such prefixes form regions. A region of bounded weight is compared in one
-task, set by set. A heavier one is compared twice. First, the buckets of a few trees, each at the depth that its density asks for, give
-links that join nearly all of a group of copies. Then, whatever a bucket at ``BASE`` still holds of different components is compared
-block against block: all outside its largest component with all in it. So a group of copies costs no pairs of its own, and no pair
-of neighbours is left out at any size. The confirmed links are contracted to components.
+Every text is its set of word shingles. Equal sets are one vertex from the start. Each of ``TREES`` labels of ``DEPTH`` minima is a tree
+of the forest: an order of all vertices, sorted by label over the cluster. Neighbours in an order are candidates as deep as their longest common prefix, from
+``BASE`` minima on; neighbours chained over all orders form regions. The depth adapts to the region. A sparse one, of bounded size, is compared whole at
+``BASE``. A dense one is cut along the orders of ``SEEDS`` trees into chunks of bounded size, where the common prefix is shortest, so deeper
+where more vertices stand; the links found there join nearly all of a group of copies. Then whatever still shares ``BASE`` minima, but belongs to different components,
+is compared block against block: all outside the largest component with all in it. So a group of copies costs no pairs of its own, no task compares more than ``MEMBERS``
+vertices at a time, and no pair of neighbours is left out at any size. The confirmed links are contracted to components.
 """
 
 from __future__ import annotations
@@ -16,20 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pylists, slices, utf8
+from .common import cut, mark, pylists, slices, small, utf8
 
 SHINGLE = 5
 #: A pair of similarity 0.75 misses all trees with a probability of (1 - 0.75**4)**28 = 2e-5.
 TREES, BASE, DEPTH = 28, 4, 8
 #: Shingles that are compared in one task at a time, and members.
-WEIGHT, MEMBERS = 1 << 20, 4096
-#: Trees that are looked at first in heavy regions.
+WEIGHT, MEMBERS = 1 << 20, 256
+#: Trees whose orders are cut into chunks in dense regions.
 SEEDS = 8
-#: Vertices that are looked up by a broadcast table; more are joined by a shuffle.
-SMALL = 500_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _rng = np.random.default_rng(20)
 MIX = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(64)], dtype=np.uint64)
@@ -83,19 +82,122 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = labels(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             base.append(x)
             rest.append(y)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(base, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "base", "rest"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(base, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "key", "base", "rest"])
+
+
+def _prefixes(tree: np.ndarray, base: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Minima that each row has in common with the row before, from ``BASE`` on; 0 for fewer, and for the first row."""
+    out = np.zeros(len(tree), np.int64)
+    if len(tree) > 1:
+        other = rest[1:].view(np.uint64) ^ rest[:-1].view(np.uint64)
+        deep = BASE + sum((other >> np.uint64(16 * k) == 0).astype(np.int64) for k in range(DEPTH - BASE))
+        out[1:] = np.where((tree[1:] == tree[:-1]) & (base[1:] == base[:-1]), deep, 0)
+    return out
+
+
+ORDERED = "part int, edge int, key long, n long, tree int, base long, rest long, prev long, depth int"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by tree and label, those with a neighbour on either side, each with the one before it and their common prefix.
+
+    The first and the last row of a task are always there (edge 1, 2 or both), as their neighbours may be in other tasks.
+    """
+    part, held, first = TaskContext.get().partitionId(), None, True
+
+    def out(cols: dict[str, np.ndarray], depth: np.ndarray, edge: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        prev = np.concatenate([[0], cols["key"][:-1]])
+        arrays = [np.full(keep.sum(), part, np.int32), edge[keep].astype(np.int32), *(cols[c][keep] for c in ("key", "n")), cols["tree"][keep].astype(np.int32), cols["base"][keep], cols["rest"][keep]]
+        own = depth[keep]
+        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(prev[keep], mask=own == 0), pa.array(own.astype(np.int32))], names=[x.split()[0] for x in ORDERED.split(", ")])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "tree", "base", "rest")}
+        if held:  # the last row of the batch before, and the row before that, which only its prefix needs
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+        depth = _prefixes(cols["tree"], cols["base"], cols["rest"])
+        keep = depth > 0
+        keep[:-1] |= depth[1:] > 0
+        edge = np.zeros(len(keep), np.int64)
+        if first:
+            edge[0] = 1
+        keep |= edge > 0
+        done = 1 if held and len(held["key"]) > 1 else 0
+        keep[:done], keep[-1] = False, False  # the row before is out already; the last waits for its successor
+        if keep.any():
+            yield out(cols, depth, edge, keep)
+        first = first and len(keep) == 1
+        held = {c: v[-2:] for c, v in cols.items()}
+    if held:
+        depth = _prefixes(held["tree"], held["base"], held["rest"])
+        keep = np.arange(len(depth)) == len(depth) - 1
+        yield out(held, depth, np.where(keep, 3 if first else 2, 0), keep)
+
+
+def _seam(ordered: DataFrame) -> list[tuple[int, int]]:
+    """The neighbours that stand in different tasks: of two rows a task at most, whatever the number of rows."""
+    edges = sorted(ordered.where("edge > 0").select("part", "edge", "key", "tree", "base").collect())
+    pairs = [(x, y) for x, y in zip(edges, edges[1:], strict=False) if x.part != y.part and (x.tree, x.base) == (y.tree, y.base)]
+    return [(x.key, y.key) for x, y in pairs]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and group of rows sorted by tree and label: runs with a common prefix, cut where it is shortest once they are full."""
+    keys: list[int] = []
+    sizes: list[int] = []
+    depths: list[int] = []
+    tree, last, made = 0, None, ([], [])
+
+    def close(n: int) -> None:
+        if n > 1:
+            group = xxhash.xxh3_64_intdigest(f"{tree} {keys[0]} {keys[n - 1]}".encode())
+            made[0].extend(keys[:n])
+            made[1].extend([int(np.int64(np.uint64(group)))] * n)
+        del keys[:n], sizes[:n], depths[:n]
+
+    for b in batches:
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("tree", "base", "rest", "key", "n")]
+        if last is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
+        depth = _prefixes(*cols[:3])
+        for i in range(0 if last is None else 1, len(depth)):
+            if depth[i] == 0:
+                close(len(keys))
+                tree = int(cols[0][i])
+            elif len(keys) >= MEMBERS or sum(sizes) + cols[4][i] > WEIGHT and len(keys) > 1:
+                at = min(range(len(keys) // 2, len(keys)), key=lambda k: (depths[k], -k), default=0)
+                close(max(1, at if depths[at] < depth[i] else len(keys)))
+            keys.append(int(cols[3][i]))
+            sizes.append(int(cols[4][i]))
+            depths.append(int(depth[i]))
+        last = [c[-1:] for c in cols]
+        if made[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64())], names=["key", "group"])
+            made = ([], [])
+    close(len(keys))
+    if made[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64())], names=["key", "group"])
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """The forest's orders: rows sorted by tree and label over the cluster; equal labels in another order in each tree."""
+    by = ["tree", "base", "rest", F.xxhash64("key", "tree")]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the members, and the groups each is compared in."""
+    """The sets of the members, and the groups each is compared in; of repeated rows in a task, one."""
+    seen: set[int] = set()
     for b in slices(batches):
         keys, groups, sets = [], [], []
         for raw, key, own in zip(utf8(b, "text"), *pylists(b, "key", "groups"), strict=True):
-            s = shingles(raw)
-            if len(s) and set_key(s) == key:  # of rows with the same id and another text, only the one that is meant
+            if key not in seen:
+                seen.add(key)
                 keys.append(key)
                 groups.append(own)
-                sets.append(s.tobytes())
+                sets.append(shingles(raw).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(groups, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["key", "groups", "hashes"])
 
 
@@ -175,38 +277,16 @@ def _fits() -> Column:
     return (F.col("weight") <= WEIGHT) & (F.col("members") <= MEMBERS)
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
-    """key and group of the vertices in heavy regions: buckets of the first trees, deeper where they are dense, at last in blocks.
-
-    What shares a group may be linked; what shares none is left to ``_rest``.
-    """
-    levels = range(DEPTH - BASE + 1)
-    todo, out = rows.where(F.col("tree") < SEEDS), None
-    for d in levels:
-        todo = todo.withColumn(f"p{d}", F.shiftright("rest", 16 * (DEPTH - BASE - d)) if d else F.lit(0).cast("long"))
-    for d in levels:
-        path = ["tree", "base", f"p{d}"]
-        sums = todo.groupBy(*path).agg(F.sum("n").alias("weight"), F.count("*").alias("members")).where("members > 1")
-        todo = todo.join(sums, path)
-        take = todo if d == levels[-1] else todo.where(_fits())
-        block = F.when(_fits(), 0).otherwise(F.pmod(F.xxhash64("key", "tree"), _blocks(F.col("weight"), F.col("members"))))
-        take = take.select("key", F.xxhash64(F.lit(d), *path, block).alias("group"))
-        out = take if out is None else out.unionByName(take)
-        todo = todo.where(~_fits()).drop("weight", "members")
-    return out
-
-
 def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """key and group of the vertices in heavy regions whose bucket holds different components (``parts``: key, part).
 
     Pairs within the largest component of a bucket need no look. Its blocks meet those of the other vertices, and these each other.
-    Buckets that ``_seeds`` compared whole are left out.
     """
     path = ["tree", "base"]
     rows = rows.join(parts, "key")
     by = rows.groupBy(*path, "part").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     buckets = by.groupBy(*path).agg(F.sum("w").alias("weight"), F.sum("m").alias("members"), F.max(F.struct("w", "m", "part")).alias("top"), F.count("*").alias("parts"))
-    buckets = buckets.where(F.col("parts") > 1).where(~_fits() | (F.col("tree") >= SEEDS))
+    buckets = buckets.where(F.col("parts") > 1)
     few = _blocks(F.col("weight") - F.col("top.w"), F.col("members") - F.col("top.m"))
     buckets = buckets.select(*path, _fits().alias("whole"), few.alias("few"), _blocks(F.col("top.w"), F.col("top.m")).alias("many"), F.col("top.part").alias("top"))
     rows = rows.join(buckets, path)
@@ -218,11 +298,10 @@ def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """key, groups and hashes of the vertices in ``members`` (key, doc_id, groups)."""
-    members = cut(members, "members")
-    if members.count() <= SMALL:
-        members = F.broadcast(members)
-    return docs.select("doc_id", "text").join(members, "doc_id").select("key", "groups", "text").mapInArrow(_sets, "key long, groups array<long>, hashes binary")
+    """key, groups and hashes of the vertices in ``members`` (key, doc_id, mark, groups)."""
+    members = small(cut(members.withColumnsRenamed({"doc_id": "member", "mark": "member_mark"}), "members"))
+    rows = docs.select("doc_id", "text")
+    return rows.join(members, rows.doc_id.eqNullSafe(members.member) & (mark(rows.text) == members.member_mark)).select("key", "groups", "text").mapInArrow(_sets, "key long, groups array<long>, hashes binary")
 
 
 def _links(grouped: DataFrame, percent: int) -> DataFrame:
@@ -230,31 +309,30 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
     return grouped.repartition("group").sortWithinPartitions("group", "key").mapInArrow(_compare(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
-
-    Texts without words (null, empty) have no shingles and are alone. Rows without a doc_id are neither linked nor linking:
-    component_id null, kept true. Repeated rows have the same component. Other columns are ignored.
-    """
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, key long, base array<long>, rest array<long>"), "signed")
-    own = signed.where("key is not null and doc_id is not null")
-    reps = own.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("base").alias("base"), F.first("rest").alias("rest"))
-    trees = reps.select("key", "doc_id", "n", F.posexplode(F.arrays_zip("base", "rest")).alias("tree", "at")).select("key", "doc_id", "n", "tree", "at.base", "at.rest")
-    heads = trees.groupBy("tree", "base").agg(F.min("key").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-    near = cut(trees.join(heads, ["tree", "base"]), "near")
-
-    regions = components(near.select(F.col("head").alias("u"), F.col("key").alias("v")))
-    vertices = near.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n")).join(regions.withColumnRenamed("id", "key"), "key")
-    vertices = cut(vertices, "vertices")
+def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``near_duplicates`` with the hash of the text of each row (mark), which names a row together with its id."""
+    signed = docs.select("doc_id", mark().alias("mark"), "text").select("doc_id", "mark", "text")
+    signed = cut(signed.mapInArrow(_signed, "doc_id long, mark long, n long, key long, base array<long>, rest array<long>"), "signed")
+    own = signed.where("key is not null")
+    reps = own.groupBy("key").agg(F.first("n").alias("n"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    trees = reps.select("key", "n", F.posexplode(F.arrays_zip("base", "rest")).alias("tree", "at")).select("key", "n", "tree", "at.base", "at.rest")
+    near = cut(_sorted(trees).mapInArrow(_neighbours, ORDERED), "near")
+    spark = docs.sparkSession
+    chained = near.where("prev is not null").select(F.col("prev").alias("u"), F.col("key").alias("v")).unionByName(spark.createDataFrame(_seam(near), "u long, v long"))
+
+    regions = components(chained)
+    named = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row"))
+    sizes = near.groupBy("key").agg(F.first("n").alias("n")).join(regions.withColumnRenamed("id", "key"), "key")
+    vertices = cut(sizes.join(named, "key").select("key", "n", "root", "row.doc_id", "row.mark"), "vertices")
     weights = vertices.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
-    heavy = weights.where((F.col("weight") > WEIGHT) | (F.col("members") > MEMBERS)).select("root")
-    light = vertices.join(heavy, "root", "left_anti").select("key", "doc_id", F.array(F.xxhash64(F.lit("region"), "root")).alias("groups"))
-    dense = vertices.join(heavy, "root", "left_semi").select("key", "doc_id")
+    heavy = weights.where(~_fits()).select("root")
+    light = vertices.join(heavy, "root", "left_anti").select("key", "doc_id", "mark", F.array(F.xxhash64(F.lit("region"), "root")).alias("groups"))
+    dense = vertices.join(heavy, "root", "left_semi").select("key", "doc_id", "mark")
     some = not heavy.isEmpty()
     members = light
     if some:
-        inside = cut(near.drop("head", "doc_id").join(dense.select("key"), "key", "left_semi"), "heavy")
-        groups = _seeds(inside).groupBy("key").agg(F.collect_set("group").alias("groups"))  # SEEDS at most
+        inside = cut(near.select("key", "n", "tree", "base", "rest").join(dense.select("key"), "key", "left_semi"), "heavy")
+        groups = _sorted(inside.where(F.col("tree") < SEEDS)).mapInArrow(_chunks, "key long, group long").groupBy("key").agg(F.collect_set("group").alias("groups"))  # SEEDS at most
         members = light.unionByName(dense.join(groups, "key"))
     joined = components(_links(_hashes(docs, members).select("key", F.explode("groups").alias("group"), "hashes"), percent))
     if some:
@@ -265,10 +343,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             more = _links(_hashes(docs, members).drop("groups").join(rest, "key").select("key", "group", "hashes"), percent)
             joined = components(joined.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
 
-    keys = own.groupBy("key").agg(F.min("doc_id").alias("first")).join(joined.withColumnRenamed("id", "key"), "key", "left")
+    keys = own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least")).join(joined.withColumnRenamed("id", "key"), "key", "left")
     keys = keys.withColumn("root", F.coalesce("root", "key"))
-    ids = keys.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = keys.join(ids, "root").select("key", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of, "key", "left")
+    ids = keys.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("least"))
+    of = keys.join(ids, "root").select("key", "component_id", ids.least)
+    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    alone = component.isNull() & F.coalesce(F.col("mark") == F.col("least"), F.lit(True))
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == component).otherwise(alone)
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    Texts without words (null, empty) have no shingles and are alone. Rows without a doc_id link as others do, and aren't kept where a row with one is in their
+    component; a component of such rows alone has the component_id null, and those with its smallest text hash are kept. Repeated rows have the same component,
+    and are kept alike. Other columns are ignored. An empty table gives no rows.
+    """
+    return classes(docs, percent).drop("mark")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from civicframe.llm import catalog, decontaminate, html_extract, licences, near_dups, packing, pii, quality, tokens, toxicity, warc
+from civicframe.llm import catalog, common, decontaminate, html_extract, licences, near_dups, packing, pii, quality, tokens, toxicity, warc
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -576,7 +576,7 @@ def test_heavy_regions_lose_nothing(spark, monkeypatch, weight, members):
     """Near copies with similarities on both sides of the threshold, over many small blocks."""
     monkeypatch.setattr(near_dups, "WEIGHT", weight)
     monkeypatch.setattr(near_dups, "MEMBERS", members)
-    monkeypatch.setattr(near_dups, "SMALL", 0)
+    monkeypatch.setattr(common, "SMALL", 0)
     rng = np.random.default_rng(2)
     base = [f"w{k}" for k in range(60)]
     made = []
@@ -590,6 +590,50 @@ def test_heavy_regions_lose_nothing(spark, monkeypatch, weight, members):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_orders_find_every_common_prefix(spark):
+    """Neighbours along the sorted orders, over many tasks and small batches, against a plain sort."""
+    rng = np.random.default_rng(6)
+    made = [(int(k), 1, int(t), int(rng.integers(0, 40)), int(rng.integers(0, 3)) << int(rng.choice([0, 16, 48]))) for k in range(500) for t in range(3)]
+    df = spark.createDataFrame(made, "key long, n long, tree int, base long, rest long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = near_dups._sorted(df.repartition(5)).mapInArrow(near_dups._neighbours, near_dups.ORDERED)
+        got = out.collect()
+        seam = near_dups._seam(spark.createDataFrame(got, out.schema))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    buckets = defaultdict(set)
+    for k, _, t, b, _ in made:
+        buckets[t, b].add(k)
+    of = {}
+    for r in got:
+        if r.prev is not None:
+            of.setdefault((r.tree, r.base), []).append((r.prev, r.key))
+    for (t, b), own in buckets.items():
+        edges = of.get((t, b), []) + [e for e in seam if set(e) <= own]
+        seen, todo = set(), [min(own)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [v for e in edges if x in e for v in e]
+        assert seen == own
+    assert len(got) == len({(r.key, r.tree) for r in got})
+
+
+def test_near_duplicates_cases(spark):
+    text = " ".join(f"word{k}" for k in range(50))
+    made = [(5, text, 1, True), (3, text + " more", 1, None), (3, "quite another text of some words", 1, True), (3, text + " more", 1, True), (None, text + " too", 1, True), (7, None, 1, True), (8, "", 1, True), (9, " \n", 1, True),
+            (None, "only here and only here alone", 1, True), (None, "only here and only here alone", 1, True), (None, None, 1, True)]
+    df = spark.createDataFrame(made, "doc_id long, text string, n int, kept boolean")
+    got = sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_dups.near_duplicates(df))), key=str)
+    assert got == sorted([
+        ("5", 46, 3, False), ("3", 47, 3, True), ("3", 2, 3, True), ("3", 47, 3, True), ("None", 47, 3, False), ("7", 0, 7, True), ("8", 0, 8, True), ("9", 0, 9, True),
+        ("None", 2, None, True), ("None", 2, None, True), ("None", 0, None, True),
+    ], key=str)
+    assert rows(near_dups.near_duplicates(df.where("doc_id = 99"))) == []
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {r["id"]: r["root"] for r in rows(near_dups.components(spark.createDataFrame(edges, "u long, v long")))}
