@@ -10,36 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicframe.llm import catalog, decontaminate, near_dups, packing, pii, quality
-from civicframe.llm.common import shared_path, table
+from civicframe.llm.common import cut, mark, scratch, shared_path, small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The documents whose verdict holds. Rows without an id are kept, as no verdict can be carried to them."""
-    gone = verdicts.where(~F.col(keep) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows without those of ``gone`` (doc_id, mark): a row is meant by its id, null too, and its text.
+
+    Few verdicts are broadcast, behind a count; more are joined by a shuffle.
+    """
+    gone = small(cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "verdicts"))
+    rows = docs.select(*COLUMNS)
+    return rows.join(gone, rows.doc_id.eqNullSafe(gone.gone_id) & (mark(rows.text) == gone.gone_mark), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list rejects."""
-    return _only(docs, quality.quality(docs, table(spark, sf_dir, "labels")), "kept")
+    """Documents that neither the base rules nor the learned list rejects, each judged where it is read."""
+    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows all."""
-    return _only(docs, near_dups.near_duplicates(docs), "kept")
+    """The document with the smallest id of each group of near-duplicates, and one of repeated rows.
+
+    Rows without an id go where a row with one is alike; of those alike among themselves one stays. Texts without words are alike to none.
+    """
+    classes = cut(near_dups.classes(docs), "classes")
+    left = _without(docs, classes.where(~F.col("kept")))
+    again = classes.where("kept and n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = cut(again, "repeated")
+    if again.isEmpty():
+        return left
+    named = small(again.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")))
+    rows = docs.select(*COLUMNS)
+    repeated = rows.join(named, rows.doc_id.eqNullSafe(named.again_id) & (mark(rows.text) == named.again_mark), "left_semi")
+    return _without(left, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
-    rows = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, rows.withColumn("clean", ~F.col("contaminated")), "clean")
+    return _without(docs, decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced; n_chars is that of the new text."""
-    new = pii.pseudonymize(docs.select(*COLUMNS), catalog.KEY, count=None)
+    new = pii.pseudonymize(docs.select(*COLUMNS), catalog.key(spark), count=None)
     return new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -58,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, "pipeline-" + name.replace(" ", "-"))
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark, "stage"):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
