@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pylists, shared_path, slices
+from .common import cut, pylists, shared_path, slices, small
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,7 +103,8 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    rows = rows.join(originals(pages, least), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    again = small(cut(originals(pages, least), "originals"))  # broadcast behind a count, so that the pages aren't shuffled
+    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(f"{folder}/warc")
@@ -150,8 +151,8 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    # A task for each archive: the list of paths is small, but what stands behind a path isn't.
-    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # A task for each archive, by ranges of the paths: the list is small, but what stands behind a path isn't.
+    return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

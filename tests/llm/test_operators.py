@@ -268,6 +268,17 @@ def test_warc_round_trip(spark, sf):
     assert bytes(got[None]["payload"]).decode() == "ä\r\n\r\n" and got[7_000]["url"] is None
 
 
+def test_warc_cases(spark, monkeypatch):
+    """Repeated rows, ties, an empty table, and a shuffle instead of a broadcast."""
+    made = [(2, "u", "same", 1), (2, "u", "same", 1), (1, "v", "same", 1), (3, "w", None, 1), (4, "x", "", 1), (None, "y", "same", 1)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string, digest int")
+    for most in (10, -1):
+        monkeypatch.setattr(common, "SMALL", most)
+        got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows(warc.round_trip(df))), key=str)
+        assert got == sorted([(2, "u", "revisit", 1, 4), (2, "u", "revisit", 1, 4), (1, "v", "response", None, 4), (3, "w", "response", None, 0), (4, "x", "revisit", 3, 0), (None, "y", "response", None, 4)], key=str)
+    assert rows(warc.round_trip(df.where("page_id = 99"))) == []
+
+
 def test_warc_damage():
     ok = warc.record(1, "u", b"text", None)
 
