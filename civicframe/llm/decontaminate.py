@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, cut, mark, small
+from .common import bind, bitmap, cut, mark, maybe, sifted, slots_for, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,8 +19,6 @@ WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
 #: Rows of fingerprints, or of windows, that are broadcast; more are joined by a shuffle.
 SMALL = 1_000_000
-#: Words of 64 bits in the bitmap: 16 bits to 2 MB. A fuller one lets more through to the join, which is exact.
-LEAST_SLOTS, MOST_SLOTS = 1 << 10, 1 << 18
 
 
 def words(text: str = "text") -> Column:
@@ -46,32 +44,19 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "length", "x.phrase", "x.fingerprint").distinct()
 
 
-def bitmap(prints: DataFrame, slots: int) -> DataFrame:
-    """One row: for the fingerprints an array of ``slots`` 64-bit words, with bit h % 64 of word (h >> 6) % slots set."""
-    of = F.expr(f"shiftright(fingerprint, 6) & {slots - 1}L")
-    filled = prints.groupBy(of.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fingerprint & 63 as int))")).alias("bits"))
-    every = prints.sparkSession.range(slots).withColumnRenamed("id", "slot").join(filled, "slot", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return every.agg(F.transform(ordered, lambda x: x["bits"]).alias("bits"))
-
-
-def _maybe(h: str, slots: int) -> str:
-    return f"(shiftright(element_at(bits, cast(1 + (shiftright({h}, 6) & {slots - 1}L) as int)), cast({h} & 63 as int)) & 1L) = 1L"
-
-
 def marks(docs: DataFrame, prints: DataFrame, lengths: list[int], slots: int) -> DataFrame:
     """doc_id, mark (hash of the text), n_words and places (p from 1, k, h) of each row: the grams of k words that may be fingerprints of the benchmark."""
-    texts = docs.select("doc_id", mark().alias("mark"), words().alias("words")).withColumn("bits", bitmap(prints, slots).scalar())
+    texts = docs.select("doc_id", mark().alias("mark"), words().alias("words")).withColumn("bits", bitmap(prints, "fingerprint", slots).scalar())
     texts = texts.withColumn("n", F.size("words"))
     grams = f"if(n < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, n - {GRAM}), i -> {_gram(GRAM, 'i')}))"
     texts = texts.withColumn("grams", F.expr(grams))
     # the smallest hash of each window, by its first word; a gram counts if it is that of a window that holds it
     least = f"if(n < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, n - {WINDOW}), i -> least({', '.join(f'grams[i + {j}]' for j in range(SPAN))})))"
     kept = f"exists(sequence(greatest(x.p - {SPAN - 1}, 1), least(x.p, n - {WINDOW - 1})), s -> element_at(least, s) = x.h)"
-    places = [bind("least", least, f"filter(filter(transform(grams, (h, i) -> named_struct('p', i + 1, 'k', {GRAM}, 'h', h)), x -> {_maybe('x.h', slots)}), x -> {kept})")]
+    places = [bind("least", least, f"filter(filter(transform(grams, (h, i) -> named_struct('p', i + 1, 'k', {GRAM}, 'h', h)), x -> {maybe('bits', 'x.h', slots)}), x -> {kept})")]
     for k in lengths:
         every = f"if(n < {k}, cast(array() as array<bigint>), transform(sequence(0, n - {k}), i -> {_gram(k, 'i')}))"
-        places.append(f"filter(transform({every}, (h, i) -> named_struct('p', i + 1, 'k', {-k}, 'h', h)), x -> {_maybe('x.h', slots)})")
+        places.append(f"filter(transform({every}, (h, i) -> named_struct('p', i + 1, 'k', {-k}, 'h', h)), x -> {maybe('bits', 'x.h', slots)})")
     return texts.select("doc_id", "mark", F.col("n").cast("long").alias("n_words"), F.expr(f"concat({', '.join(places)})").alias("places"))
 
 
@@ -80,17 +65,14 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     windows = cut(benchmark_windows(benchmark), "windows")
     lengths = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # nine at most
     prints = windows.select("fingerprint").distinct()
-    slots = LEAST_SLOTS
     n = prints.count()
-    while slots < MOST_SLOTS and slots < n:  # 64 bits for each fingerprint
-        slots *= 2
-    marked = cut(marks(docs, prints, lengths, slots), "marks")
+    marked = cut(marks(docs, prints, lengths, slots_for(n)), "marks")
     placed = marked.where(F.size("places") > 0).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", F.explode("places").alias("x")).select("doc_id", "mark", "x.p", "x.k", F.col("x.h").alias("fingerprint"))
     met = placed.join(F.broadcast(prints) if n <= SMALL else prints, "fingerprint", "left_semi")
     met = met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("p", "k")).alias("met"))  # places of one text
     met = cut(met.select(F.col("doc_id").alias("met_id"), F.col("mark").alias("met_mark"), "met"), "met")
-    texts = docs.select("doc_id", "text")
-    touched = texts.join(small(met), texts.doc_id.eqNullSafe(met.met_id) & (mark(texts.text) == met.met_mark))
+    texts = sifted(docs.select("doc_id", "text"), met, "met_mark")
+    touched = texts.join(small(met, weight=F.size("met")), texts.doc_id.eqNullSafe(met.met_id) & (mark(texts.text) == met.met_mark))
     touched = touched.select("doc_id", F.col("met_mark").alias("mark"), "met", words().alias("words")).withColumn("n", F.size("words")).dropDuplicates(["doc_id", "mark"])  # repeated rows are looked at once
     # A window that holds the gram at place p begins at p - 5 .. p; a short one, whose length stands as -k, at p. Starts and lengths are one number, so that distinct ones are found by hash.
     starts = f"flatten(transform(met, m -> if(m.k < 0, array(m.p * 16L - m.k), transform(filter(sequence(m.p - {SPAN - 1}, m.p), s -> s >= 1 and s <= n - {WINDOW - 1}), s -> s * 16L + {WINDOW}))))"
@@ -118,7 +100,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked, found = _found(docs, benchmark)
     covered = F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.start, x.start + x.length - 1)))))")
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), covered.alias("n_hit"), F.array_sort("items").alias("items"))
-    found = small(cut(found, "hits"))
+    found = small(cut(found, "hits"), weight=F.size("items"))
     rows = marked.select("doc_id", "mark", "n_words")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))

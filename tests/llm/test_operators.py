@@ -645,6 +645,19 @@ def test_near_duplicates_cases(spark):
     assert rows(near_dups.near_duplicates(df.where("doc_id = 99"))) == []
 
 
+def test_rows_without_verdicts(spark, monkeypatch):
+    """Broadcast or sifted and shuffled, the same rows stay."""
+    made = [(k % 50 if k % 7 else None, f"text {k % 90}", k) for k in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, n int")
+    gone = docs.where("n % 5 = 0").select("doc_id", common.mark().alias("mark"))
+    bad = {(i, t) for i, t, n in made if n % 5 == 0}
+    want = sorted(n for i, t, n in made if (i, t) not in bad)
+    for most in (1000, -1):
+        monkeypatch.setattr(common, "SMALL", most)
+        assert sorted(r["n"] for r in rows(common.without(docs, gone))) == want
+    assert len(rows(common.without(docs, gone.limit(0)))) == 400
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {r["id"]: r["root"] for r in rows(near_dups.components(spark.createDataFrame(edges, "u long, v long")))}
