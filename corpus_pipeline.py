@@ -10,21 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicframe.llm import catalog, decontaminate, near_dups, packing, pii, quality
-from civicframe.llm.common import cut, mark, scratch, shared_path, small, table
+from civicframe.llm.common import cut, mark, scratch, shared_path, small, table, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows without those of ``gone`` (doc_id, mark): a row is meant by its id, null too, and its text.
-
-    Few verdicts are broadcast, behind a count; more are joined by a shuffle.
-    """
-    gone = small(cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "verdicts"))
-    rows = docs.select(*COLUMNS)
-    return rows.join(gone, rows.doc_id.eqNullSafe(gone.gone_id) & (mark(rows.text) == gone.gone_mark), "left_anti")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects, each judged where it is read."""
     return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
@@ -36,7 +26,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id go where a row with one is alike; of those alike among themselves one stays. Texts without words are alike to none.
     """
     classes = cut(near_dups.classes(docs), "classes")
-    left = _without(docs, classes.where(~F.col("kept")))
+    left = without(docs.select(*COLUMNS), classes.where(~F.col("kept")))
     again = classes.where("kept and n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     again = cut(again, "repeated")
     if again.isEmpty():
@@ -44,12 +34,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = small(again.select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")))
     rows = docs.select(*COLUMNS)
     repeated = rows.join(named, rows.doc_id.eqNullSafe(named.again_id) & (mark(rows.text) == named.again_mark), "left_semi")
-    return _without(left, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    return without(left, again).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
-    return _without(docs, decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
+    return without(docs.select(*COLUMNS), decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
