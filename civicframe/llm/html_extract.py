@@ -1,10 +1,10 @@
 """Main-text extraction from HTML.
 
 ``html.parser`` events become *lines* (runs of text between block boundaries), each with its text length and the number of
-tags seen with it. The text-to-tag ratios are smoothed by a Gaussian kernel and split at a threshold; the lines above it
-mark where the content is. The lowest element that holds these lines (but for links in passing), or all text in main or in articles
-if most is there, and the h1, is the content region, and every line of the region
-that isn't in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments) is kept, short ones too.
+tags seen with it. The text-to-tag ratios are smoothed by a Gaussian kernel and split at a threshold; the lines above it are the clusters that
+mark where the content is. They decide thrice. An element that looks like boilerplate by its tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
+forms, comments) is left out unless most of the clustered text is in it. The lowest element that holds the clustered text that is left (but for links in passing), or all text in main or in articles
+if most is there, and the h1, is the content region. In it every line is kept, short ones too, but for runs of lines below the threshold that are nothing but links.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,11 +26,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section select summary table "
     "tbody td template textarea tfoot th thead title tr ul".split()
 )
-#: Elements whose text is never content, wherever they stand.
-DROP = frozenset(
-    "aside audio button canvas dialog embed fieldset footer form head iframe input math menu nav noscript object option script "
-    "select style svg template textarea title video".split()
-)
+#: Elements whose text isn't shown as text.
+NEVER = frozenset("audio button canvas embed head iframe input math noscript object option script select style svg template textarea title video".split())
+#: Elements that hold content seldom: the clusters decide.
+SELDOM = frozenset("aside dialog fieldset footer form menu nav".split())
 DROP_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 DROP_HINT = frozenset(
     "ad ads adsense advert advertisement advertising advertorial banner billboard breadcrumb breadcrumbs comment comments consent "
@@ -49,6 +48,10 @@ ABOUT = frozenset("has hide is no not show with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Hinted text of fewer words is never kept.
 FEW = 4
+#: Menus, footers and their like of fewer words aren't content, even where there is nothing else.
+ENOUGH = 25
+#: Lines of links alone, one after the other, that make a menu.
+MENU = 3
 CONTENT = frozenset(("article", "main"))
 #: Elements that may be the region: the walk to the region goes down through these only.
 CONTAINER = frozenset("html body main article section div table tbody tr td center".split())
@@ -67,56 +70,73 @@ def _hint(name: str, inside: bool) -> bool | None:
 
 
 class _Lines(HTMLParser):
-    """lines: (text, tags, path of element numbers, dropped, characters in links)."""
+    """lines: (text, tags, element, never, characters in links). Elements are numbered in order, 0 is the page; of each its tag, its parent and its standing by tag and names."""
 
-    def __init__(self, judged: dict[int, bool] | None = None) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.judged = judged
-        #: Of each hinted element: whether the hint is plain, and its text by line (characters, those in links, words).
-        self.hinted: dict[int, bool] = {}
-        self.shares: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
-        self.stack: list[tuple[str, int, bool]] = []
-        self.tags: dict[int, str] = {}
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.tags, self.parents = [""], [0]
+        #: Of each element: None (nothing against it), True (boilerplate by tag, role or a plain name) or False (a name that may mean it).
+        self.against: list[bool | None] = [None]
+        self.inside = [False]  # within main or an article
+        self.stack = [0]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+        self.content: list[int] = []  # places of main and articles
+        self.never = 0  # place of the outermost element that isn't shown
         self.parts: list[str] = []
-        self.n_tags, self.count, self.linked = 0, 0, 0
+        self.n_tags, self.linked = 0, 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.lines.append((text, self.n_tags, tuple(n for _, n, _ in self.stack), False, self.linked))
+            self.lines.append((text, self.n_tags, self.stack[-1], False, self.linked))
             self.n_tags = 0
         self.parts, self.linked = [], 0
 
-    def dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROP:
+    def standing(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        inside = bool(self.content)
+        if tag in SELDOM or tag == "header" and not inside:
             return True
-        inside = any(t in CONTENT for t, _, _ in self.stack)
-        if tag == "header":
-            return not inside
         hints = []
         for k, v in attrs:
             if k in ("class", "id"):
                 hints += [_hint(name, inside) for name in (v or "").lower().split()]
-            elif k == "role" and (v or "").lower() in DROP_ROLE or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v or ""):
+            elif k == "role" and (v or "").lower() in DROP_ROLE:
                 return True
         hints = [x for x in hints if x is not None]
         if not hints or tag in HEADINGS or tag in ("html", "body", "article", "main"):
-            return False
-        self.hinted[self.count] = any(hints)
-        return self.judged is not None and self.judged[self.count]
+            return None
+        return any(hints)
+
+    def pop(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.tags[self.stack.pop()]
+            self.open[tag].pop()
+            if self.content and self.content[-1] == len(self.stack):
+                self.content.pop()
+            if self.never == len(self.stack):
+                self.never = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
             if tag != "br":
                 ends = ("p", *SAME.get(tag, ()))
-                while self.stack and self.stack[-1][0] in ends:
-                    self.stack.pop()
+                while len(self.stack) > 1 and self.tags[self.stack[-1]] in ends:
+                    self.pop(len(self.stack) - 1)
         self.n_tags += 1
-        if tag not in VOID:
-            self.count += 1
-            self.tags[self.count] = tag
-            self.stack.append((tag, self.count, bool(self.stack) and self.stack[-1][2] or self.dropped(tag, attrs)))
+        if tag in VOID:
+            return
+        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v or "") for k, v in attrs)
+        self.parents.append(self.stack[-1])
+        self.tags.append(tag)
+        self.against.append(None if self.never else self.standing(tag, attrs))
+        self.open[tag].append(len(self.stack))
+        if (tag in NEVER or hidden) and not self.never:
+            self.never = len(self.stack)
+        if tag in CONTENT:
+            self.content.append(len(self.stack))
+        self.inside.append(bool(self.content))
+        self.stack.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash at the end of a start tag means nothing in HTML
@@ -125,27 +145,19 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         self.n_tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in CONTENT and tag not in ("body", "html", "main", "article"):
-                return  # a stray end tag doesn't close the region around it
+        if not self.open[tag]:
+            return
+        place = self.open[tag][-1]
+        if self.content and self.content[-1] > place and tag not in ("body", "html", "main", "article"):
+            return  # a stray end tag doesn't close the region around it
+        self.pop(place)
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][2]):
+        if not self.never:
             self.parts.append(data)
-            size, link = len(data.strip()), any(t == "a" for t, _, _ in self.stack)
-            self.linked += size * link
-            if self.hinted and size:
-                for _, n, _ in self.stack:
-                    if n in self.hinted:
-                        share = self.shares[n][len(self.lines)]
-                        share[0] += size
-                        share[1] += size * link
-                        share[2] += len(data.split())
-        elif data.strip():  # a line of its own, so that a dropped element within a word doesn't part the word
-            self.lines.append((data, self.n_tags, (), True, 0))
+            self.linked += len(data.strip()) * bool(self.open["a"])
+        elif data.strip():  # a line of its own, so that what isn't shown within a word doesn't part the word
+            self.lines.append((data, self.n_tags, 0, True, 0))
 
 
 def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
@@ -163,37 +175,46 @@ def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def _standing(lines: list[tuple]) -> tuple[list[float], list[float], float]:
+def _clusters(lines: list[tuple]) -> tuple[list[float], list[float], float]:
     """The text-to-tag ratios of the lines, the smoothed ones, and the threshold."""
-    ratios = [0.0 if gone else len(text) / max(1, n) for text, n, _, gone, _ in lines]
+    ratios = [0.0 if never else len(text) / max(1, n) for text, n, _, never, _ in lines]
     smooth = smoothed(ratios)
     return ratios, smooth, sum(smooth) / len(smooth) / 2
 
 
-def _parsed(html: str, judged: dict[int, bool] | None = None) -> _Lines:
-    p = _Lines(judged)
-    p.feed(html)
-    p.close()
-    p.flush()
-    return p
+def _sums(parents: list[int], lines: Iterable[tuple[int, tuple[float, ...]]], width: int) -> list[list[float]]:
+    """Of each element the sums over the lines in it, from (element, values). A parent's number is lower than its children's."""
+    out = [[0.0] * width for _ in parents]
+    for n, values in lines:
+        own = out[n]
+        for k, v in enumerate(values):
+            own[k] += v
+    for n in range(len(parents) - 1, 0, -1):
+        up, own = out[parents[n]], out[n]
+        for k in range(width):
+            up[k] += own[k]
+    return out
 
 
-def _judged(p: _Lines) -> dict[int, bool]:
-    """Whether each hinted element is dropped: by a plain hint, unless it holds most of the clustered text, or if its text has no standing.
+def _dropped(p: _Lines, smooth: list[float], threshold: float) -> list[bool]:
+    """Of each element whether its text is left out, with that of all it holds.
 
-    Beside main or articles with text of their own, a plain hint holds however much text there is. Text has standing if its smoothed ratio reaches the threshold, most of it isn't in links, and it has more than a few words.
+    What looks like boilerplate goes unless most of the clustered text is in it, and that isn't mostly links; beside main or articles with text of their own it goes however much
+    it holds. A name that only may mean it counts if the text has no standing: its smoothed ratio is low (inside an article that doesn't matter), it is mostly links or of a few words.
     """
-    _, smooth, threshold = _standing(p.lines)
-    total = sum(len(text) for (text, _, _, gone, _), r in zip(p.lines, smooth, strict=True) if not gone and r >= threshold)
-    inside = {n for _, _, path, gone, _ in p.lines if not gone and any(p.tags[x] in CONTENT for x in path) for n in path}
-    out = {}
-    for n, plain in p.hinted.items():
-        share = {i: x for i, x in p.shares[n].items() if i < len(p.lines)}
-        size = sum(x[0] for x in share.values())
-        clustered = sum(x[0] for i, x in share.items() if smooth[i] >= threshold)
-        low = 2 * clustered < size or 2 * sum(x[1] for x in share.values()) > size or sum(x[2] for x in share.values()) < FEW
-        aside = bool(inside) and n not in inside
-        out[n] = (aside or 2 * clustered <= total) and (plain or low)
+    rows = ((e, (len(t), len(t) * (r >= threshold), linked, len(t.split()), p.inside[e])) for (t, _, e, never, linked), r in zip(p.lines, smooth, strict=True) if not never)
+    sums = _sums(p.parents, rows, 5)
+    total = sums[0][1]
+    out = [False] * len(p.tags)
+    for n in range(1, len(p.tags)):
+        out[n] = out[p.parents[n]]
+        if out[n] or p.against[n] is None:
+            continue
+        size, clustered, linked, words, content = sums[n]
+        low = 2 * clustered < size and not p.inside[n] or 2 * linked > size or words < FEW
+        aside = sums[0][4] > 0 and content == 0
+        most = 2 * clustered > total and 2 * linked < size and (words >= ENOUGH or p.tags[n] not in SELDOM)
+        out[n] = (aside or not most) and (p.against[n] or low)
     return out
 
 
@@ -201,47 +222,56 @@ def extract(html: str | None) -> tuple[str, int, int]:
     """The main text, the number of lines kept and of all lines. Null and empty pages: ("", 0, 0)."""
     if not html:
         return "", 0, 0
-    p = _parsed(html)
-    if p.hinted:
-        p = _parsed(html, _judged(p))
-    lines = p.lines
-    live = [x for x in lines if not x[3]]
+    p = _Lines()
+    p.feed(html)
+    p.close()
+    p.flush()
+    if not p.lines:
+        return "", 0, 0
+    ratios, smooth, threshold = _clusters(p.lines)
+    out = _dropped(p, smooth, threshold)
+    live = [i for i, x in enumerate(p.lines) if not x[3] and not out[x[2]]]
     if not live:
-        return "", 0, len(lines)
-    ratios, smooth, threshold = _standing(lines)
-    mass: dict[int, float] = defaultdict(float)
-    marks: dict[int, int] = defaultdict(int)
-    children: dict[int, set[int]] = defaultdict(set)
-    titles: dict[int, int] = defaultdict(int)
-    main: dict[int, float] = defaultdict(float)
-    named: dict[int, float] = defaultdict(float)
-    for (text, _, path, gone, linked), ratio, r in zip(lines, ratios, smooth, strict=True):
-        if gone:
-            continue
-        for up, down in zip((0, *path), path, strict=False):
-            children[up].add(down)
-        title = any(p.tags[n] == "h1" for n in path)
-        inside = {p.tags[n] for n in path} & CONTENT
-        for n in (0, *path):
-            titles[n] += title
-            if r >= threshold:
-                mass[n] += len(text)
-                marks[n] += ratio >= threshold or 2 * linked < len(text)
-                main[n] += len(text) * ("main" in inside)
-                named[n] += len(text) * bool(inside)
-    total, at = mass[0], 0
-    if 2 * main[0] >= total:
-        named = main
-    while p.tags.get(at) not in CONTENT:
-        inner = max((n for n in children[at] if p.tags[n] in CONTAINER), key=lambda n: mass[n], default=None)
-        if inner is None or mass[inner] < 0.5 * total or titles[at] and not titles[inner]:
+        return "", 0, len(p.lines)
+    title, article, main = [False] * len(p.tags), [False] * len(p.tags), [False] * len(p.tags)
+    children: dict[int, list[int]] = defaultdict(list)
+    for n in range(1, len(p.tags)):
+        up = p.parents[n]
+        children[up].append(n)
+        title[n], main[n] = title[up] or p.tags[n] == "h1", main[up] or p.tags[n] == "main"
+        article[n] = article[up] or p.tags[n] in CONTENT
+    rows = []
+    for i in live:
+        text, _, e, _, linked = p.lines[i]
+        clustered = smooth[i] >= threshold
+        size = len(text) * clustered
+        rows.append((e, (size, clustered and (ratios[i] >= threshold or 2 * linked < len(text)), title[e], size * main[e], size * article[e])))
+    sums = _sums(p.parents, rows, 5)
+    total, at = sums[0][0], 0
+    which = 3 if 2 * sums[0][3] >= total else 4
+    while p.tags[at] not in CONTENT:
+        inner = max((n for n in children[at] if p.tags[n] in CONTAINER | SELDOM and not out[n]), key=lambda n: sums[n][0], default=None)
+        if inner is None or sums[inner][0] < 0.5 * total or sums[at][2] and not sums[inner][2]:
             break
         # what is left behind holds no marked line, or all text of main or articles is inside
-        if marks[inner] < marks[at] and (2 * named[inner] < total or named[inner] < named[at]):
+        if sums[inner][1] < sums[at][1] and (2 * sums[inner][which] < total or sums[inner][which] < sums[at][which]):
             break
         at = inner
-    kept = [text for text, _, path, _, _ in live if not at or at in path]
-    return " ".join(kept), len(kept), len(lines)
+    within = [at == 0] * len(p.tags)
+    for n in range(1, len(p.tags)):
+        within[n] = n == at or within[p.parents[n]]
+    kept = [i for i in live if within[p.lines[i][2]]]
+    menu = [ratios[i] < threshold and 10 * p.lines[i][4] >= 9 * len(p.lines[i][0].replace(" ", "")) for i in kept]
+    texts, k = [], 0
+    while k < len(kept):
+        end = k
+        while end < len(kept) and menu[end]:
+            end += 1
+        if end - k < MENU or all(smooth[i] >= threshold for i in kept[k:end]):
+            end = max(end, k + 1)
+            texts += [p.lines[i][0] for i in kept[k:end]]
+        k = end
+    return " ".join(texts), len(texts), len(p.lines)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,6 +134,49 @@ def test_packing(spark, sf, docs):
             assert all(abs(sent[k] - share[k] * 2048 * (s + 1)) <= 2 * 256 + 2048 * share[k] + 256 for k in share)
 
 
+MENU_ROWS = "".join(f"<div><a href=x{k}>Link {k}</a></div>" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<form><div><article><h1>T</h1><p>{P}</p></article></div></form>", f"T {P}"),
+        (f"<nav><ul>{MENU_ROWS}</ul><article><h1>T</h1><p>{P}</p></article>", f"T {P}"),
+        (f"<nav><a href=x>One</a><div><p>{P}</p><p>{Q}</p></div>", f"{P} {Q}"),
+        (f"<article><p>{P}</p><p class=social-science>A short one of five.</p></article>", f"{P} A short one of five."),
+        (f"<div><div class=q1>{MENU_ROWS}</div><div class=q2><p>{P}</p><p>Short.</p><p>{Q}</p></div><div class=q3>{MENU_ROWS}</div></div>", f"{P} Short. {Q}"),
+        (f"<div class=q2><p>{P}</p>{MENU_ROWS}<p>{Q}</p></div>", f"{P} {Q}"),
+        (f"<article><p>{P}</p><div>{MENU_ROWS}{MENU_ROWS}</div><p>{Q}</p><p>End.</p></article>", f"{P} {Q} End."),
+        (f"<footer><p>{Q[:60]}</p></footer><div><p>{P}</p></div>", P),
+        (f"<form><input><label>Search</label></form><div><p>{P}</p></div>", P),
+        ("<nav><a href=x>One</a></nav><footer>Two words</footer>", ""),
+    ],
+)
+def test_extract_by_clusters(html, want):
+    assert html_extract.extract(html)[0] == want
+
+
+def test_extract_depends_on_the_ratios(monkeypatch):
+    pages = [f"<div><div class=q1>{MENU_ROWS}</div><div class=q2><p>{P}</p><p>{Q}</p></div></div>", f"<article><p>{P}</p><div>{MENU_ROWS}{MENU_ROWS}</div><p>{Q}</p></article>", f"<form><p>{P}</p></form><div>{MENU_ROWS}</div>"]
+    before = [html_extract.extract(x)[0] for x in pages]
+    assert before == [f"{P} {Q}", f"{P} {Q}", P]
+    smoothed = html_extract.smoothed
+    for other in (lambda r: [1.0] * len(r), lambda r: [-x for x in smoothed(r)]):
+        monkeypatch.setattr(html_extract, "smoothed", other)
+        assert all(html_extract.extract(x)[0] != y for x, y in zip(pages, before, strict=True))
+
+
+def test_extract_deep_and_odd_pages(spark):
+    start = time.time()
+    assert html_extract.extract("<div>x" * 50_000)[1] == 50_000
+    assert html_extract.extract("<b>x</i></p>" * 50_000)[0]
+    assert time.time() - start < 10
+    df = spark.createDataFrame([(1, "u", f"<p>{P}", 1), (1, "u", f"<p>{P}", 1), (None, None, None, 1), (2, "v", "", 1)], "page_id long, url string, html string, text int")
+    got = sorted(((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in rows(html_extract.main_text(df))), key=str)
+    assert got == sorted([("1", "u", P, len(P)), ("1", "u", P, len(P)), ("None", None, "", 0), ("2", "v", "", 0)], key=str)
+    assert rows(html_extract.main_text(df.where("page_id = 9"))) == []
+
+
 def pack_small(spark, tmp_path, made, **kwargs):
     """Pieces, by place in the stream, of texts of one-letter words: a token each, and the end."""
     df = spark.createDataFrame([(i, " ".join("x" * n) if n is not None else None, s, 7, "k") for i, n, s in made], "doc_id long, text string, source string, n int, key string")
