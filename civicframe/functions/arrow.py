@@ -50,7 +50,7 @@ def repaired(text: str | None) -> str | None:
             ends.append((i + 1, tuple(stack)))
         elif ch == ",":
             ends.append((i, tuple(stack)))
-    for at, still_open in reversed(ends[-200:]):
+    for at, still_open in reversed(ends):
         try:
             return json.dumps(json.loads(body[:at] + "".join(reversed(still_open))), ensure_ascii=False, sort_keys=True)
         except ValueError:
@@ -66,17 +66,31 @@ def repaired_json(x: str | Column) -> Column:
     return run(x)
 
 
-def rewritten(value: object, mapping: dict[str, str]) -> object:
-    """``@id`` values replaced at any depth; a list that changed drops what became equal."""
+VERSION = "jawafdehi:version"
+
+
+def rewritten(value: object, mapping: dict[str, str], top: bool = True) -> tuple[object, int]:
+    """``@id`` values replaced at any depth, and how many; a list in which one was replaced drops what became equal.
+
+    The document's own ``@id`` and its version block stay: one is identity, the other history.
+    """
     if isinstance(value, dict):
-        return {k: mapping.get(v, v) if k == "@id" and isinstance(v, str) else rewritten(v, mapping) for k, v in value.items()}
+        out, n = {}, 0
+        for k, v in value.items():
+            if top and k in ("@id", VERSION):
+                out[k] = v
+            elif k == "@id" and isinstance(v, str):
+                out[k] = mapping.get(v, v)
+                n += v in mapping
+            else:
+                out[k], m = rewritten(v, mapping, False)
+                n += m
+        return out, n
     if isinstance(value, list):
-        new = [rewritten(v, mapping) for v in value]
-        if new == value:
-            return new
-        seen: list[str] = []
-        return [v for v in new if (k := json.dumps(v, sort_keys=True)) not in seen and not seen.append(k)]
-    return value
+        made = [rewritten(v, mapping, False) for v in value]
+        n = sum(m for _, m in made)
+        return (list({json.dumps(v, sort_keys=True): v for v, _ in made}.values()) if n else [v for v, _ in made]), n
+    return value, 0
 
 
 def rewritten_json(x: str | Column, mapping: dict[str, str]) -> Column:
@@ -86,7 +100,7 @@ def rewritten_json(x: str | Column, mapping: dict[str, str]) -> Column:
     def run(s: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:
-                return None if t is None else json.dumps(rewritten(json.loads(t), mapping), ensure_ascii=False)
+                return None if t is None else json.dumps(rewritten(json.loads(t), mapping)[0], ensure_ascii=False)
             except ValueError:
                 return t
 

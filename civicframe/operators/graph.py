@@ -17,18 +17,23 @@ def resolve_chain(nodes: DataFrame, hops: int = 10) -> DataFrame:
     return ends
 
 
-def gaps(registers: DataFrame, keys: list[str], seq: str, tail: int = 0) -> DataFrame:
+def gaps(registers: DataFrame, keys: list[str], seq: str, tail: int = 0, block: int = 1 << 16) -> DataFrame:
     """keys, seq and kind (interior, tail) of the numbers that a register implies but doesn't hold.
 
-    Holes come from neighbours, so nothing is exploded but the holes themselves.
+    Holes come from neighbours, so nothing is exploded but the holes themselves. Neighbours are looked for within blocks of numbers and then between
+    blocks, so that one register may be of any size.
     """
-    w = Window.partitionBy(*keys).orderBy(seq)
-    held = registers.select(*keys, seq).where(F.col(seq) >= 1).distinct()
-    before = held.select(*keys, seq, F.coalesce(F.lag(seq).over(w), F.lit(0)).alias("_p")).where(F.col(seq) > F.col("_p") + 1)
-    holes = before.select(*keys, F.explode(F.sequence(F.col("_p") + 1, F.col(seq) - 1)).alias(seq), F.lit("interior").alias("kind"))
+    held = registers.select(*keys, seq).where(F.col(seq) >= 1).distinct().withColumn("_b", F.floor(F.col(seq) / block))
+    before = F.lag(seq).over(Window.partitionBy(*keys, "_b").orderBy(seq))
+    within = held.select(*keys, seq, before.alias("_p")).where(F.col("_p").isNotNull())
+    edges = held.groupBy(*keys, "_b").agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"))
+    last = F.coalesce(F.lag("_high").over(Window.partitionBy(*keys).orderBy("_b")), F.lit(0))  # a row for each block
+    between = edges.select(*keys, F.col("_low").alias(seq), last.alias("_p"))
+    open_ = within.unionByName(between).where(F.col(seq) > F.col("_p") + 1)
+    holes = open_.select(*keys, F.explode(F.sequence(F.col("_p") + 1, F.col(seq) - 1)).alias(seq), F.lit("interior").alias("kind"))
     if tail <= 0:
         return holes
-    high = held.groupBy(*keys).agg(F.max(seq).alias("_h"))
+    high = edges.groupBy(*keys).agg(F.max("_high").alias("_h"))
     return holes.unionByName(high.select(*keys, F.explode(F.sequence(F.col("_h") + 1, F.col("_h") + tail)).alias(seq), F.lit("tail").alias("kind")))
 
 
@@ -50,7 +55,11 @@ def disjunctive_match(left: DataFrame, right: DataFrame, left_keys: list[tuple[s
         of = F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in pairs))
         return df.select(key, F.explode(of).alias("r")).select(key, "r.kind", "r.value").where("value is not null")
 
-    met = refs(left, left_id, left_keys).join(refs(right, right_id, right_keys), ["kind", "value"]).select(left_id, right_id).distinct()
+    wanted, held = refs(left, left_id, left_keys).distinct(), refs(right, right_id, right_keys).distinct()
+    # a key with too many partners condemns its left rows, so that it is never joined
+    hot = held.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("kind", "value")
+    condemned = wanted.join(hot, ["kind", "value"], "left_semi").select(left_id).distinct()
+    met = wanted.join(condemned, left_id, "left_anti").join(held, ["kind", "value"]).select(left_id, right_id).distinct()
     counted = met.withColumn("n", F.count("*").over(Window.partitionBy(left_id)))
     return counted.where(F.col("n") <= most).select(left_id, right_id, (F.lit(1).cast("double") / F.col("n")).alias("confidence"))
 

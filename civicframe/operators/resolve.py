@@ -34,24 +34,30 @@ def publisher_gate(records: DataFrame, key: str, publisher: Column, least: int)
     return counted.withColumn("held", F.col("publishers") < least)
 
 
-def _pair(pdf: pd.DataFrame) -> Iterator[tuple]:
+def _pair(pdf: pd.DataFrame, least: float, margin: float) -> Iterator[tuple]:
+    """Best first; a pair goes if a rival on either side, still open, is within the margin."""
+    by_a, by_b = {}, {}
+    rows = list(pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False))
+    for r in rows:
+        by_a.setdefault(r.a, []).append(r)
+        by_b.setdefault(r.b, []).append(r)
     taken_a, taken_b = set(), set()
-    for r in pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-        if r.a not in taken_a and r.b not in taken_b:
+    for r in rows:
+        if r.score < least:
+            break
+        if r.a in taken_a or r.b in taken_b:
+            continue
+        rivals = [x for x in by_a[r.a] if x.b != r.b and x.b not in taken_b] + [x for x in by_b[r.b] if x.a != r.a and x.a not in taken_a]
+        if all(x.score < r.score - margin for x in rivals):
             taken_a.add(r.a)
             taken_b.add(r.b)
             yield r.docket, r.a, r.b, r.score
 
 
-def best_first_pairs(scored: DataFrame, margin: float = 0.05) -> DataFrame:
-    """One-to-one pairs within each docket (docket, a, b, score), the best first; a pair with a rival in the margin on either side goes.
+def best_first_pairs(scored: DataFrame, margin: float = 0.05, least: float = 0.85) -> DataFrame:
+    """One-to-one pairs within each docket (docket, a, b, score), the best first, of ``least`` or more; a pair with an open rival in the margin on either side goes.
 
-    A docket's candidates come to one task: they are the names of one case.
+    A docket's candidates come to one task: they are the names of one case. Of repeated pairs the best score counts.
     """
-
-    clear = scored
-    for side in ("a", "b"):
-        w = Window.partitionBy("docket", side)
-        clear = clear.withColumn(f"top_{side}", F.max("score").over(w)).withColumn(f"near_{side}", F.count_if(F.col("score") >= F.col(f"top_{side}") - margin).over(w))
-    clear = clear.where("near_a = 1 and near_b = 1").select("docket", "a", "b", "score")
-    return clear.groupBy("docket").applyInPandas(lambda pdf: pd.DataFrame(list(_pair(pdf)), columns=["docket", "a", "b", "score"]), scored.select("docket", "a", "b", "score").schema)
+    once = scored.groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
+    return once.groupBy("docket").applyInPandas(lambda pdf: pd.DataFrame(list(_pair(pdf, least, margin)), columns=["docket", "a", "b", "score"]), once.schema)

@@ -83,3 +83,37 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     """The first n rows of each group, with their place and the size of the group."""
     w = Window.partitionBy(*by)
     return df.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w)).where(F.col("place") <= n)
+
+
+def replace_children(stored: DataFrame, incoming: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Child rows after the rows of ``documents`` (key) were written anew: theirs are those of ``incoming``, none if it has none; the others stay."""
+    gone = documents.select(key).distinct()
+    return stored.join(gone, key, "left_anti").unionByName(incoming.join(gone, key, "left_semi"))
+
+
+def request_numbers(df: DataFrame, size: Column, ceiling: int, shard: Column, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``shard`` and ``request``: rows of a request have at most ``ceiling`` bytes in sum. A row of more raises an error.
+
+    A request is what begins within one step of the running sum; the step is the ceiling less the largest row, so no request overflows. Sums run within shards, in parallel.
+    """
+    sized = df.withColumns({"shard": shard, "_size": size})
+    largest = sized.agg(F.max("_size")).first()[0] or 0
+    if largest >= ceiling:
+        raise ValueError(f"a row has {largest} bytes, and a request takes fewer than {ceiling}")
+    start = F.sum("_size").over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    return sized.withColumn("request", F.floor(start / (ceiling - largest))).drop("_size")
+
+
+def attached(media: Column, role: Column, sha256: Column, url: Column) -> Column:
+    """An array of struct(role, sha256, url) with a capture: the same role and hash takes the place of the old one, anything else is appended."""
+    new = F.struct(role.alias("role"), sha256.alias("sha256"), url.alias("url"))
+    same = lambda m: (m["role"] == role) & (m["sha256"] == sha256)
+    old = F.coalesce(media, F.array().cast("array<struct<role:string,sha256:string,url:string>>"))
+    return F.when(F.exists(old, lambda m: F.coalesce(same(m), F.lit(False))), F.transform(old, lambda m: F.when(F.coalesce(same(m), F.lit(False)), new).otherwise(m))).otherwise(F.array_append(old, new))
+
+
+def promoted_held(held: DataFrame, sources: DataFrame, key: str, publisher: Column, least: int) -> DataFrame:
+    """Held records with ``publishers`` and ``promoted``: those that ``least`` distinct publishers confirm by now are published."""
+    counted = sources.groupBy(key).agg(F.countDistinct(publisher).alias("publishers"))
+    n = F.coalesce("publishers", F.lit(0))
+    return held.join(counted, key, "left").withColumn("publishers", n).withColumn("promoted", n >= least)

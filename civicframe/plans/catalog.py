@@ -11,6 +11,7 @@ from civicframe.functions import domain as dom
 from civicframe.functions import text as tx
 from civicframe.functions import web
 from civicframe.operators import graph, resolve, search, upsert
+from civicframe.plans import gate
 from civicframe.sources.readers import table
 from civicframe.streaming import events as ev
 
@@ -167,12 +168,10 @@ def _(p):
     return search.facets(p, {"p_brand": F.col("p_brand") == "Brand#1", "p_size": F.col("p_size") <= 10}, ["p_brand", "p_size", "p_type"])
 
 
-@query("AGG20_pinned_facet", "part", sql="""with c as (select p_type as value, count(*) n from part group by 1), t as (select * from c order by n desc, value limit 3), l as (select * from c order by n, value desc limit 1)
-    select * from t union select * from l""")
+@query("AGG20_pinned_facet", "part", sql="""with c as (select p_type as value, count(*) n from part group by 1), t as (select * from c order by n desc, value limit 3)
+    select * from t union select * from c where value in ('SMALL BRASS', 'LARGE TIN', 'none')""")
 def _(p):
-    c = p.groupBy(F.col("p_type").alias("value")).agg(n())
-    best = c.orderBy(F.desc("n"), "value").limit(3)
-    return best.unionByName(c.orderBy("n", F.desc("value")).limit(1).join(best, "value", "left_anti"))
+    return search.pinned(p.groupBy(F.col("p_type").alias("value")).agg(n()), 3, ["SMALL BRASS", "LARGE TIN", "none"])
 
 
 @query("AGG21_global_extent", "orders", sql="select round(min(o_totalprice), 2) low, round(max(o_totalprice), 2) high, count(*) n from orders")
@@ -319,9 +318,12 @@ def _(li, s, na, o, c):
     return via.unionByName(own).groupBy("r_key").agg(F.countDistinct("l_suppkey").alias("suppliers"))
 
 
+_GATED = "select c_mktsegment, count(*) n from gated_orders left join gated_customers on gated_orders.o_custkey = gated_customers.c_custkey where o_orderpriority like '1%' group by c_mktsegment"
+
+
 @query("J16_gated_join", "orders", "customer", sql="select c_mktsegment, count(*) n from orders left join customer on orders.o_custkey = customer.c_custkey where o_orderpriority like '1%' group by 1")
 def _(o, c):
-    return o.where("o_orderpriority like '1%'").join(c, o.o_custkey == c.c_custkey, "left").groupBy("c_mktsegment").agg(n())
+    return gate.run(o.sparkSession, _GATED, {"gated_orders": o, "gated_customers": c})
 
 
 @query("J17_gaps", "lineitem", sql="select g.v missing from (select unnest(range(1, (select max(l_orderkey) from lineitem) + 1)) v) g where not exists (select 1 from lineitem where l_orderkey = v)")

@@ -37,6 +37,10 @@ def check(spark: SparkSession, query: str, tables: Collection[str]) -> None:
     kinds = [re.match(r"[\s:+|-]*'?(\w+)", line)[1] for line in text.splitlines() if re.match(r"[\s:+|-]*'?(\w+)", line)]
     if not re.match(r"\s*select\b", query, re.I) or any(k in ("UnresolvedWith", "CTE", "Union", "Intersect", "Except", "Distinct") and k != "Distinct" for k in kinds) or "SetOperation" in text:
         raise Refused("only one SELECT is allowed")
+    if re.search(r"TableValued|UnresolvedInlineTable|LateralJoin|Generate|ScriptTransformation", text):
+        raise Refused("table functions aren't allowed")
+    if re.search(r"[\w`]\s*\.\s*`?\w+`?\s*\(", bare):
+        raise Refused("qualified functions aren't allowed")
     for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text):
         if "," in name or name.lower() not in tables:
             raise Refused(f"table not allowed: {name}")
@@ -54,9 +58,16 @@ def check(spark: SparkSession, query: str, tables: Collection[str]) -> None:
 def run(spark: SparkSession, query: str, views: dict[str, DataFrame], rows: int = 500) -> DataFrame:
     """Runs a checked query over the public projections of its tables, under a row cap."""
     check(spark, query, set(views))
-    for name, view in views.items():
-        view.createOrReplaceTempView(name)
-    return spark.sql(f"select * from ({query.strip().rstrip(';')}) as gated limit {max(1, rows)}")
+    own = [name for name in views if spark.catalog.tableExists(name)]
+    if own:
+        raise Refused(f"the session has tables of these names: {', '.join(own)}")
+    try:
+        for name, view in views.items():
+            view.createTempView(name)
+        return spark.sql(f"select * from ({query.strip().rstrip(';')}) as gated limit {max(1, rows)}")  # analysed here, so the views may go
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
 
 
 def byte_cap(df: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -25,10 +25,9 @@ def catch_up(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def index_tree(nodes: DataFrame, root: str) -> DataFrame:
     """path and body of nodes (id, parent, label): one JSON object for each, its path from the root, equal in every run."""
     spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_index_nodes")
-    paths = spark.sql(f"""with recursive t(id, label, path) as (
-        select id, label, concat('{root}/', id) from _index_nodes where parent is null
-        union all select n.id, n.label, concat(t.path, '/', n.id) from _index_nodes n join t on n.parent = t.id) select * from t""")
+    paths = spark.sql("""with recursive t(id, label, path) as (
+        select id, label, concat(:root, '/', id) from {nodes} where parent is null
+        union all select n.id, n.label, concat(t.path, '/', n.id) from {nodes} n join t on n.parent = t.id) select * from t""", args={"root": root}, nodes=nodes)
     return paths.select("path", F.to_json(F.struct(F.concat("path", F.lit(".jsonld")).alias("@id"), "label", "path")).alias("body"))
 
 
