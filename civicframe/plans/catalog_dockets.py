@@ -18,10 +18,10 @@ from .catalog import n, query
 
 _LABEL = "case p_partkey % 3 when 0 then 'चोरी गरेको (दफा 241)' when 1 then 'लेनदेन' else 'घूस लिएको' end"
 _NOISE = f"""case p_partkey % 6 when 0 then concat('080-C1-', lpad(cast(p_size as string), 4, '0'), ', ', {_LABEL}) when 1 then concat({_LABEL}, ' ०७९-CP-२३४२')
-    when 2 then concat('भ्रष्टाचार ( ', {_LABEL}, ' )') when 3 then concat('080-CR-0199 ', 'भ्रष्टाचार (', {_LABEL}, ')') when 4 then concat('"  ', {_LABEL}, '"') else '080-C1-0199' end"""
+    when 2 then concat('भ्रष्टाचार ( ', {_LABEL}, ' )') when 3 then concat('080-CR-0199 ', 'भ्रष्टाचार (', {_LABEL}, ')') when 4 then concat('"', {_LABEL}, '"') else '080-C1-0199' end"""
 
 
-@query("STR4_case_type", "part", sql=f"""select p_partkey, case p_partkey % 6 when 4 then '"  ' || {_LABEL} || '"' when 5 then '080-C1-0199' else {_LABEL} end case_type from part""")
+@query("STR4_case_type", "part", sql=f"""select p_partkey, case p_partkey % 6 when 4 then '"' || {_LABEL} || '"' when 5 then '080-C1-0199' else {_LABEL} end case_type from part""")
 def _(p):
     return p.select("p_partkey", dockets.case_type(F.expr(_NOISE)).alias("case_type"))
 
@@ -87,12 +87,12 @@ def _months(spark):
     return spark.range(120 * 12).select((F.lit(2000) + F.floor(F.col("id") / 12)).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"), F.element_at(lengths, (F.col("id") % 12 + 1).cast("int")).alias("days"))
 
 
-_STARTS = f"""with m as (select 2000 + i // 12 y, i % 12 + 1 m, {list(_LENGTHS)}[i % 12 + 1] days, i from (select unnest(range(1440)) i)),
-    s as (select y, m, days, date '1943-04-14' + (sum(days) over (order by i) - days)::int start from m)"""
+_STARTS = f"""with m as (select 2000 + i // 12 y, i % 12 + 1 m, ({list(_LENGTHS)})[i % 12 + 1] as days, i from (select unnest(range(1440)) i)),
+    s as (select y, m, days, date '1943-04-14' + (sum(days) over (order by i) - days)::int as start from m)"""
 
 
 @query("DT1_bs_to_ad", "orders", sql=f"""{_STARTS}, o as (select o_orderkey, 2040 + o_orderkey % 20 y, 1 + o_orderkey % 13 m, 1 + o_orderkey % 33 d from orders)
-    select o_orderkey, case when d <= days then start + (d - 1)::int end::date ad from o left join s using (y, m)""")
+    select o_orderkey, (case when d <= days then start + (d - 1)::int end)::date ad from o left join s using (y, m)""")
 def _(o):
     k = F.col("o_orderkey")
     text = F.concat_ws("/", (2040 + k % 20).cast("string"), (1 + k % 13).cast("string"), (1 + k % 33).cast("string"))
