@@ -4,7 +4,7 @@ Every text is its set of word shingles. Equal sets are one vertex from the start
 of the forest: an order of all vertices, sorted by label over the cluster. Neighbours in an order are candidates as deep as their longest common prefix, from
 ``BASE`` minima on; neighbours chained over all orders form regions. The depth adapts to the region. A sparse one, of bounded size, is compared whole at
 ``BASE``. A dense one is cut along the orders of ``SEEDS`` trees into chunks of bounded size, where the common prefix is shortest, so deeper
-where more vertices stand; the links found there join nearly all of a group of copies. Then whatever still shares ``BASE`` minima, but belongs to different components,
+where more vertices stand; the links found there join most of a group of copies, and show which members have most links; what isn't joined yet is compared with these. Then whatever still shares ``BASE`` minima, but belongs to different components,
 is compared block against block: all outside the largest component with all in it. So a group of copies costs no pairs of its own, no task compares more than ``MEMBERS``
 vertices at a time, and no pair of neighbours is left out at any size. The confirmed links are contracted to components.
 """
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mark, pylists, slices, small, utf8
@@ -27,8 +27,8 @@ SHINGLE = 5
 TREES, BASE, DEPTH = 28, 4, 8
 #: Shingles that are compared in one task at a time, and members.
 WEIGHT, MEMBERS = 1 << 20, 256
-#: Trees whose orders are cut into chunks in dense regions.
-SEEDS = 8
+#: Trees whose orders are cut into chunks in dense regions, and vertices with many links that all others of a region are compared with then.
+SEEDS, HUBS = 8, 48
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _rng = np.random.default_rng(20)
 MIX = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(64)], dtype=np.uint64)
@@ -202,22 +202,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links with 100 * intersection >= percent * union. All pairs are looked at."""
-    if len(keys) < 2:
+    """A spanning forest of the links with 100 * intersection >= percent * union: all pairs are looked at, and the members with most links are the middle of stars."""
+    m = len(keys)
+    if m < 2:
         return []
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inside, of, out = np.zeros(int(ids.max()) + 1, bool), np.arange(len(keys)), []
-    for d in range(1, len(keys)):
+    inside, near = np.zeros(int(ids.max()) + 1, bool), np.zeros((m, m), bool)
+    for d in range(1, m):
         own = ids[starts[d] : starts[d] + sizes[d]]
         inside[own] = True
         both = np.add.reduceat(inside[ids[: starts[d]]].astype(np.int32), starts[:d])
         inside[own] = False
-        for e in np.flatnonzero(100 * both >= percent * (sizes[:d] + sizes[d] - both)):
+        near[d, :d] = 100 * both >= percent * (sizes[:d] + sizes[d] - both)
+    near |= near.T
+    of, out = np.arange(m), []
+    for d in np.argsort(-near.sum(1), kind="stable"):
+        for e in np.flatnonzero(near[d]):
             if of[e] != of[d]:
-                out.append((keys[e], keys[d]))
-                of[of == of[d]] = of[e]
+                out.append((keys[d], keys[e]))
+                of[of == of[e]] = of[d]
     return out
 
 
@@ -277,6 +282,25 @@ def _fits() -> Column:
     return (F.col("weight") <= WEIGHT) & (F.col("members") <= MEMBERS)
 
 
+def _hubs(dense: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
+    """key and groups of the vertices of heavy regions that aren't in their region's largest component, in blocks, each with the ``HUBS`` vertices of the region that have most links.
+
+    A copy of a text is linked to that text far more often than to another copy, so this joins what the chunks left, at a cost in proportion.
+    """
+    rows = dense.select("key", "root").join(parts, "key")
+    sizes = rows.groupBy("root", "part").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("root").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("members"))
+    top = top.select("root", F.col("top.part").alias("top"), F.ceil((F.col("members") - F.col("top.m")) / (MEMBERS - HUBS)).cast("int").alias("blocks")).where("blocks > 0")
+    top = small(cut(top, "tops"))
+    outside = rows.join(top, "root").where("part <> top").select("key", F.array(F.xxhash64(F.lit("hubs"), "root", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")))).alias("groups"))
+    degrees = found.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("degree")).where("degree > 1")
+    ranked = rows.join(degrees, "key").join(top, "root").where("part = top").select("root", "blocks", "key", "degree")
+    for by in (["root", F.pmod(F.xxhash64("key"), F.lit(64))], ["root"]):  # first within shares of a region, so that no task sorts all of it
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), "key"))).where(F.col("place") <= HUBS)
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64(F.lit("hubs"), F.col("root"), k.cast("long")))
+    return outside.unionByName(ranked.select("key", every.alias("groups")))
+
+
 def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """key and group of the vertices in heavy regions whose bucket holds different components (``parts``: key, part).
 
@@ -289,7 +313,7 @@ def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
     buckets = buckets.where(F.col("parts") > 1)
     few = _blocks(F.col("weight") - F.col("top.w"), F.col("members") - F.col("top.m"))
     buckets = buckets.select(*path, _fits().alias("whole"), few.alias("few"), _blocks(F.col("top.w"), F.col("top.m")).alias("many"), F.col("top.part").alias("top"))
-    rows = rows.join(buckets, path)
+    rows = rows.join(small(cut(buckets, "buckets")), path)
     whole = rows.where("whole").select("key", F.xxhash64(F.lit("whole"), *path).alias("group"))
     split = rows.where("not whole").withColumn("inner", F.col("part") == F.col("top"))
     split = split.withColumn("block", F.expr("if(inner, few + pmod(xxhash64(key), many), pmod(xxhash64(key), few))"))
@@ -327,19 +351,25 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     weights = vertices.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
     heavy = weights.where(~_fits()).select("root")
     light = vertices.join(heavy, "root", "left_anti").select("key", "doc_id", "mark", F.array(F.xxhash64(F.lit("region"), "root")).alias("groups"))
-    dense = vertices.join(heavy, "root", "left_semi").select("key", "doc_id", "mark")
+    dense = vertices.join(heavy, "root", "left_semi").select("key", "root", "doc_id", "mark")
     some = not heavy.isEmpty()
     members = light
     if some:
         inside = cut(near.select("key", "n", "tree", "base", "rest").join(dense.select("key"), "key", "left_semi"), "heavy")
         groups = _sorted(inside.where(F.col("tree") < SEEDS)).mapInArrow(_chunks, "key long, group long").groupBy("key").agg(F.collect_set("group").alias("groups"))  # SEEDS at most
-        members = light.unionByName(dense.join(groups, "key"))
-    joined = components(_links(_hashes(docs, members).select("key", F.explode("groups").alias("group"), "hashes"), percent))
+        members = light.unionByName(dense.drop("root").join(groups, "key"))
+    found = cut(_links(_hashes(docs, members).select("key", F.explode("groups").alias("group"), "hashes"), percent), "links")
+    joined = components(found)
     if some:
-        parts = dense.join(joined.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("part"))
-        rest = cut(_rest(inside, cut(parts, "parts")), "rest")
+        def parts() -> DataFrame:
+            return cut(dense.select("key").join(joined.withColumnRenamed("id", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("part")), "parts")
+
+        hubs = _hubs(dense, parts(), found).join(dense.select("key", "doc_id", "mark"), "key")
+        more = _links(_hashes(docs, hubs).select("key", F.explode("groups").alias("group"), "hashes"), percent)
+        joined = components(joined.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
+        rest = cut(_rest(inside, parts()), "rest")
         if not rest.isEmpty():
-            members = dense.join(rest.select("key").distinct(), "key").withColumn("groups", F.expr("cast(array() as array<bigint>)"))
+            members = dense.drop("root").join(rest.select("key").distinct(), "key").withColumn("groups", F.expr("cast(array() as array<bigint>)"))
             more = _links(_hashes(docs, members).drop("groups").join(rest, "key").select("key", "group", "hashes"), percent)
             joined = components(joined.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
 

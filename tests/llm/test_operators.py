@@ -644,6 +644,24 @@ def test_heavy_regions_lose_nothing(spark, monkeypatch, weight, members):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_stars_are_joined_by_their_hubs(spark, monkeypatch):
+    """Copies near one text and not near each other, more than a task compares at a time."""
+    monkeypatch.setattr(near_dups, "MEMBERS", 32)
+    monkeypatch.setattr(near_dups, "HUBS", 4)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    made = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for k in rng.choice(np.arange(5, 115, 6), 3 if i % 4 else 5, replace=False):
+            w[k] = f"e{i}_{k}"
+        made.append((i, " ".join(w)))
+    want = brute_components(made)
+    got = rows(near_dups.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 100 < sum(x == 0 for _, x in want.values()) < 300
+
+
 def test_orders_find_every_common_prefix(spark):
     """Neighbours along the sorted orders, over many tasks and small batches, against a plain sort."""
     rng = np.random.default_rng(6)
