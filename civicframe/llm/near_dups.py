@@ -5,7 +5,7 @@ of the forest: an order of all vertices, sorted by label over the cluster. Neigh
 ``BASE`` minima on; neighbours chained over all orders form regions. The depth adapts to the region. A sparse one, of bounded size, is compared whole at
 ``BASE``. A dense one is cut along the orders of ``SEEDS`` trees into chunks of bounded size, where the common prefix is shortest, so deeper
 where more vertices stand; the links found there join most of a group of copies, and show which members have most links; what isn't joined yet is compared with these. Then whatever still shares ``BASE`` minima, but belongs to different components,
-is compared block against block: all outside the largest component with all in it. So a group of copies costs no pairs of its own, no task compares more than ``MEMBERS``
+is compared block against block: all outside the largest component with all in it. So a group of copies costs no pairs of its own, no task compares more than a few hundred
 vertices at a time, and no pair of neighbours is left out at any size. The confirmed links are contracted to components.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mark, pylists, slices, small, utf8
@@ -27,6 +27,8 @@ SHINGLE = 5
 TREES, BASE, DEPTH = 28, 4, 8
 #: Shingles that are compared in one task at a time, and members.
 WEIGHT, MEMBERS = 1 << 20, 256
+#: The same, where blocks of different components meet.
+BLOCK = 512
 #: Trees whose orders are cut into chunks in dense regions, and vertices with many links that all others of a region are compared with then.
 SEEDS, HUBS = 8, 48
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -275,11 +277,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _blocks(weight: Column, members: Column) -> Column:
     """Blocks of at most about half of what a task compares."""
-    return F.ceil(F.greatest(2 * weight / WEIGHT, 2 * members / MEMBERS, F.lit(1.0))).cast("long")
+    return F.ceil(F.greatest(2 * weight / WEIGHT, 2 * members / BLOCK, F.lit(1.0))).cast("long")
 
 
-def _fits() -> Column:
-    return (F.col("weight") <= WEIGHT) & (F.col("members") <= MEMBERS)
+def _fits(members: int | None = None) -> Column:
+    return (F.col("weight") <= WEIGHT) & (F.col("members") <= (members or MEMBERS))
 
 
 def _hubs(dense: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
@@ -294,9 +296,8 @@ def _hubs(dense: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
     top = small(cut(top, "tops"))
     outside = rows.join(top, "root").where("part <> top").select("key", F.array(F.xxhash64(F.lit("hubs"), "root", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")))).alias("groups"))
     degrees = found.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("degree")).where("degree > 1")
-    ranked = rows.join(degrees, "key").join(top, "root").where("part = top").select("root", "blocks", "key", "degree")
-    for by in (["root", F.pmod(F.xxhash64("key"), F.lit(64))], ["root"]):  # first within shares of a region, so that no task sorts all of it
-        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), "key"))).where(F.col("place") <= HUBS)
+    linked = rows.join(degrees, "key").join(top, "root").where("part = top")
+    ranked = linked.groupBy("root", "blocks", F.pmod(F.xxhash64("key"), F.lit(HUBS))).agg(F.max(F.struct("degree", "key")).alias("hub")).select("root", "blocks", "hub.key")  # the first of each share of a region
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64(F.lit("hubs"), F.col("root"), k.cast("long")))
     return outside.unionByName(ranked.select("key", every.alias("groups")))
 
@@ -307,12 +308,12 @@ def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
     Pairs within the largest component of a bucket need no look. Its blocks meet those of the other vertices, and these each other.
     """
     path = ["tree", "base"]
-    rows = rows.join(parts, "key")
+    rows = cut(rows.select("key", "n", *path).join(parts, "key"), "parted")
     by = rows.groupBy(*path, "part").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     buckets = by.groupBy(*path).agg(F.sum("w").alias("weight"), F.sum("m").alias("members"), F.max(F.struct("w", "m", "part")).alias("top"), F.count("*").alias("parts"))
     buckets = buckets.where(F.col("parts") > 1)
     few = _blocks(F.col("weight") - F.col("top.w"), F.col("members") - F.col("top.m"))
-    buckets = buckets.select(*path, _fits().alias("whole"), few.alias("few"), _blocks(F.col("top.w"), F.col("top.m")).alias("many"), F.col("top.part").alias("top"))
+    buckets = buckets.select(*path, _fits(BLOCK).alias("whole"), few.alias("few"), _blocks(F.col("top.w"), F.col("top.m")).alias("many"), F.col("top.part").alias("top"))
     rows = rows.join(small(cut(buckets, "buckets")), path)
     whole = rows.where("whole").select("key", F.xxhash64(F.lit("whole"), *path).alias("group"))
     split = rows.where("not whole").withColumn("inner", F.col("part") == F.col("top"))

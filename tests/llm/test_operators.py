@@ -630,6 +630,7 @@ def test_heavy_regions_lose_nothing(spark, monkeypatch, weight, members):
     """Near copies with similarities on both sides of the threshold, over many small blocks."""
     monkeypatch.setattr(near_dups, "WEIGHT", weight)
     monkeypatch.setattr(near_dups, "MEMBERS", members)
+    monkeypatch.setattr(near_dups, "BLOCK", members)
     monkeypatch.setattr(common, "SMALL", 0)
     rng = np.random.default_rng(2)
     base = [f"w{k}" for k in range(60)]
@@ -648,6 +649,7 @@ def test_stars_are_joined_by_their_hubs(spark, monkeypatch):
     """Copies near one text and not near each other, more than a task compares at a time."""
     monkeypatch.setattr(near_dups, "MEMBERS", 32)
     monkeypatch.setattr(near_dups, "HUBS", 4)
+    monkeypatch.setattr(near_dups, "BLOCK", 32)
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
     made = [(0, " ".join(base))]
