@@ -350,13 +350,13 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     sizes = near.groupBy("key").agg(F.first("n").alias("n")).join(regions.withColumnRenamed("id", "key"), "key")
     vertices = cut(sizes.join(named, "key").select("key", "n", "root", "row.doc_id", "row.mark"), "vertices")
     weights = vertices.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
-    heavy = weights.where(~_fits()).select("root")
+    heavy = small(cut(weights.where(~_fits()).select("root"), "heavy-roots"))
     light = vertices.join(heavy, "root", "left_anti").select("key", "doc_id", "mark", F.array(F.xxhash64(F.lit("region"), "root")).alias("groups"))
     dense = vertices.join(heavy, "root", "left_semi").select("key", "root", "doc_id", "mark")
     some = not heavy.isEmpty()
     members = light
     if some:
-        inside = cut(near.select("key", "n", "tree", "base", "rest").join(dense.select("key"), "key", "left_semi"), "heavy")
+        inside = cut(near.select("key", "n", "tree", "base", "rest").join(dense.select("key"), "key", "left_semi"), "inside")
         groups = _sorted(inside.where(F.col("tree") < SEEDS)).mapInArrow(_chunks, "key long, group long").groupBy("key").agg(F.collect_set("group").alias("groups"))  # SEEDS at most
         members = light.unionByName(dense.drop("root").join(groups, "key"))
     found = cut(_links(_hashes(docs, members).select("key", F.explode("groups").alias("group"), "hashes"), percent), "links")
@@ -376,8 +376,10 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     keys = own.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least")).join(joined.withColumnRenamed("id", "key"), "key", "left")
     keys = keys.withColumn("root", F.coalesce("root", "key"))
-    ids = keys.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("least"))
-    of = keys.join(ids, "root").select("key", "component_id", ids.least)
+    keys = cut(keys, "keys")
+    ids = keys.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("least"), F.count("*").alias("m")).where("m > 1")
+    ids = small(cut(ids.drop("m"), "ids"))  # the components of several sets, so that a large one isn't a hot key of a join while they are few
+    of = keys.join(ids.withColumnRenamed("least", "of_all"), "root", "left").select("key", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("of_all", "least").alias("least"))
     out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     alone = component.isNull() & F.coalesce(F.col("mark") == F.col("least"), F.lit(True))
