@@ -53,3 +53,15 @@ def iri_parts(base: str, x: str | Column) -> Column:
     """struct(kind, path) of an IRI under ``base``, or null."""
     form = "^" + base.rstrip("/").replace(".", r"\.") + r"/([a-z-]+)/([a-z0-9._/-]+)$"
     return F.when(c(x).rlike(form), F.struct(F.regexp_extract(c(x), form, 1).alias("kind"), F.regexp_extract(c(x), form, 2).alias("path")))
+
+
+def canonical_iri(base: str, x: str | Column) -> Column:
+    """An entity's IRI of any scheme and host under ``base``, so that one entity has one key; null if it has no ``/entity/<kind>/<path>`` of plain segments."""
+    path = F.regexp_extract(F.trim(c(x)), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+(/entity(?:/[a-z0-9][a-z0-9._-]*){2,})/?$", 1)
+    return F.when(path != "", F.concat(F.lit(base.rstrip("/")), path))
+
+
+def publisher_key(authority: str | Column, url: str | Column) -> Column:
+    """Who published a source: its authority in lower case, else the registrable domain of its URL, without www; null without both."""
+    named = F.nullif(F.lower(F.trim(c(authority))), F.lit(""))
+    return F.coalesce(named, registrable_domain(F.nullif(host(url), F.lit(""))))
