@@ -211,11 +211,6 @@ def _(li):
     return li.groupBy("l_linestatus").agg(n(), money(F.sum("l_quantity"), "s"), F.round(F.avg("l_quantity"), 4).alias("a"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.bool_and(F.col("l_quantity") > 0).alias("all_pos"), F.bool_or(F.col("l_discount") > 0.09).alias("any_high"))
 
 
-@query("AGG28_truncation_ceiling", "lineitem", sql="select count(*) filter (where l_discount > 0.08) flagged, count(*) created, (count(*) filter (where l_discount > 0.08))::double / count(*) > 0.5 aborted from lineitem")
-def _(li):
-    return li.agg(F.count_if(F.col("l_discount") > 0.08).alias("flagged"), n("created")).withColumn("aborted", F.col("flagged") / F.col("created") > 0.5)
-
-
 @query("AGG29_confidence", "lineitem", sql="select l_orderkey, case when count(*) < 2 then 'single' when round(stddev_pop(l_quantity), 6) <= 5 then 'high' when round(stddev_pop(l_quantity), 6) <= 12 then 'medium' else 'low' end label from lineitem group by 1")
 def _(li):
     return li.groupBy("l_orderkey").agg(dom.confidence(F.round(F.stddev_pop("l_quantity"), 6), F.count("*")).alias("label"))

@@ -177,11 +177,6 @@ def _(li):
     return li.select("l_orderkey", "l_linenumber").join(fresh.select("l_orderkey").distinct(), "l_orderkey", "left_anti").unionByName(fresh)
 
 
-@query("SNK7_snapshot", "orders", "customer", sql="select (select count(*) from orders) orders, (select count(*) from customer) customers, 1 as version")
-def _(o, c):
-    return o.agg(n("orders")).join(F.broadcast(c.agg(n("customers"))), F.lit(True)).withColumn("version", F.lit(1))  # a row of counts on each side
-
-
 @query("SNK8_changed_columns", "part", sql="select changed, count(*) n from (select concat_ws(',', case when p_partkey % 5 = 0 then 'p_brand' end, case when p_partkey % 3 = 0 then 'p_size' end) changed from part) where changed <> '' group by 1")
 def _(p):
     after = p.withColumn("p_size", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).withColumn("p_brand", F.when(F.col("p_partkey") % 5 == 0, "new").otherwise(F.col("p_brand")))
@@ -452,13 +447,6 @@ def _(p):
     return search.suggestion(search.fuzzy(voc.select("word"), mis).join(voc, "word"))
 
 
-@query("SRCH12_in_text", "documents", sql="select doc_id, instr(lower(text), 'tion')::int as at, count(*) over () total from documents where contains(lower(text), 'tion') order by doc_id limit 1000000")
-def _(d):
-    at = F.instr(F.lower("text"), "tion")
-    hits = d.select("doc_id", at.alias("at")).where("at > 0")
-    return hits.join(F.broadcast(hits.agg(n("total"))), F.lit(True))  # a row of one count
-
-
 @query("SRCH16_demand_report", "events", sql="select event_type, count(*) searches, count(distinct user_id) users, count(*) filter (where value < 10) zero from events group by 1")
 def _(e):
     return e.groupBy("event_type").agg(n("searches"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") < 10).alias("zero"))
@@ -512,11 +500,6 @@ def _(p):
     return graph.resolve_chain(nodes, 16)
 
 
-@query("ENT11_duplicates", "customer", sql="select c_nationkey, c_mktsegment, count(*) n, min(c_custkey) survivor from customer group by 1, 2 having count(*) > 1")
-def _(c):
-    return c.groupBy("c_nationkey", "c_mktsegment").agg(n(), F.min("c_custkey").alias("survivor")).where("n > 1")
-
-
 @query("ENT12_nearest_ancestor", "part", sql=f"{_CHAIN} select id, arg_min(target, hops) ancestor from t where target % 3 = 0 or target = 1 group by 1")
 def _(p):
     walk = p.sparkSession.sql("""with recursive t(id, target, hops) max recursion level 64 as (select p_partkey, p_partkey, 0 from {places}
@@ -524,11 +507,6 @@ def _(p):
     return walk.where("target % 3 = 0 or target = 1").groupBy("id").agg(F.min_by("target", "hops").alias("ancestor"))
 
 
-@query("ENT15_type_detection", "part", sql="select case when p_type like '%BRASS%' then 'brass' when p_name like '%a%' then 'a-named' else 'other' end kind, count(*) n from part group by 1")
-def _(p):
-    return p.groupBy(dom.ladder((F.col("p_type").contains("BRASS"), "brass"), (F.col("p_name").contains("a"), "a-named"), otherwise="other").alias("kind")).agg(n())
-
-
 @query("ENT16_rule_battery", "orders", sql="""select o_orderkey, ((o_totalprice > 1000)::int * 3 + (o_orderstatus <> 'P')::int * 2 + (o_orderpriority <> '5-LOW')::int) * 100 / 6.0::double score, concat_ws(',', case when not o_totalprice > 1000 then 'small' end, case when not o_orderstatus <> 'P' then 'pending' end, case when not o_orderpriority <> '5-LOW' then 'low' end) issues from orders""")
 def _(o):
     rules = {"small": (F.col("o_totalprice") > 1000, 3), "pending": (F.col("o_orderstatus") != "P", 2), "low": (F.col("o_orderpriority") != "5-LOW", 1)}
@@ -601,29 +579,11 @@ def _(o):
     return o.groupBy("o_orderstatus", dom.ladder((F.col("o_orderstatus") == "F", "done"), (p == "5-LOW", "deferred"), (p == "1-URGENT", "failed"), otherwise="retry").alias("state")).agg(n())
 
 
-@query("PIPE11_reconcile", "orders", "lineitem", sql="select coalesce(o_orderkey, l_orderkey) k, a.n expected, b.n indexed from (select o_orderkey, 4::bigint n from orders) a full join (select l_orderkey, count(*) n from lineitem group by 1) b on o_orderkey = l_orderkey where a.n is distinct from b.n")
-def _(o, li):
-    a = o.select(F.col("o_orderkey").alias("k"), F.lit(4).cast("long").alias("expected"))
-    b = li.groupBy(F.col("l_orderkey").alias("k")).agg(n("indexed"))
-    return a.join(b, "k", "full").where("not (expected <=> indexed)")
-
-
 @query("PIPE12_exact_copies", "documents", sql="select sha256(text) h, min(doc_id) survivor, count(*) copies from documents where text is not null group by 1 having count(*) > 1")
 def _(d):
     return d.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("survivor"), n("copies")).where("copies > 1")
 
 
-@query("PIPE13_vocabulary_rebuild", "part", sql="with t as (select unnest(string_split(p_name, ' ')) w from part) select case when w < 'g' then 'resolved' when w < 'm' then 'retired' else 'unknown' end as state, count(*) n, count(distinct w) tags from t group by 1")
-def _(p):
-    t = p.select(F.explode(F.split("p_name", " ")).alias("w"))
-    return t.groupBy(dom.ladder((F.col("w") < "g", "resolved"), (F.col("w") < "m", "retired"), otherwise="unknown").alias("state")).agg(n(), F.countDistinct("w").alias("tags"))
-
-
-@query("PIPE17_confusion", "labels", "documents", sql="select quality, (n_chars > 300)::int predicted, count(*) n from labels join documents using (doc_id) group by 1, 2")
-def _(la, d):
-    return la.join(d.select("doc_id", "n_chars"), "doc_id").groupBy("quality", (F.col("n_chars") > 300).cast("int").alias("predicted")).agg(n())
-
-
 @query("SRC1_ordered_scan", "lineitem", sql="select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) ordinal from lineitem")
 def _(li):
     from civicframe.sources.readers import ordinals
