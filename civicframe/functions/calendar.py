@@ -40,3 +40,9 @@ def ad_to_bs(df: DataFrame, column: str, starts: DataFrame, name: str) -> DataFr
     text = F.concat_ws("-", F.lpad(F.col("_y").cast("string"), 4, "0"), two(F.col("_m")), two(F.datediff(day, "_start") + 1))
     on = (F.trunc(day, "month") == F.col("_month")) & (day >= F.col("_start")) & (day <= F.col("_last"))
     return df.join(F.broadcast(table), on, "left").withColumn(name, F.when(F.col("_y").isNotNull(), text)).drop("_month", "_y", "_m", "_start", "_last")
+
+
+def lookback_days(df: DataFrame, day: Column, days: int, starts: DataFrame) -> DataFrame:
+    """ad and bs of the ``days`` days up to ``day`` (an aggregate of df, or a literal), newest first in the calendar; days beyond the table have no bs."""
+    series = df.agg(F.sequence(F.date_sub(day, days - 1), day).alias("_s")).select(F.explode("_s").alias("ad"))
+    return ad_to_bs(series, "ad", starts, "bs")

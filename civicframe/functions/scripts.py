@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from unicodedata import normalize
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dockets import bound
-from .text import ASCII, DEVANAGARI, c, has_devanagari
+from .text import ASCII, DEVANAGARI, c, devanagari_nfc, has_devanagari
 
-#: Letters with a nukta (U+0958 to U+095F) that NFC takes apart, and the three that it puts together.
-APART = [(chr(n), normalize("NFD", chr(n))) for n in range(0x958, 0x960)]
-TOGETHER = [(normalize("NFD", chr(n)), chr(n)) for n in (0x929, 0x931, 0x934)]
 NUKTA = "\u093c"
 #: Fixed values (the IAST scheme): consonants, independent vowels, vowel signs, other marks.
 CONSONANTS = {
@@ -28,14 +23,6 @@ SPELT = (("ṛ", "ri"), ("ṝ", "ri"), ("ś", "sh"), ("ṣ", "sh"), ("ñ", "ny")
 ACCENTED, PLAIN = "āīūḷṭḍṇḻ", "aiultdnl"
 
 
-def devanagari_nfc(x: str | Column) -> Column:
-    """NFC of Devanagari letters; marks are taken to be in their order, and other scripts are left alone."""
-    s = c(x)
-    for old, new in APART + TOGETHER:
-        s = F.replace(s, F.lit(old), F.lit(new))
-    return s
-
-
 def _mapped(s: Column, table: dict[str, str]) -> Column:
     """Every key as its value, the longest first; keys of one letter to one letter in one pass."""
     for old, new in sorted(table.items(), key=lambda kv: -len(kv[0])):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The Devanagari digits.
 DEVANAGARI = "०१२३४५६७८९"
 ASCII = "0123456789"
+#: Letters with a nukta (U+0958 to U+095F) that NFC takes apart, and the three that it puts together.
+APART = [(chr(n), normalize("NFD", chr(n))) for n in range(0x958, 0x960)]
+TOGETHER = [(normalize("NFD", chr(n)), chr(n)) for n in (0x929, 0x931, 0x934)]
 
 
 def c(x: str | Column) -> Column:
@@ -22,6 +27,14 @@ def devanagari_digits(x: str | Column) -> Column:
     return F.translate(c(x), ASCII, DEVANAGARI)
 
 
+def devanagari_nfc(x: str | Column) -> Column:
+    """NFC of Devanagari letters; marks are taken to be in their order, and other scripts are left alone."""
+    s = c(x)
+    for old, new in APART + TOGETHER:
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
+
+
 def squeezed(x: str | Column) -> Column:
     """White space runs become one space; the ends are trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(c(x), F.lit("")), r"\s+", " "))
@@ -34,8 +47,8 @@ def unquoted(x: str | Column) -> Column:
 
 
 def query_key(x: str | Column) -> Column:
-    """A query in lower case, trimmed and squeezed. Composition to NFC is left to ``nfc`` in ``functions.arrow``."""
-    return F.lower(squeezed(x))
+    """A query in lower case, trimmed and squeezed, its Devanagari in NFC; other scripts are left to ``nfc`` in ``functions.arrow``."""
+    return F.lower(squeezed(devanagari_nfc(x)))
 
 
 def padded(x: Column, width: int) -> Column:
@@ -145,6 +158,14 @@ def snippet(text: str | Column, at: Column, width: int = 90) -> Column:
     return c(text).substr(F.greatest(at - width // 3, F.lit(1)), F.lit(width))
 
 
+def clipped(x: str | Column, most: int, mark: str = "…") -> Column:
+    """At most ``most`` characters: a longer text ends with the mark, which counts, after a whole word where one ends in the second half."""
+    room = F.substring(c(x), 1, most - len(mark))
+    whole = F.regexp_replace(room, r"\s+\S*$", "")
+    cut = F.when(F.substring(c(x), most - len(mark) + 1, 1).rlike(r"\S") & (F.length(whole) * 2 >= most), whole).otherwise(F.rtrim(room))
+    return F.when(F.length(c(x)) <= most, c(x)).otherwise(F.concat(cut, F.lit(mark)))
+
+
 def windows(text: str | Column, size: int, overlap: int) -> Column:
     """Overlapping windows of a text as array<struct<no, start, body>>; an empty text has none."""
     t, step = F.coalesce(c(text), F.lit("")), size - overlap

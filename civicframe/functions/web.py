@@ -55,9 +55,15 @@ def iri_parts(base: str, x: str | Column) -> Column:
     return F.when(c(x).rlike(form), F.struct(F.regexp_extract(c(x), form, 1).alias("kind"), F.regexp_extract(c(x), form, 2).alias("path")))
 
 
-def canonical_iri(base: str, x: str | Column) -> Column:
-    """An entity's IRI of any scheme and host under ``base``, so that one entity has one key; null if it has no ``/entity/<kind>/<path>`` of plain segments."""
-    path = F.regexp_extract(F.trim(c(x)), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+(/entity(?:/[a-z0-9][a-z0-9._-]*){2,})/?$", 1)
+#: The types of IRIs, and how many segments each has after its type, at least and at most.
+TYPES = {"entity": (2, 99), "courtcase": (2, 2), "material": (1, 99), "case": (1, 1)}
+
+
+def canonical_iri(base: str, x: str | Column, kind: str = "entity") -> Column:
+    """An IRI of any scheme and host under ``base``, so that one thing has one key; null if it isn't ``/<kind>/`` and as many plain segments as the kind has. Dockets' are brought to lower case."""
+    least, most = TYPES[kind]
+    raw = F.lower(F.trim(c(x))) if kind == "courtcase" else F.trim(c(x))
+    path = F.regexp_extract(raw, rf"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+(/{kind}(?:/[a-z0-9][a-z0-9._-]*){{{least},{most}}})/?$", 1)
     return F.when(path != "", F.concat(F.lit(base.rstrip("/")), path))
 
 

@@ -169,3 +169,13 @@ def once(read_done: Callable[[], DataFrame], key: str, apply: Callable[[DataFram
     ``apply`` writes effect and key together; it gets the batch's number, so that a replay of the same batch overwrites. ``read_done`` reads the keys anew each time.
     """
     return lambda batch, number: apply(batch.dropDuplicates([key]).join(read_done().select(key), key, "left_anti"), number)
+
+
+def staged(proposals: DataFrame, already: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """``proposals`` (keys, confidence, proposed_at) with verdict: below the threshold, staged before (already: keys), a weaker repeat in this batch, or staged. Of repeated ones the most confident counts, then the earliest."""
+    best = proposals.where(F.col("confidence") >= least).groupBy(*keys).agg(F.max_by(F.struct("confidence", "proposed_at"), F.struct("confidence", -F.unix_micros(F.col("proposed_at").cast("timestamp")))).alias("_best"))
+    held = already.select(*keys).distinct().withColumn("_held", F.lit(True))
+    rows = proposals.join(held, list(keys), "left").join(best, list(keys), "left")
+    first = (F.col("confidence") == F.col("_best.confidence")) & (F.col("proposed_at") == F.col("_best.proposed_at"))
+    verdict = F.when(~F.coalesce(F.col("confidence") >= least, F.lit(False)), "unsure").when(F.col("_held"), "staged before").when(~first, "repeated").otherwise("staged")
+    return rows.select(*proposals.columns, verdict.alias("verdict"))

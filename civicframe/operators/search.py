@@ -7,10 +7,10 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicframe.functions.text import ascii_digits, sound_fold
+from civicframe.functions.text import ascii_digits, devanagari_nfc, sound_fold
 
 
 def facets(df: DataFrame, filters: Mapping[str, Column], names: Sequence[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def fallback_relevance(names: str | Column, alternates: str | Column, keywords:
 
 def analyzed(x: str | Column, stop: Sequence[str] = ()) -> Column:
     """The tokens of a text for an index: zero-width characters dropped, digits of both scripts one, in lower case, without accents of Latin letters and stop words."""
-    s = F.translate(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), "\u200b\u200c\u200d\ufeff", "")
+    s = F.translate(F.coalesce(devanagari_nfc(x), F.lit("")), "\u200b\u200c\u200d\ufeff", "")
     s = F.translate(F.lower(ascii_digits(s)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     return F.filter(F.split(F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda t: (t != "") & ~t.isin(*stop) if stop else t != "")
 
@@ -211,3 +211,23 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, size: int, ceiling
     if offset + size > ceiling:
         raise ValueError(f"offset and size exceed {ceiling}; page by a cursor")
     return df.orderBy(*order).offset(offset).limit(size)
+
+
+#: What an index expands a misspelt token to, and what such a match counts.
+EXPANSIONS, FUZZY_BOOST = 50, 0.3
+
+
+def expansions(met: DataFrame, vocabulary: DataFrame, most: int = EXPANSIONS) -> DataFrame:
+    """token, word, distance and boost of the ``most`` nearest words of each token (``fuzzy``), by distance, documents that hold the word (vocabulary: word, freq) and the word."""
+    w = Window.partitionBy("token").orderBy("distance", F.desc("freq"), "word")
+    ranked = met.join(vocabulary, "word").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most)
+    return ranked.select("token", "word", "distance", F.lit(FUZZY_BOOST).alias("boost"))
+
+
+def sort_order(mode: str, date: str = "date", title: str = "title", score: str = "score", featured: str = "featured", key: str = "iri") -> list[Column]:
+    """The order of a mode, ties by key, missing values last; an unknown mode is an error."""
+    newest = [F.desc_nulls_last(date)]
+    modes = {"relevance": [F.desc_nulls_last(score), *newest], "newest": newest, "oldest": [F.asc_nulls_last(date)], "title": [F.asc_nulls_last(F.lower(F.col(title)))], "featured": [F.desc_nulls_last(featured), *newest]}
+    if mode not in modes:
+        raise ValueError(f"sort is one of {', '.join(modes)}")
+    return [*modes[mode], F.col(key)]

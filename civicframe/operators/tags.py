@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.text import c
+from civicframe.functions.text import c, devanagari_nfc
 
 from .graph import resolve_chain
 
@@ -18,7 +18,7 @@ EDGES = ".,;:!?\"'()[]{}"
 
 def tag_key(x: str | Column) -> Column:
     """The key of a raw tag: signs repaired, separators as spaces, no punctuation at the ends, in lower case."""
-    s = c(x)
+    s = devanagari_nfc(x)
     for broken, whole in REPAIRS:
         s = F.replace(s, F.lit(broken), F.lit(whole))
     s = F.trim(F.regexp_replace(F.regexp_replace(s, "[-_]+", " "), r"(?U)\s+", " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,3 +117,39 @@ def promoted_held(held: DataFrame, sources: DataFrame, key: str, publisher: Colu
     counted = sources.groupBy(key).agg(F.countDistinct(publisher).alias("publishers"))
     n = F.coalesce("publishers", F.lit(0))
     return held.join(counted, key, "left").withColumn("publishers", n).withColumn("promoted", n >= least)
+
+
+def listed(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], extra: str) -> DataFrame:
+    """A cause list on stored dockets: its columns overwrite where they aren't null, the maps in ``extra`` are united. Adds ``action``."""
+    out, columns = _merged(stored, incoming, keys, F.coalesce)
+    action = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "created").otherwise("updated")
+    return out.withColumn(extra, map_union(F.col(f"_old.{extra}"), F.col(f"_new.{extra}"))).select(*keys, *columns, action.alias("action"))
+
+
+def enriched(stored: DataFrame, parsed: DataFrame, keys: Sequence[str], extra: str, verdict: Column) -> DataFrame:
+    """Stored rows after a detail page was parsed, with ``action``: an empty parse (no column but its keys) is rejected, a row that isn't stored is never created.
+
+    Values overwrite where they aren't null, the maps in ``extra`` are united, and ``verdict_type`` is filled by ``verdict`` (of the new row's columns) if it is missing.
+    """
+    columns = [x for x in stored.columns if x not in keys]
+    told = F.size(F.array_compact(F.array(*(F.col(x).cast("string") for x in columns if x != extra)))) + F.size(F.coalesce(extra, F.create_map().cast("map<string,string>")))
+    new = parsed.select(*keys, F.struct(*columns).alias("_new"), (told > 0).alias("_told"))
+    both = stored.select(*keys, F.struct(*columns).alias("_old")).join(new, list(keys), "left")
+    fine = F.coalesce("_told", F.lit(False))
+    rows = both.select(*keys, fine.alias("_fine"), F.col("_new").isNotNull().alias("_met"), *(F.when(fine, F.coalesce(F.col(f"_new.{x}"), F.col(f"_old.{x}"))).otherwise(F.col(f"_old.{x}")).alias(x) for x in columns if x != extra), F.when(fine, map_union(F.col(f"_old.{extra}"), F.col(f"_new.{extra}"))).otherwise(F.col(f"_old.{extra}")).alias(extra))
+    rows = rows.withColumn("verdict_type", F.when(F.col("_fine"), F.coalesce("verdict_type", verdict)).otherwise(F.col("verdict_type")))
+    return rows.select(*keys, *columns, F.when(F.col("_fine"), "updated").when(F.col("_met"), "rejected").otherwise("kept").alias("action"))
+
+
+def repointed(stores: Mapping[str, tuple[DataFrame, str]], mapping: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every store (frame and its column of ids) with the ids of mapping (old, new; one new for each old) replaced, and store and n: how many rows changed."""
+    moved, counts = {}, []
+    for name, (df, column) in stores.items():
+        to = mapping.select(F.col("old").alias(column), F.col("new").alias("_to"))
+        met = df.join(to, column, "left")
+        counts.append(met.agg(F.count("_to").alias("n")).select(F.lit(name).alias("store"), "n"))
+        moved[name] = met.withColumn(column, F.coalesce("_to", column)).select(*df.columns)
+    total = counts[0]
+    for one in counts[1:]:
+        total = total.unionByName(one)
+    return moved, total

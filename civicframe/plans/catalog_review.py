@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from civicframe.operators import review, upsert
+from civicframe.functions import calendar, web
+from civicframe.functions import text as tx
+from civicframe.operators import casework, review, search, upsert
 from civicframe.sources import pages, sinks
+from civicframe.streaming import events
 
 from .catalog import query
+from .catalog_dockets import _STARTS, _months
 
 # -- sources ---------------------------------------------------------------------------------------------------------------
 
@@ -145,3 +150,107 @@ def _(o):
     index = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat("o_orderstatus", F.lit(" old")).alias("status"))
     changes = review.changed_since(o, "1996-01-01", "o_orderdate", F.col("o_orderstatus") == "F").select("o_orderkey", F.col("o_orderstatus").alias("status"), "evicted")
     return sinks.catch_up(index, changes, "o_orderkey")
+
+
+# -- writes, streams, order --------------------------------------------------------------------------------------------------
+
+
+def _docket(p, brand, extra):
+    return p.select("p_partkey", brand.alias("brand"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit(extra), F.lit("x")).alias("extra"))
+
+
+@query("SNK3_cause_list", "part", sql="""select p_partkey, case when p_partkey % 5 in (0, 1) and p_partkey % 4 > 0 then p_brand when p_partkey % 5 = 0 then null else p_type end brand, case when p_partkey % 4 > 0 and p_partkey % 5 > 0 then 3 else 2 end keys,
+    case when p_partkey % 4 = 0 then 'created' when p_partkey % 5 = 0 then 'kept' else 'updated' end as action from part where p_partkey % 4 > 0 or p_partkey % 5 > 0""")
+def _(p):
+    stored = _docket(p.where("p_partkey % 4 > 0"), F.col("p_brand"), "old")
+    incoming = _docket(p.where("p_partkey % 5 > 0"), F.when((F.col("p_partkey") % 5 > 1) | (F.col("p_partkey") % 4 == 0), F.col("p_type")), "new")
+    return upsert.listed(stored, incoming, ["p_partkey"], "extra").select("p_partkey", "brand", F.size("extra").alias("keys"), "action")
+
+
+@query("SNK5_enriched", "part", sql="""select p_partkey, case when p_partkey % 3 = 1 then p_type else p_brand end judge, case when p_partkey % 3 = 1 then coalesce(case when p_partkey % 2 = 0 then 'OLD' end, 'CONVICTED') when p_partkey % 2 = 0 then 'OLD' end verdict_type,
+    case p_partkey % 3 when 0 then 'kept' when 1 then 'updated' else 'rejected' end as action, case when p_partkey % 3 = 1 then 2 else 1 end keys from part""")
+def _(p):
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    extra = lambda name: F.create_map(F.lit(name), F.lit("x"))
+    stored = p.select("p_partkey", F.col("p_brand").alias("judge"), F.when(k % 2 == 0, "OLD").alias("verdict_type"), extra("a").alias("extra"))
+    parsed = p.where("p_partkey % 3 > 0").select("p_partkey", F.when(k % 3 == 1, F.col("p_type")).alias("judge"), none.alias("verdict_type"), F.when(k % 3 == 1, extra("b")).alias("extra"))
+    made = upsert.enriched(stored, parsed.unionByName(parsed.limit(0)), ["p_partkey"], "extra", F.lit("CONVICTED"))
+    return made.select("p_partkey", "judge", "verdict_type", "action", F.size("extra").alias("keys"))
+
+
+@query("ENT9_repointed", "orders", "customer", "lineitem", sql="""select 'cases' as store, count(*) filter (where o_custkey % 10 = 0) n from orders union all select 'entities', count(*) filter (where c_custkey % 10 = 0) from customer union all select 'materials', count(*) filter (where l_partkey % 10 = 0 and l_partkey in (select c_custkey from customer)) from lineitem""")
+def _(o, c, li):
+    mapping = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1).alias("new"))
+    mapping = mapping.unionByName(o.where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("old"), (F.col("o_custkey") + 1).alias("new"))).distinct()
+    held = c.select("c_custkey")
+    stores = {"cases": (o.select("o_orderkey", "o_custkey"), "o_custkey"), "entities": (held, "c_custkey"), "materials": (li.join(held, li.l_partkey == held.c_custkey, "left_semi").select("l_orderkey", "l_partkey"), "l_partkey")}
+    return upsert.repointed(stores, mapping)[1]
+
+
+@query("STM1_lookback", "events", sql="""with m as (select max(ts) t from events), i as (select event_id, ts from events, m where ts >= t - interval 48 hour) select event_id, (select count(*) from i) > 50 saturated from (select * from i order by ts desc, lpad(event_id::varchar, 12, '0') limit 50)""")
+def _(e):
+    last = e.agg(F.max("ts").alias("now"))
+    rows, report = events.lookback(e.select("event_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("dedup_key"), F.col("ts").alias("occurred_at")).join(F.broadcast(last), F.lit(True)), F.col("now"), 48, 50)  # a row of one time
+    return rows.select("event_id").join(F.broadcast(report.select("saturated")), F.lit(True))
+
+
+@query("STM3_backfilled", "events", sql="select date_trunc('day', ts) as start, event_type as subject, count(*) filter (where event_id % 5 > 0) fresh, count(*) filter (where event_id % 5 = 0) backfilled from events group by 1, 2")
+def _(e):
+    written = F.col("ts") + F.when(F.col("event_id") % 5 == 0, F.expr("interval 49 hours")).otherwise(F.expr("interval 48 hours"))
+    return events.backfill_totals(e.select(F.col("ts").alias("occurred_at"), F.col("event_type").alias("subject"), written.alias("written_at")), "1 day")
+
+
+@query("STM8_byte_bound", "events", sql="""select event_type, event_id from (select event_type, event_id, sum(100 + event_id % 50) over (partition by event_type order by ts desc, lpad(event_id::varchar, 12, '0') desc rows unbounded preceding) s from events) where s <= 9999""")
+def _(e):
+    rows = e.select("event_id", "event_type", F.col("event_type").alias("subject"), F.col("ts").alias("occurred_at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("dedup_key"))
+    return events.within_bytes(rows, 100 + F.col("event_id") % 50, 9999, "day").select("event_type", "event_id")
+
+
+@query("STM11_verdicts", "lineitem", sql="""with b as (select l_partkey, l_suppkey, max(l_discount) d from lineitem where l_discount >= 0.04 group by 1, 2), t as (select l_partkey, l_suppkey, min(l_shipdate) t from lineitem join b using (l_partkey, l_suppkey) where l_discount = d group by 1, 2)
+    select l_orderkey, l_linenumber, case when l_discount < 0.04 then 'unsure' when l_partkey % 4 = 0 then 'staged before' when l_discount = d and l_shipdate = t then 'staged' else 'repeated' end verdict from lineitem left join b using (l_partkey, l_suppkey) left join t using (l_partkey, l_suppkey)""")
+def _(li):
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_discount").alias("confidence"), F.col("l_shipdate").alias("proposed_at"))
+    return casework.staged(rows, li.where("l_partkey % 4 = 0").select("l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], 0.04).select("l_orderkey", "l_linenumber", "verdict")
+
+
+@query("SRT1_all_modes", "orders", sql=" union all ".join(f"(select '{mode}' as mode, o_orderkey, row_number() over (order by {order}, o_orderkey) place from orders qualify place <= 20)" for mode, order in (
+    ("relevance", "round(o_totalprice / 1000) desc nulls last, case when o_orderkey % 3 > 0 then o_orderdate end desc nulls last"), ("newest", "case when o_orderkey % 3 > 0 then o_orderdate end desc nulls last"),
+    ("oldest", "case when o_orderkey % 3 > 0 then o_orderdate end asc nulls last"), ("title", "lower(o_orderpriority) asc nulls last"), ("featured", "(o_orderstatus = 'P') desc nulls last, case when o_orderkey % 3 > 0 then o_orderdate end desc nulls last"))))
+def _(o):
+    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("date"), F.col("o_orderpriority").alias("title"), F.round(F.col("o_totalprice") / 1000).alias("score"), (F.col("o_orderstatus") == "P").alias("featured"))
+    out = None
+    for mode in ("relevance", "newest", "oldest", "title", "featured"):
+        order = search.sort_order(mode, key="o_orderkey")
+        top = rows.orderBy(*order).limit(20)
+        one = top.select(F.lit(mode).alias("mode"), "o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # over the twenty
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("STR28_label", "part", sql="""select p_partkey, case when length(p_name) <= 12 then p_name else case when substr(p_name, 12, 1) not in ('', ' ') and length(regexp_replace(left(p_name, 11), '\\s+\\S*$', '')) * 2 >= 12 then regexp_replace(left(p_name, 11), '\\s+\\S*$', '') else rtrim(left(p_name, 11)) end || '…' end as label from part""")
+def _(p):
+    return p.select("p_partkey", tx.clipped("p_name", 12).alias("label"))
+
+
+@query("STR22_four_types", "customer", sql="""select c_custkey, 'https://r.example/courtcase/special/081-cr-' || c_custkey docket, 'https://r.example/material/a/b/' || c_custkey material, case when c_custkey % 2 = 0 then 'https://r.example/case/c' || c_custkey end as case_iri from customer""")
+def _(c):
+    made = lambda *parts: F.concat(F.lit("http://old.example/"), *parts)
+    k = F.col("c_custkey").cast("string")
+    docket, material, case = made(F.lit("courtcase/Special/081-CR-"), k), made(F.lit("material/a/b/"), k, F.lit("/")), made(F.when(F.col("c_custkey") % 2 == 0, "case/c").otherwise("case/x/"), k)
+    iri = lambda x, kind: web.canonical_iri("https://r.example", x, kind)
+    return c.select("c_custkey", iri(docket, "courtcase").alias("docket"), iri(material, "material").alias("material"), iri(case, "case").alias("case_iri"))
+
+
+@query("SRCH6_expansions", "part", sql="""with v as (select w as word, count(distinct p_partkey) freq from (select p_partkey, unnest(string_split(p_name, ' ')) w from part) group by 1), t as (select distinct left(word, 4) || 'x' || substr(word, 5) token from v where length(word) >= 5),
+    m as (select token, word, levenshtein(token, word)::int distance, freq from t, v where token[1] = word[1] and levenshtein(token, word) between 1 and case when length(token) < 8 then 1 else 2 end) select token, word, distance, 0.3::double boost from m qualify row_number() over (partition by token order by distance, freq desc, word) <= 2""")
+def _(p):
+    words = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    voc = words.groupBy("word").agg(F.count("*").alias("freq"))
+    misspelt = voc.where("length(word) >= 5").select(F.concat(F.substring("word", 1, 4), F.lit("x"), F.expr("substr(word, 5)")).alias("token")).distinct()
+    return search.expansions(search.fuzzy(voc.select("word"), misspelt), voc, 2)
+
+
+@query("DT8_bs_lookback", "orders", sql=f"""{_STARTS} , l as (select unnest(generate_series(max(o_orderdate)::date - interval 29 day, max(o_orderdate)::date, interval 1 day))::date ad from orders)
+    select ad, y || '-' || lpad(m::varchar, 2, '0') || '-' || lpad((ad - start::date + 1)::varchar, 2, '0') bs from l left join s on ad >= start and ad < start + days::int""")
+def _(o):
+    return calendar.lookback_days(o, F.to_date(F.max("o_orderdate")), 30, calendar.month_starts(_months(o.sparkSession), "1943-04-14"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def rebuild(spark: SparkSession, docs: DataFrame, folder: str, generation: int, live: DataFrame | None) -> DataFrame:
@@ -16,6 +17,17 @@ def rebuild(spark: SparkSession, docs: DataFrame, folder: str, generation: int,
     return out
 
 
+def point(spark: SparkSession, folder: str, generation: int) -> None:
+    """Makes a generation the live one: one appended row, which a reader sees whole or not at all."""
+    spark.createDataFrame([(generation,)], "generation int").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/alias")
+
+
+def live(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The documents of the generation that was made live last; going back is pointing to an older one."""
+    last = spark.read.schema("generation int, at timestamp").parquet(f"{folder}/alias").agg(F.max_by("generation", "at")).first()[0]
+    return spark.read.schema(schema).parquet(f"{folder}/generation={last:06d}")
+
+
 def catch_up(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Applies what changed while the index was built; a change with ``evicted`` removes its document."""
     kept = index.join(changes.select(key), key, "left_anti")

@@ -1,12 +1,15 @@
 """Pages, envelopes and the checks of whole stores by examples and plain versions."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from civicframe.operators import review
-from civicframe.sources import pages
+from civicframe.functions import text as tx
+from civicframe.operators import review, search, upsert
+from civicframe.sources import pages, sinks
+from civicframe.streaming import events as ev
 
 
 def read(spark, htmls, f):
@@ -97,3 +100,52 @@ def test_detected(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, iris array<string>, kinds array<string>, offence string, want string, number boolean")
     for r in df.select("*", review.detected("iris", "kinds", "offence", ["LAUNDERING"]).alias("d")).collect():
         assert (r.d.type, r.d.needs_number) == (r.want, r.number), r
+
+
+def test_generations(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(1,), (2,)], "k int")
+    sinks.rebuild(spark, docs, folder, 1, None)
+    sinks.point(spark, folder, 1)
+    sinks.rebuild(spark, docs.limit(1), folder, 2, docs)
+    assert sinks.live(spark, folder, docs.schema).count() == 2  # built, not live yet
+    sinks.point(spark, folder, 2)
+    assert sinks.live(spark, folder, docs.schema).count() == 1
+    sinks.point(spark, folder, 1)
+    assert sinks.live(spark, folder, docs.schema).count() == 2
+
+
+def test_clipped(spark):
+    texts = ["short", "a long sentence here", "unbreakablelongword", "a verylongwordhere", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [r.c for r in df.select("i", tx.clipped("x", 10).alias("c")).orderBy("i").collect()]
+    assert got == ["short", "a long…", "unbreakab…", "a verylon…", None, ""]
+
+
+def test_within_bytes(spark):
+    random.seed(2)
+    rows = [(s, i, f"2024-01-0{1 + i % 3} 0{i % 7}:00:00", random.randint(1, 9)) for s in ("a", "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "subject string, dedup_key int, at string, size int").withColumn("occurred_at", F.to_timestamp("at"))
+    for most in (0, 1, 40, 150, 10_000):
+        got = {(r.subject, r.dedup_key) for r in ev.within_bytes(df, F.col("size"), most).collect()}
+        want = set()
+        for s in ("a", "b"):
+            left = most
+            for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]), reverse=True):
+                left -= r[3]
+                if left < 0:
+                    break
+                want.add((s, r[1]))
+        assert got == want
+
+
+def test_enriched(spark):
+    stored = spark.createDataFrame([(1, "j", None, {"a": "1"}), (2, "j", "OLD", None), (3, None, None, None)], "k int, judge string, verdict_type string, extra map<string,string>")
+    parsed = spark.createDataFrame([(1, None, None, {"b": "2"}), (2, None, None, {}), (9, "n", None, None)], "k int, judge string, verdict_type string, extra map<string,string>")
+    got = {r.k: (r.judge, r.verdict_type, r.extra, r.action) for r in upsert.enriched(stored, parsed, ["k"], "extra", F.lit("V")).collect()}
+    assert got == {1: ("j", "V", {"a": "1", "b": "2"}, "updated"), 2: ("j", "OLD", None, "rejected"), 3: (None, None, None, "kept")}
+
+
+def test_sort_modes():
+    with pytest.raises(ValueError):
+        search.sort_order("random")
