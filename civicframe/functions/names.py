@@ -96,6 +96,10 @@ def match_score(left: Column, right: Column, surnames: Collection[str] = (), par
     First and last word have to match, straight, or swapped if just one of the two is a surname. Every word of the shorter needs its own in the longer; what is left
     there may be particles only.
     """
+    return bound(F.struct(left.alias("left"), right.alias("right")), lambda pair: _score(pair["left"], pair["right"], surnames, particles))
+
+
+def _score(left: Column, right: Column, surnames: Collection[str], particles: Collection[str]) -> Column:
     is_in = lambda t, words: F.arrays_overlap(t["forms"], F.array(*(F.lit(w) for w in words))) if words else F.lit(False)
     end = lambda s, i: F.try_element_at(s, F.lit(i))
     straight = _same(end(left, 1), end(right, 1)) & _same(end(left, -1), end(right, -1))

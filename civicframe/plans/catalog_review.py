@@ -135,14 +135,13 @@ def _(p):
     return review.rebuilt(p.select(F.col("p_partkey").alias("case_id"), F.split(F.upper("p_name"), " ").alias("tags")), aliases, tags)[1]
 
 
-@query("SRCH12_document_hits", "lineitem", "part", sql="""with u as (select l_orderkey doc, l_linenumber p, 0 r, 'page' kind, null as key, p_name t from lineitem join part on l_partkey = p_partkey union all select l_orderkey, l_linenumber, 1, 'table', 't' || l_suppkey, p_type from lineitem join part on l_partkey = p_partkey),
-    h as (select *, case when contains(lower(t), 'tin') then 'literal' when kind = 'page' and p = 2 and contains(t, 'a') then 'words and folio' end as how from u)
-    select doc as document, p as page_no, kind, key, row_number() over w as place, count(*) over (partition by doc) total from h where contains(lower(t), 'tin') window w as (partition by doc order by p, r, key) qualify row_number() over w <= 5""")
+@query("SRCH12_document_hits", "lineitem", "part", sql="""with u as (select l_orderkey doc, l_linenumber p, 0 r, 'page' kind, null as key, p_name t from lineitem join part on l_partkey = p_partkey union all select l_orderkey, l_linenumber, 1, 'table', 't' || l_suppkey, p_type from lineitem join part on l_partkey = p_partkey)
+    select doc as document, p as page_no, kind, key, row_number() over w as place, count(*) over (partition by doc) total from u where contains(lower(t), 'small') window w as (partition by doc order by p, r, key) qualify row_number() over w <= 5""")
 def _(li, p):
     rows = li.join(p, li.l_partkey == p.p_partkey)
     pages_ = rows.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("page_no"), F.col("p_name").alias("text"))
     tables = rows.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("page_no"), F.concat(F.lit("t"), "l_suppkey").alias("key"), F.col("p_type").alias("text"))
-    return review.document_hits(pages_, tables, tables.limit(0), "TIN", 5).drop("by")
+    return review.document_hits(pages_, tables, tables.limit(0), "SMALL", 5).drop("by")
 
 
 @query("STM12_catch_up", "orders", sql="select o_orderkey, o_orderstatus || case when o_orderdate >= timestamp '1996-01-01' then '' else ' old' end status from orders where o_orderdate < timestamp '1996-01-01' and o_orderkey % 2 = 0 or o_orderdate >= timestamp '1996-01-01' and o_orderstatus <> 'F'")
