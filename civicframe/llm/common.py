@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicframe.session import ship
-
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SHARED = "file:///tmp/checkpoints/civicframe"
+from civicframe.storage import cut, scratch, shared_dir, shared_path  # noqa: F401  the operators take them from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,43 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset; a cluster's machines share no local folder."""
-    ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or LOCAL_SHARED).rstrip("/")
-
-
-#: A folder within the shared one, for what is written until ``scratch`` ends.
-_scope: ContextVar[str] = ContextVar("scope", default="")
-
-
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[None]:
-    """What operators write while this lasts is removed at its end, so results must have been written elsewhere by then."""
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    token = _scope.set(folder)
-    try:
-        yield
-    finally:
-        _scope.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and survives the loss of any executor."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bind(name: str, value: str, body: str) -> str:
     """SQL for ``body`` with ``name`` bound to ``value``, which is computed once; as a column it may be put back into the lambdas that use it."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
