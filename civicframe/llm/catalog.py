@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licences, near_dups, packing, pii, quality, tokens, toxicity, warc
+from . import decontaminate, html_extract, licences, near_dups, packing, pii, prefix_trie, quality, tokens, toxicity, warc
 from .common import table
 
 
@@ -73,13 +73,30 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.counts(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, ends = prefix_trie.prefix_trie(table(spark, sf, "conversations"), rebuild=True)
+    hashed = prefix_trie.ends_sha256(ends).withColumnsRenamed({"depth": "at", "digest": "of"})
+    out = nodes.join(hashed, (nodes.depth == hashed["at"]) & nodes.digest.eqNullSafe(hashed["of"]), "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(prefix_trie.EMPTY)).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts)
+    for f in (op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts, op11_prefix_trie)
 }
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: One row: the table of CRC-32, by its polynomial.
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc"
+
+
+def _crc(hexed: str) -> str:
+    """SQL for the CRC-32 of bytes in hex, with the table's column crc at hand."""
+    octets = f"list_transform(range(length({hexed}) // 2), lambda j: ('0x' || substr({hexed}, 2 * j + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
 ORACLES = {
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) b from pages),
@@ -103,4 +120,19 @@ ORACLES = {
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
           sha256(coalesce(s, '')) items_sha256, n_hit is not null contaminated
         from d left join c using (doc_id) left join t using (doc_id)""",
+    "op11_prefix_trie": f"""
+        with tab as ({_CRC_TABLE}),
+        o as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+        p as (select conv_id, sha256(octet_length(encode(r))::varchar || ':' || r || x) g, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) w,
+                row_number() over (partition by conv_id order by turn nulls first, g) - 1 pos from o),
+        c as (select conv_id, conv_id - conv_id % 20 donor, {_crc("hex(encode(conv_id::varchar))")} % 4 h from (select distinct conv_id from p), tab),
+        b as (select c.conv_id, 0 part, pos, g, w from c join p on p.conv_id = donor where pos < h union all select conv_id, 1, pos, g, w from c join p using (conv_id) where pos >= h),
+        l as (select c.conv_id, list(g order by part, pos) filter (where g is not null) g, list(w order by part, pos) filter (where g is not null) w from c left join b using (conv_id) group by 1),
+        q as (select conv_id, coalesce(len(g), 0) n, unnest(range(coalesce(len(g), 0) + 1)) d, coalesce(g[1:d], []) k, coalesce(w[d], 0) w from l),
+        t as (select d, k, min(conv_id) conv_id, count(*) n_convs, any_value(w) w, string_agg(conv_id::varchar, ',' order by conv_id) filter (where d = n) e from q group by 1, 2),
+        kids as (select d - 1 d, k[1:d-1] k, count(*) n_children from t where d > 0 group by 1, 2),
+        u as (select t.*, coalesce(n_children, 0) n_children from t left join kids using (d, k)),
+        s as (select j d, k[1:j] k, sum((n_children = 0)::int) n_leaves, sum((n_convs - 1) * w) saved_tokens from (select u.*, unnest(range(d + 1)) j from u) group by 1, 2)
+        select u.conv_id, u.d::bigint depth, up.conv_id parent_conv_id, u.n_convs, u.n_children::bigint n_children, n_leaves::bigint n_leaves, saved_tokens::bigint saved_tokens, sha256(coalesce(u.e, '')) ends_sha256
+        from u join s on s.d = u.d and s.k = u.k left join u up on up.d = u.d - 1 and up.k = u.k[1:u.d-1]""",
 }

@@ -31,7 +31,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cur = c.execute(catalog.ORACLES[name])
     cols = [d[0] for d in cur.description]
