@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licences, near_dups, packing, pii, prefix_trie, quality, tokens, toxicity, warc
+from . import decontaminate, html_extract, licences, near_dups, packing, pii, prefix_trie, quality, resampling, tokens, toxicity, warc
 from .common import table
 
 
@@ -80,9 +80,13 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(prefix_trie.EMPTY)).alias("ends_sha256"))
 
 
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts, op11_prefix_trie)
+    for f in (op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts, op11_prefix_trie, op12_resampling)
 }
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -135,4 +139,20 @@ ORACLES = {
         s as (select j d, k[1:j] k, sum((n_children = 0)::int) n_leaves, sum((n_convs - 1) * w) saved_tokens from (select u.*, unnest(range(d + 1)) j from u) group by 1, 2)
         select u.conv_id, u.d::bigint depth, up.conv_id parent_conv_id, u.n_convs, u.n_children::bigint n_children, n_leaves::bigint n_leaves, saved_tokens::bigint saved_tokens, sha256(coalesce(u.e, '')) ends_sha256
         from u join s on s.d = u.d and s.k = u.k left join u up on up.d = u.d - 1 and up.k = u.k[1:u.d-1]""",
+    "op12_resampling": f"""
+        with tab as ({_CRC_TABLE}),
+        d as (select row_number() over () i, doc_id, {_WORDS7} w from documents),
+        b as (select {_WORDS7} w from benchmark),
+        dw as (select i, w, count(*) n from (select i, unnest(w) w from d) group by 1, 2),
+        bw as (select w, count(*) n from (select unnest(w) w from b) group by 1),
+        k as (select w, {_crc("x")} % 10000 k from (select w, hex(encode(w)) x from (select w from dw union select w from bw)), tab),
+        s as (select k, sum(n) s from dw join k using (w) group by 1),
+        t as (select k, sum(n) t from bw join k using (w) group by 1),
+        g as (select k, floor(1000 * ln(((coalesce(t, 0) + 1) * (sa + 10000))::double / ((coalesce(s, 0) + 1) * (ta + 10000))::double))::bigint gain
+              from (select unnest(range(10000)) k) left join s using (k) left join t using (k), (select coalesce(sum(s), 0) sa from s), (select coalesce(sum(t), 0) ta from t)),
+        m as (select i, floor(sum(n * gain)::double / sum(n))::bigint weight from dw join k using (w) join g using (k) group by 1),
+        r as (select i, doc_id, coalesce(len(w), 0)::bigint n_features, coalesce(weight, 0) weight, ('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint h from d left join m using (i)),
+        c as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint score from r),
+        o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) q, count(*) over (partition by n_features >= 20) n from c)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and q <= 10 * n // 100 then q end rank from o""",
 }

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from civicframe.llm import catalog, prefix_trie
+from civicframe.llm import catalog, prefix_trie, resampling
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +88,54 @@ def test_trie_of_few(spark):
 def test_trie_of_a_long_text(spark):
     turns = [(c, 0, "user", "word " * 400_000) for c in (20, 21)]
     assert trie_of(spark.createDataFrame(turns, TURNS), False) == plain_trie(turns, False)
+
+
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_resample(docs, target, percent=10, least=20, most=1, buckets=10_000, seed=2024):
+    def found(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII))
+        return [" ".join(w[i : i + k]) for k in range(1, most + 1) for i in range(len(w) - k + 1)], len(w)
+
+    def tally(texts):
+        out = [0] * buckets
+        for x in texts:
+            for f in found(x)[0]:
+                out[zlib.crc32(f.encode()) % buckets] += 1
+        return out
+
+    s, t = tally(x for _, x in docs), tally(target)
+    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + buckets) / ((a + 1) * (sum(t) + buckets)))) for a, b in zip(s, t)]
+    out = []
+    for i, text in docs:
+        fs, n = found(text)
+        weight = math.floor(sum(gain[zlib.crc32(f.encode()) % buckets] for f in fs) / len(fs)) if fs else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n >= least))
+    able = sorted((r for r in out if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    rank = able[: percent * len(able) // 100]
+    rest = able[len(rank) :] + [r for r in out if not r[4]]
+    return sorted([(*r[:4], k + 1) for k, r in enumerate(rank)] + [(*r[:4], None) for r in rest], key=str)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_resample(spark, most):
+    rng = random.Random(most)
+    words = ["Apple", "b\u00e4r", "the", "\u4e2d\u6587", "x9", "It's", "\U0001f600", "-", "zed", "\u00c4"]
+    docs = [(i, " ".join(rng.choices(words[: 3 + i % 8], k=rng.choice([0, 3, 30, 60])))) for i in range(300)]
+    docs += [(500, docs[9][1])] * 90 + [(None, "the end " * 30), (None, None), (-4, ""), (700, "word " * 300_000)]
+    target = ["apple the x9 " * 5, None, "", "Zed"]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 score", "2 rank", "3 bucket").repartition(5)
+    bench = spark.createDataFrame([(x,) for x in target], "text string")
+    for percent in (10, 100, 0):
+        got = sorted((tuple(r[c] for c in ("doc_id", "n_features", "weight", "score", "rank")) for r in rows(resampling.resample(df, bench, percent, most=most, buckets=500))), key=str)
+        assert got == plain_resample(docs, target, percent, most=most, buckets=500)
+
+
+def test_resample_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert rows(resampling.resample(none, none)) == []
+    few = [(i, "one two three " * 9) for i in range(20)]
+    got = sorted((tuple(r.values()) for r in rows(resampling.resample(spark.createDataFrame(few, "doc_id long, text string"), none))), key=str)
+    assert got == plain_resample(few, [])
