@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licences, near_dups, packing, pii, prefix_trie, quality, resampling, tokens, toxicity, warc
+from . import decontaminate, html_extract, licences, near_dups, packing, pii, prefix_trie, quality, resampling, tokens, toxicity, vector_search, warc
 from .common import table
 
 
@@ -84,9 +84,16 @@ def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.search(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts, op11_prefix_trie, op12_resampling)
+    for f in (
+        op1_main_text, op2_mixture_packing, op3_decision_list, op4_warc, op5_toxicity, op6_licences, op7_winnowing, op8_pseudonyms, op9_near_duplicates, op10_token_counts, op11_prefix_trie, op12_resampling,
+        op13_nearest_vectors,
+    )
 }
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -155,4 +162,10 @@ ORACLES = {
         c as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint score from r),
         o as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) q, count(*) over (partition by n_features >= 20) n from c)
         select doc_id, n_features, weight, score, case when n_features >= 20 and q <= 10 * n // 100 then q end rank from o""",
+    "op13_nearest_vectors": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
 }

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from civicframe.llm import catalog, prefix_trie, resampling
+from civicframe.llm import prefix_trie, resampling, vector_search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,3 +139,51 @@ def test_resample_empty_tables(spark):
     few = [(i, "one two three " * 9) for i in range(20)]
     got = sorted((tuple(r.values()) for r in rows(resampling.resample(spark.createDataFrame(few, "doc_id long, text string"), none))), key=str)
     assert got == plain_resample(few, [])
+
+
+def plain_search(vectors, every=20, k=20):
+    kept = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(64 * x) < 2**63 for x in v)}
+    out = []
+    for q, a in kept:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept if i != q and len(a) == len(b))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<double>"
+
+
+def found(df, **how):
+    return sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in rows(vector_search.search(df, **how)))
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_search(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_search, "BLOCK", block)
+    rng = random.Random(block)
+    vectors = [(i, [rng.gauss(0, 1) * (1 + i % 3) for _ in range(5)]) for i in range(400)]
+    vectors += [(i, [10.0 * (i % 7), 0, 0, 0, rng.random()]) for i in range(400, 520)]  # far clusters, which bounds exclude
+    vectors += [(i, vectors[3][1]) for i in range(520, 620)] + [(i, [0.0] * 5) for i in range(620, 640)]  # copies
+    vectors += [(700, None), (701, [1.0, None, 0, 0, 0]), (702, [math.nan] * 5), (703, [math.inf, 0, 0, 0, 0]), (None, [1.0] * 5), (704, []), (720, []), (740, [1.0, 2.0]), (741, [2.0, -1.0])]
+    vectors += [(760, [3e9, 0, 0, 0, 1.0]), (780, [1e9, -3e8, 0, 0, 0]), (781, [1e300, 0, 0, 0, 0]), vectors[20], vectors[21]]
+    rng.shuffle(vectors)
+    df = spark.createDataFrame([(i, v and [None if x is None else float(x) for x in v]) for i, v in vectors], VECTORS).selectExpr("*", "1 dim", "2 vec", "3 score")
+    want = plain_search(vectors)
+    cap = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    assert found(df) == [(q, r, i, cap(s)) for q, r, i, s in want]
+    assert found(df, every=7, k=3) == [(q, r, i, cap(s)) for q, r, i, s in plain_search(vectors, 7, 3)]
+
+
+def test_search_of_few(spark):
+    assert found(spark.createDataFrame([], VECTORS)) == []
+    assert found(spark.createDataFrame([(0, [1.0])], VECTORS)) == []
+    two = [(0, [1.0, 0.5]), (1, [0.1, 0.1]), (2, [-1.0, 0.0])]
+    assert found(spark.createDataFrame(two, VECTORS)) == plain_search(two)
+
+
+def test_bounds_exclude_far_annuli():
+    import numpy as np
+
+    reach = vector_search._reach(np.array([100.0]), np.array([[10.0, 10.0]]), np.array([9.0, 500.0]), np.array([11.0, 600.0]), np.array([100.0, 100.0]))
+    assert reach[0, 0] >= 100 and reach[0, 1] < -1e5
