@@ -66,41 +66,38 @@ def repaired_json(x: str | Column) -> Column:
     return run(x)
 
 
-VERSION = "jawafdehi:version"
-
-
-def rewritten(value: object, mapping: dict[str, str], top: bool = True) -> tuple[object, int]:
+def rewritten(value: object, mapping: dict[str, str], keep: tuple[str, ...] = ("version",), top: bool = True) -> tuple[object, int]:
     """``@id`` values replaced at any depth, and how many; a list in which one was replaced drops what became equal.
 
-    The document's own ``@id`` and its version block stay: one is identity, the other history.
+    The document's own ``@id`` and its blocks named in ``keep`` stay: one is identity, the others history.
     """
     if isinstance(value, dict):
         out, n = {}, 0
         for k, v in value.items():
-            if top and k in ("@id", VERSION):
+            if top and k in ("@id", *keep):
                 out[k] = v
             elif k == "@id" and isinstance(v, str):
                 out[k] = mapping.get(v, v)
                 n += v in mapping
             else:
-                out[k], m = rewritten(v, mapping, False)
+                out[k], m = rewritten(v, mapping, keep, False)
                 n += m
         return out, n
     if isinstance(value, list):
-        made = [rewritten(v, mapping, False) for v in value]
+        made = [rewritten(v, mapping, keep, False) for v in value]
         n = sum(m for _, m in made)
         return (list({json.dumps(v, sort_keys=True): v for v, _ in made}.values()) if n else [v for v, _ in made]), n
     return value, 0
 
 
-def rewritten_json(x: str | Column, mapping: dict[str, str]) -> Column:
+def rewritten_json(x: str | Column, mapping: dict[str, str], keep: tuple[str, ...] = ("version",)) -> Column:
     """For a mapping of bounded size; rows that aren't JSON stay."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:
-                return None if t is None else json.dumps(rewritten(json.loads(t), mapping)[0], ensure_ascii=False)
+                return None if t is None else json.dumps(rewritten(json.loads(t), mapping, keep)[0], ensure_ascii=False)
             except ValueError:
                 return t
 

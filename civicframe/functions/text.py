@@ -94,11 +94,15 @@ def no_verdict(x: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(c(x), F.lit("")), "[* -]", "") == ""
 
 
+#: The word for "and others" behind a defendant, and how a judge is addressed.
+OTHERS, JUDGE = "समेत", (r"मा\.", "माननीय")
+
+
 def stated_defendants(x: str | Column) -> Column:
     """struct(total, bare): the stated total, or whether the cell ends in the bare word for "and others"."""
     s = ascii_digits(x)
-    total = F.regexp_extract(s, r"समेत\s*([0-9]+)", 1).try_cast("int")
-    bare = F.regexp_replace(s, r"[ \t\r\n।॥.,;:-]+$", "").endswith("समेत")
+    total = F.regexp_extract(s, rf"{OTHERS}\s*([0-9]+)", 1).try_cast("int")
+    bare = F.regexp_replace(s, r"[ \t\r\n।॥.,;:-]+$", "").endswith(OTHERS)
     return F.struct(total.alias("total"), (total.isNull() & F.coalesce(bare, F.lit(False))).alias("bare"))
 
 
@@ -109,7 +113,7 @@ def spaced_parentheses(x: str | Column) -> Column:
 
 def split_judges(x: str | Column) -> Column:
     """Puts the separator back before an honorific that is glued to a name; blank becomes null."""
-    return F.nullif(F.regexp_replace(unquoted(x), r"(\S)(मा\.|माननीय)", "$1, $2"), F.lit(""))
+    return F.nullif(F.regexp_replace(unquoted(x), rf"(\S)({'|'.join(JUDGE)})", "$1, $2"), F.lit(""))
 
 
 def sound_fold(x: str | Column) -> Column:

@@ -59,7 +59,7 @@ def test_windows(spark):
 def test_json(spark):
     assert arrow.repaired('```json\n{"a": [1, {"b": "c"}, 2') == '{"a": [1, {"b": "c"}]}' and arrow.repaired("no") is None
     assert arrow.rewritten({"x": [{"@id": "a"}, {"@id": "b"}], "y": ["q", "q"]}, {"a": "b"}) == ({"x": [{"@id": "b"}], "y": ["q", "q"]}, 1)
-    whole = {"@id": "a", arrow.VERSION: {"author": {"@id": "a"}}, "of": {"@id": "a", "in": {"@id": "a"}}, "z": [1, 1, {"@id": "a"}]}
+    whole = {"@id": "a", "version": {"author": {"@id": "a"}}, "of": {"@id": "a", "in": {"@id": "a"}}, "z": [1, 1, {"@id": "a"}]}
     assert arrow.rewritten(whole, {"a": "b"}) == ({**whole, "of": {"@id": "b", "in": {"@id": "b"}}, "z": [1, {"@id": "b"}]}, 3)
     assert arrow.repaired('{"a": 1' + ', "b' * 500) == '{"a": 1}'
     fine = json.dumps([{"op": "add", "path": "/a", "value": 1}, {"op": "test", "path": "/slug", "value": 1}])
