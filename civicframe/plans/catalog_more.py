@@ -548,10 +548,44 @@ def _(e):
     return ev.retained(env, F.col("now"), {"click": 7}, 365).groupBy("event_type").agg(n())
 
 
-@query("STM10_job_fold", "events")
+#: What the event types stand for.
+_JOB_EVENT = {"signup": "enqueue", "click": "claim", "view": "heartbeat", "purchase": "done", "error": "retry"}
+
+
+@query(
+    "STM10_job_fold",
+    "events",
+    sql=f"""
+    with recursive e as (
+      select user_id::varchar job, epoch_us(ts) t, event_type k, row_number() over (partition by user_id order by ts, event_id) i from events where user_id is not null and ts is not null),
+    f as (
+      select job, 0::bigint i, '' status, 0 attempts, 0::bigint due, 0::bigint lease, 0 jobs, 0 duplicates, 0 stale from (select distinct job from e)
+      union all
+      select job, i, case when act = 'new' then 'queued' when act = 'run' then 'running' when act = 'end' then 'done' when act = 'back' then 'queued' when act = 'die' then 'dead' else s end,
+        case when act = 'new' then 0 when act = 'run' then a + 1 else a end,
+        case when act = 'new' then t when act = 'back' then t + delay else d end,
+        case when act in ('run', 'beat') then t + 3600000000 * 24 when act in ('end', 'back', 'die') then 0 else l end,
+        jobs + (act = 'new')::int, duplicates + (act = 'dup')::int, stale + (act = 'stale')::int
+      from (select *, case
+          when k = 'signup' and s in ('queued', 'running') then 'dup' when k = 'signup' then 'new'
+          when k = 'click' then case when s = 'queued' and d <= t then 'run' else '' end
+          when k in ('view', 'purchase', 'error') and s <> 'running' then 'stale'
+          when k = 'view' then 'beat' when k = 'purchase' then 'end'
+          when k = 'error' then case when a < 3 then 'back' else 'die' end else '' end act
+        from (select f.job, e.i, e.k, e.t, f.attempts a, jobs, duplicates, stale,
+            case when f.attempts = 1 then 60 when f.attempts = 2 then 300 when f.attempts = 3 then 900 else 1800 end * 1000000::bigint delay,
+            case when status = 'running' and lease < t then case when f.attempts < 3 then 'queued' else 'dead' end else status end s,
+            case when status = 'running' and lease < t then lease + delay else due end d,
+            case when status = 'running' and lease < t then 0 else lease end l
+          from f join e on e.job = f.job and e.i = f.i + 1)))
+    select job, arg_max(status, i) status, arg_max(attempts, i) attempts, arg_max(jobs, i) jobs, arg_max(duplicates, i) duplicates, arg_max(stale, i) stale from f group by 1""",
+)
 def _(e):
-    kind = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "claim"), ("purchase", "done"), ("error", "fail"), ("click", "claim")) for x in p)), F.col("event_type"))
-    return ev.job_states(e.select(F.col("user_id").cast("string").alias("job"), F.col("event_id").alias("seq"), F.coalesce(kind, F.lit("noop")).alias("event")))
+    from civicframe.streaming.jobs import job_states
+
+    kind = F.element_at(F.create_map(*(F.lit(x) for p in _JOB_EVENT.items() for x in p)), F.col("event_type"))
+    rows = e.select(F.col("user_id").cast("string").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.coalesce(kind, F.lit("other")).alias("event"))
+    return job_states(rows, lease=86_400).select("job", "status", "attempts", "jobs", "duplicates", "stale")
 
 
 @query("STM11_staging", "lineitem", "orders", sql="select l_orderkey, l_linenumber from lineitem where l_discount >= 0.08 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")

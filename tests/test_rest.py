@@ -148,22 +148,6 @@ def test_streams(spark, tmp_path):
     assert spark.table("dedup").count() == 5
 
 
-def test_job_fold_and_stream_agree(spark, tmp_path):
-    rows = [("a", 1, "claim"), ("a", 2, "fail"), ("a", 3, "claim"), ("a", 3, "claim"), ("a", 4, "done"), ("b", 1, "claim"), ("c", 1, "done")]
-    frame = spark.createDataFrame(rows, "job string, seq long, event string")
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    want = {r.job: (r.status, r.attempts) for r in ev.job_states(frame).collect()}
-    assert want == {"a": ("done", 2), "b": ("running", 1), "c": ("queued", 0)}
-    q = ev.job_states(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("jobs").start()
-    try:
-        end = time.time() + 60
-        while spark.table("jobs").count() < len(want) and time.time() < end:  # a query with running leases never rests
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert {r.job: (r.status, r.attempts) for r in spark.table("jobs").collect()} == want
-
-
 def naive_pairs(scores, margin, least):
     """Each pair, best first, against what is still open."""
     out, order = {}, sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
