@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from civicframe.functions import domain as dom
 from civicframe.functions import text as tx
 from civicframe.functions import web
-from civicframe.operators import graph, resolve, search, upsert
+from civicframe.operators import graph, references, resolve, search, upsert
 from civicframe.plans import gate
 from civicframe.sources.readers import table
 from civicframe.streaming import events as ev
@@ -282,11 +282,25 @@ def _(c, o):
     return o.select(key).join(c, "c_name").groupBy("c_name").agg(n())
 
 
-@query("J12_embedded_references", "part", sql="select w ref, count(distinct p_partkey) n from (select p_partkey, unnest(string_split(p_name, ' ')) w from part) where w in (select split_part(p_name, ' ', 1) from part where p_partkey <= 5) group by 1")
-def _(p):
-    edges = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("ref"))
-    retired = p.where("p_partkey <= 5").select(F.split("p_name", " ")[0].alias("ref")).distinct()
-    return edges.join(retired, "ref", "left_semi").groupBy("ref").agg(F.countDistinct("p_partkey").alias("n"))
+@query(
+    "J12_embedded_references",
+    "orders",
+    "customer",
+    sql="""
+    with poor as (select c_custkey from customer where c_acctbal < 0),
+    refs as (select o_orderkey, 'customer/' || o_custkey iri from orders where o_custkey in (select * from poor)
+      union select o_orderkey, 'priority/' || o_orderpriority from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')
+    select iri, count(*) n from refs group by 1""",
+)
+def _(o, c):
+    node = lambda kind, of: F.struct(F.concat(F.lit(f"{kind}/"), F.col(of).cast("string")).alias("@id"))
+    steps = F.array(F.struct(F.lit("filed").alias("stage"), F.array(node("customer", "o_custkey")).alias("by")), F.struct(F.lit("heard").alias("stage"), F.array(node("priority", "o_orderpriority")).alias("by")))
+    decided = F.when(F.col("o_orderstatus") == "F", F.slice(steps, 1, 2)).otherwise(F.slice(steps, 1, 1))
+    own = F.concat(F.lit("order/"), F.col("o_orderkey").cast("string"))
+    body = F.to_json(F.struct(own.alias("@id"), F.struct(decided.alias("steps")).alias("history")))
+    poor = c.where("c_acctbal < 0").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("iri"))
+    urgent = o.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("priority/"), F.col("o_orderpriority")).alias("iri")).distinct()
+    return references.referring(o.select("o_orderkey", body.alias("body")), "o_orderkey", "body", poor.unionByName(urgent)).groupBy("iri").agg(n())
 
 
 @query("J13_visibility_recompute", "customer", "orders", sql="select c_custkey, case max(case o_orderstatus when 'F' then 2 when 'P' then 1 else 0 end) when 2 then 'LISTED' when 1 then 'UNLISTED' else 'PRIVATE' end visibility from customer left join orders on o_custkey = c_custkey group by 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civicframe.functions import domain as dom
 from civicframe.functions import text as tx
 from civicframe.functions import web
-from civicframe.operators import graph, resolve, search, upsert
+from civicframe.operators import graph, references, resolve, search, upsert
 from civicframe.streaming import events as ev
 
 from .catalog import money, n, query
@@ -362,9 +362,11 @@ def _(li):
     return li.select("l_orderkey", "l_linenumber", dom.finite(F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity"))).alias("q"))
 
 
-@query("AR2_distinct_words", "part", sql="select distinct unnest(string_split(p_name, ' ')) w from part order by 1")
+@query("AR2_distinct_words", "part", sql="select distinct unnest(string_split(p_name, ' ')) w from part where p_partkey % 3 = 0 order by 1")
 def _(p):
-    return p.select(F.explode(F.from_json(F.to_json(F.split("p_name", " ")), "array<string>")).alias("w")).distinct().orderBy("w")
+    words = F.to_json(F.split("p_name", " "))
+    body = F.when(F.col("p_partkey") % 3 == 0, words).when(F.col("p_partkey") % 3 == 1, F.to_json(F.struct(F.col("p_brand").alias("brand")))).otherwise(F.col("p_type"))  # arrays, objects, and what isn't JSON
+    return references.distinct_elements(p.select(body.alias("body")), "body", "w").orderBy("w")
 
 
 @query("AR4_pairs_of_small_frames", "region", "nation", sql="select r_name || '/' || n_nationkey iri from region cross join nation where n_nationkey < 5")
@@ -618,11 +620,16 @@ def _(d):
     return d.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("survivor"), n("copies")).where("copies > 1")
 
 
-@query("SRC1_ordered_scan", "lineitem", sql="select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) ordinal from lineitem")
+@query(
+    "SRC1_ordered_scan",
+    "lineitem",
+    sql="""select l_orderkey, l_linenumber, l_partkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey) place,
+    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) ordinal from lineitem""",
+)
 def _(li):
-    from civicframe.sources.readers import ordinals
+    from civicframe.sources.readers import in_order
 
-    return ordinals(li.select("l_orderkey", "l_linenumber"), "l_orderkey", ["l_linenumber"]).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return in_order(li.select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber", "l_partkey"])
 
 
 @query("SRC5_children", "orders", "lineitem", sql="select o_orderkey, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) parts from orders join lineitem on l_orderkey = o_orderkey group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civicframe.operators.numbering import numbered
 from civicframe.session import ship
 
 
@@ -29,6 +30,15 @@ def ordinals(df: DataFrame, document: str, order: list[str], name: str = "ordina
     return df.withColumn(name, F.row_number().over(Window.partitionBy(document).orderBy(*order)))
 
 
+def in_order(df: DataFrame, document: str, order: list[str]) -> DataFrame:
+    """``df`` with ``place``, from 1 in the order of all its shards by document and ``order``, and ``ordinal``, from 1 within the document.
+
+    The place becomes public, so it must not depend on how the shards are cut: rows are put in order over the cluster, counted where they lie, and carry on from the
+    counts of the ranges before. No task gets all rows, or all of a document.
+    """
+    return numbered(numbered(df, [document, *order], name="place"), ["place"], document, "ordinal")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Newline JSON with a declared schema; lines that don't parse are left out."""
     raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)

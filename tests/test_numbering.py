@@ -42,3 +42,16 @@ def test_numbered_odd_tables(spark):
         numbered(empty.withColumn("_row", F.lit(1)), ["k"])
     again = numbered(spark.createDataFrame([(5, 9)], "k int, ordinal int"), ["k"])
     assert [tuple(r) for r in again.collect()] == [(5, 1)]
+
+
+def test_shards_in_one_order(spark, tmp_path):
+    from civicframe.sources.readers import in_order, shards
+
+    rows = [(f"d{i % 3}", i, i * 7 % 50) for i in range(300)]
+    spark.createDataFrame(rows, "doc string, k int, page int").repartition(5).write.parquet(f"{tmp_path}/tables/body")
+    spark.createDataFrame(rows, "doc string, k int, page int").repartition(2).write.parquet(f"{tmp_path}/other/body.parquet")
+    want = {k: (i + 1) for i, (_, _, k) in enumerate(sorted((d, p, k) for d, k, p in rows))}
+    for folder in ("tables", "other"):
+        got = in_order(shards(spark, f"{tmp_path}/{folder}", "body"), "doc", ["page", "k"]).collect()
+        assert {r.k: r.place for r in got} == want
+        assert {r.k: r.ordinal for r in got} == {k: p - 100 * int(d[1]) for d, k, _ in rows for p in [want[k]]}
