@@ -60,7 +60,8 @@ def phrase_boost(titles: Sequence[str], tokens: Sequence[str]) -> Column:
         return F.lit(0.0)
     phrase, met = f" {' '.join(tokens)} ", F.lit(False)
     for t in titles:
-        met = met | F.contains(F.concat(F.lit(" "), F.lower(F.coalesce(t, F.lit(""))), F.lit(" ")), F.lit(phrase))
+        title = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"\s+", " ")
+        met = met | F.contains(F.concat(F.lit(" "), title, F.lit(" ")), F.lit(phrase))
     return F.when(met, PHRASE).otherwise(0.0)
 
 

@@ -45,9 +45,13 @@ def _(o):
     return o.select("o_orderkey", made.alias("s")).select("o_orderkey", "s.*")
 
 
-@query("STR10_sensitive", "part", sql="select p_partkey, contains(replace(lower(p_name), ' ', ''), 'azurebl') or contains(lower(p_type), 'tin') sensitive from part")
+@query(
+    "STR10_sensitive",
+    "part",
+    sql="""select p_partkey, contains(replace(lower(p_name), ' ', ''), 'redpl') or contains(lower(p_type), 'promo') sensitive from part""",
+)
 def _(p):
-    return p.select("p_partkey", dockets.names_any(F.concat_ws("|", "p_name", "p_type"), ["azure bl", "TIN"]).alias("sensitive"))
+    return p.select("p_partkey", dockets.names_any(F.concat_ws("|", "p_name", "p_type"), ["red pl", "PROMO"]).alias("sensitive"))
 
 
 @query("STR5_stated_defendants", "part", sql="select p_partkey, case when p_partkey % 3 = 0 then p_size end total, p_partkey % 3 = 1 bare from part")
@@ -192,10 +196,17 @@ def _(na):
     return tags.with_broader(na.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") > 0, F.expr("cast(n_nationkey div 3 as bigint)")).alias("broader")))
 
 
-@query("STR25_keyword_tags", "part", sql="""select p_partkey, array_to_string(list_concat(list_filter([case when contains(p_name, 'azure') then 'blue' end, case when contains(p_name, 'navy') then 'blue2' end], lambda x: x is not null)[:1], list_filter([case when contains(p_type, 'TIN') then 'tin' end], lambda x: x is not null)), ',') tags from part""")
+@query(
+    "STR25_keyword_tags",
+    "part",
+    sql="""
+    select p_partkey, array_to_string(list_concat(
+      list_filter([case when contains(p_name, 'blue') then 'blue' end, case when contains(p_name, 'bolt') then 'metal' end], lambda x: x is not null)[:1],
+      list_filter([case when contains(p_type, 'PROMO') then 'offer' end], lambda x: x is not null)), ',') tags from part""",
+)
 def _(p):
-    rules = [("blue", "colour", ["AZURE"]), ("tin", "metal", ["tin"]), ("blue2", "colour", ["navy"])]
-    name = F.concat_ws("|", "p_name", F.when(F.contains("p_type", F.lit("TIN")), "tin"))
+    rules = [("blue", "name", ["BLUE"]), ("offer", "type", ["tin"]), ("metal", "name", ["bolt"])]
+    name = F.concat_ws("|", "p_name", F.when(F.contains("p_type", F.lit("PROMO")), "tin"))
     return p.select("p_partkey", F.array_join(tags.keyword_tags(name, rules, 1), ",").alias("tags"))
 
 
@@ -209,15 +220,25 @@ def _docs(p):
     return p.select("p_partkey", F.expr(_KIND).alias("type"), F.col("p_name").alias("title_en"), F.col("p_brand").alias("title_ne"), F.col("p_type").alias("keywords"), F.concat_ws(" ", "p_name", "p_type").alias("body"))
 
 
-@query("SRCH2_language", "part", sql=f"""select p_partkey, round((6.0 * contains(' ' || p_name || ' ', ' green ')::int + contains(' ' || p_name || ' ', ' green ')::int) * {_FACTOR}, 6)::double score from part where contains(' ' || p_name || ' ', ' green ')""")
+@query(
+    "SRCH2_language",
+    "part",
+    sql=f"""select p_partkey, round(7.0 * {_FACTOR}, 6)::double score from part where list_contains(string_split(p_name, ' '), 'red')""",
+)
 def _(p):
-    return search.search(_docs(p), "Green", "en").select("p_partkey", F.round("score", 6).alias("score"))
+    return search.search(_docs(p), "Red", "en").select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query("SRCH3_phrase", "part", sql=f"""with s as (select *, contains(' ' || p_name || ' ', ' tin ')::int + 0 a, contains(' ' || lower(p_type) || ' ', ' tin ')::int t, contains(' ' || p_name || ' ', ' small ')::int b, contains(' ' || lower(p_type) || ' ', ' small ')::int u, contains(' ' || p_name || ' ', ' small tin ')::int ph from part)
-    select p_partkey, round((3.0 * (a + b) + 2.0 * (t + u) + greatest(a, t) + greatest(b, u) + 5.0 * ph) * {_FACTOR}, 6)::double score from s where a + b + t + u > 0""")
+@query(
+    "SRCH3_phrase",
+    "part",
+    sql=f"""
+    with s as (select *, string_split(p_name, ' ') w, lower(p_type) k from part),
+    t as (select *, list_contains(w, 'red')::int a, list_contains(w, 'plate')::int b, (k = 'red')::int u, (k = 'plate')::int v, contains(' ' || p_name || ' ', ' red plate ')::int ph from s)
+    select p_partkey, round((3.0 * (a + b) + 2.0 * (u + v) + greatest(a, u) + greatest(b, v) + 5.0 * ph) * {_FACTOR}, 6)::double score from t where a + b + u + v > 0""",
+)
 def _(p):
-    return search.search(_docs(p), "small tin").select("p_partkey", F.round("score", 6).alias("score"))
+    return search.search(_docs(p), "red plate").select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("SRCH4_type_boost", "part", sql=f"select type, round(max(score), 6) score from (select {_KIND} as type, {_FACTOR}::double score from part) group by 1")
@@ -230,28 +251,33 @@ def _(p):
     return search.search(_docs(p), "  ").agg(n())
 
 
-@query("SRCH9_highlight", "part", sql="select p_partkey, regexp_replace(p_name, '(?i)(green|tin)', '<em>\\1</em>', 'g') snippet from part")
+@query("SRCH9_highlight", "part", sql="select p_partkey, regexp_replace(p_name, '(?i)(red|plate)', '<em>\\1</em>', 'g') snippet from part")
 def _(p):
-    return p.select("p_partkey", search.highlighted("p_name", ["green", "tin"]).alias("snippet"))
+    return p.select("p_partkey", search.highlighted("p_name", ["red", "plate"]).alias("snippet"))
 
 
-@query("SRCH10_envelope", "part", sql="select p_partkey iri, p_name title, case when contains(' ' || p_name || ' ', ' green ') then 'title_en,body' end matched from part where contains(' ' || p_name || ' ', ' green ')")
+@query("SRCH10_envelope", "part", sql="select p_partkey iri, p_name title, 'title_en,body' matched from part where list_contains(string_split(p_name, ' '), 'red')")
 def _(p):
     docs = _docs(p).withColumnRenamed("p_partkey", "iri")
-    out = search.envelope(search.search(docs, "green", "en"), ["green"], "en")
+    out = search.envelope(search.search(docs, "red", "en"), ["red"], "en")
     return out.select("iri", "hit.title", F.array_join("hit.matched", ",").alias("matched"))
 
 
-@query("SRCH13_fallback", "part", sql="""select p_partkey, (case when contains(' ' || p_name || ' ', ' green ') then 10.0 when contains(p_name, 'green') then 3.0 else 0.0 end + case when contains(' ' || lower(p_type) || ' ', ' gren ') then 5.0 when contains(lower(p_type), 'gren') then 2.0 else 0.0 end
-    + case when contains(lower(p_brand), 'green') then 1.0 else 0.0 end)::double score from part""")
+@query(
+    "SRCH13_fallback",
+    "part",
+    sql="""
+    select p_partkey, (case when list_contains(string_split(p_name, ' '), 'old') then 10.0 when contains(p_name, 'old') then 3.0 else 0.0 end + case when p_type = 'OLD' then 5.0 when contains(lower(p_type), 'old') then 2.0 else 0.0 end
+      + case when contains(p_name, 'old') then 1.0 else 0.0 end)::double score from part""",
+)
 def _(p):
-    return p.select("p_partkey", search.fallback_relevance(F.array("p_name"), F.array("p_type"), F.array("p_brand"), "Green").alias("score"))
+    return p.select("p_partkey", search.fallback_relevance(F.array("p_name"), F.array("p_type"), F.array("p_name"), "Old").alias("score"))
 
 
-@query("SRCH14_analyzed", "part", sql="select p_partkey, array_to_string(list_filter(string_split(p_name || ' 12 elan', ' '), lambda t: t <> 'green'), ',') tokens from part")
+@query("SRCH14_analyzed", "part", sql="select p_partkey, array_to_string(list_filter(string_split(p_name || ' 12 elan', ' '), lambda t: t <> 'red'), ',') tokens from part")
 def _(p):
     text = F.concat("p_name", F.lit("‍, १2 Élan!"))
-    return p.select("p_partkey", F.array_join(search.analyzed(text, ["green"]), ",").alias("tokens"))
+    return p.select("p_partkey", F.array_join(search.analyzed(text, ["red"]), ",").alias("tokens"))
 
 
 # -- paging, writes, resolution ---------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civicframe.functions import domain as dom
 from civicframe.functions import text as tx
 from civicframe.functions import web
-from civicframe.operators import graph, references, resolve, search, upsert
+from civicframe.operators import graph, postings, references, resolve, search, upsert
 from civicframe.streaming import events as ev
 
 from .catalog import money, n, query
@@ -421,11 +421,43 @@ def _(p):
     return p.select("p_partkey", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "p_partkey")
 
 
-@query("SRCH1_bm25", "documents")
+#: BM25 over two fields, as the index and the scan have it.
+_BM25 = r"""
+    with f as (select doc_id, 'text' field, 1.0::double w, regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+') words from documents
+      union all select doc_id, 'source', 2.0, regexp_split_to_array(lower(coalesce(source, '')), '[ \t\n\x0B\f\r]+') from documents),
+    s as (select field, count(*) n, avg(len(words)) mean from f group by 1),
+    h as (select doc_id, field, w, len(words) len, t term, len(list_filter(words, lambda x: x = t)) tf from f, (select unnest({tokens}) t) where list_contains(words, t)),
+    d as (select field, term, count(*) df from h group by 1, 2),
+    r as (select doc_id, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) score from h join d using (field, term) join s using (field) group by 1)"""
+
+
+@query("SRCH1_bm25", "documents", sql=_BM25.format(tokens="['and', 'of', 'src1']") + " select doc_id, score from r")
 def _(d):
     return search.bm25(d, "doc_id", {"text": 1.0, "source": 2.0}, ["and", "of", "src1"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("SRCH1_indexed", "documents", sql=_BM25.format(tokens="['and', 'src1', 'la']") + " select doc_id, score from r order by score desc, doc_id limit 50")
+def _(d):
+    from civicframe.storage import shared_path
+
+    index = postings.build(d, "doc_id", ["text", "source"], shared_path(d.sparkSession, "index"))
+    return postings.best(index, {"text": 1.0, "source": 2.0}, ["and", "src1", "la"], 50).select(F.col("key").alias("doc_id"), "score")
+
+
+@query(
+    "SRCH3_indexed_phrase",
+    "part",
+    sql="""
+    with t as (select p_partkey, len(list_filter(range(1, len(w)), lambda i: w[i] = 'medium' and w[i + 1] = 'red')) n from (select p_partkey, string_split(lower(p_type || ' ' || p_name), ' ') w from part))
+    select p_partkey, n::int n from t where n > 0""",
+)
+def _(p):
+    from civicframe.storage import shared_path
+
+    index = postings.build(p.select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("body")), "p_partkey", ["body"], shared_path(p.sparkSession, "index"))
+    return postings.phrases(index, "body", ["medium", "red"]).select(F.col("key").alias("p_partkey"), "n")
+
+
 @query("SRCH5_eligible", "part", sql="select p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda t: regexp_matches(t, '^[a-zA-Z]{4,}$') and lower(t) <> 'azure')[:12], ',') tokens from part")
 def _(p):
     return p.select("p_partkey", F.array_join(search.eligible(F.split("p_name", " "), denied=["azure"]), ",").alias("tokens"))
