@@ -3,7 +3,7 @@
 ``html.parser`` events become *lines* (runs of text between block boundaries), each with its text length and the number of
 tags seen with it. The text-to-tag ratios are smoothed by a Gaussian kernel and split at a threshold; the lines above it are the clusters that
 mark where the content is. They decide thrice. An element that looks like boilerplate by its tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) is left out unless most of the clustered text is in it. The lowest element that holds the clustered text that is left (but for links in passing), or all text in main or in articles
+forms) is left out unless it wraps the page: most of the clustered text is in it; sidebars, footers, adverts, notices of cookies and comments always are left out. The lowest element that holds the clustered text that is left (but for links in passing), or all text in main or in articles
 if most is there, and the h1, is the content region. In it every line is kept, short ones too, but for runs of lines below the threshold that are nothing but links.
 """
 
@@ -39,9 +39,14 @@ DROP_HINT = frozenset(
 )
 #: Hints that also have other meanings: in a name they only ask for a look at the text.
 VAGUE = frozenset(
-    "banner billboard comment discussion disclaimer masthead menu navigation notice notices notification promotion related reply replies respond "
+    "banner billboard discussion disclaimer masthead menu navigation notice notices notification promotion related respond "
     "response responses share sharing social sponsor sponsored subscribe subscription teaser toolbar".split()
 )
+#: What is never content, however much of the text it holds: by tag, by role, and by a name that says nothing else; the last are also other people's articles.
+NEVER_CONTENT = frozenset("aside dialog footer".split())
+NEVER_ROLE = frozenset("alert alertdialog complementary contentinfo dialog".split())
+NEVER_HINT = frozenset("ad ads adsense advert advertisement advertising advertorial comment comments consent cookie cookies disqus footer gdpr newsletter outbrain pagination paywall replies reply taboola".split())
+READERS = frozenset("comment comments replies reply".split())
 #: Words that leave a hint what it is, as in ad-slot, and words before a hint that say it of the page, as in with-sidebar.
 LAYOUT = frozenset("area bar block bottom box button buttons container content group inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
 ABOUT = frozenset("has hide is no not show with without".split())
@@ -60,13 +65,19 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _hint(name: str, inside: bool) -> bool | None:
-    """Of a class or an id: None if it holds no hint of boilerplate, True if it says nothing else."""
+#: What stands against an element: a name that may mean boilerplate, what mostly is, what never is content, and what readers wrote.
+MAYBE, MOSTLY, NO, READER = range(4)
+
+
+def _hint(name: str, inside: bool) -> int | None:
+    """Of a class or an id: what it says against its element, or None."""
     words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
     hints = [w for w in words if w in DROP_HINT or w == "header" and not inside]
     if not hints or words[0] in ABOUT:
         return None
-    return any(w not in VAGUE for w in hints) and all(w in hints or w in LAYOUT or w.isdigit() for w in words)
+    if any(w not in VAGUE for w in hints) and all(w in hints or w in LAYOUT or w.isdigit() for w in words):
+        return READER if READERS & set(hints) else NO if NEVER_HINT & set(hints) else MOSTLY
+    return MAYBE
 
 
 class _Lines(HTMLParser):
@@ -76,8 +87,8 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.tags, self.parents = [""], [0]
-        #: Of each element: None (nothing against it), True (boilerplate by tag, role or a plain name) or False (a name that may mean it).
-        self.against: list[bool | None] = [None]
+        #: Of each element what stands against it.
+        self.against: list[int | None] = [None]
         self.inside = [False]  # within main or an article
         self.stack = [0]
         self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
@@ -92,20 +103,20 @@ class _Lines(HTMLParser):
             self.n_tags = 0
         self.parts, self.linked = [], 0
 
-    def standing(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+    def standing(self, tag: str, attrs: list[tuple[str, str | None]]) -> int | None:
         inside = bool(self.content)
-        if tag in SELDOM or tag == "header" and not inside:
-            return True
-        hints = []
+        if tag in NEVER_CONTENT:
+            return NO
+        found = [MOSTLY] if tag in SELDOM or tag == "header" and not inside else []
         for k, v in attrs:
             if k in ("class", "id"):
-                hints += [_hint(name, inside) for name in (v or "").lower().split()]
+                found += [x for name in (v or "").lower().split() if (x := _hint(name, inside)) is not None]
             elif k == "role" and (v or "").lower() in DROP_ROLE:
-                return True
-        hints = [x for x in hints if x is not None]
-        if not hints or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+                found.append(NO if (v or "").lower() in NEVER_ROLE else MOSTLY)
+        worst = max(found, default=None)
+        if tag in HEADINGS or tag in ("html", "body", "main") or tag == "article" and worst != READER:
             return None
-        return any(hints)
+        return worst
 
     def pop(self, place: int) -> None:
         while len(self.stack) > place:
@@ -133,7 +144,7 @@ class _Lines(HTMLParser):
         self.open[tag].append(len(self.stack))
         if (tag in NEVER or hidden) and not self.never:
             self.never = len(self.stack)
-        if tag in CONTENT:
+        if tag in CONTENT and self.against[-1] is None:
             self.content.append(len(self.stack))
         self.inside.append(bool(self.content))
         self.stack.append(len(self.tags) - 1)
@@ -199,22 +210,37 @@ def _sums(parents: list[int], lines: Iterable[tuple[int, tuple[float, ...]]], wi
 def _dropped(p: _Lines, smooth: list[float], threshold: float) -> list[bool]:
     """Of each element whether its text is left out, with that of all it holds.
 
-    What looks like boilerplate goes unless most of the clustered text is in it, and that isn't mostly links; beside main or articles with text of their own it goes however much
-    it holds. A name that only may mean it counts if the text has no standing: its smoothed ratio is low (inside an article that doesn't matter), it is mostly links or of a few words.
+    Asides, footers, dialogs, adverts, notices of cookies and what readers wrote always go. Forms, menus, headers, sidebars by name and other boilerplate go, too, unless one wraps the page: most of the clustered text is in
+    it, that isn't mostly links, and it has the h1, main or an article in it, or else no text but links is clustered outside of it and its like. A name that only may mean boilerplate counts if the text has no
+    standing: its smoothed ratio is low (inside an article that doesn't matter), it is mostly links or of a few words.
     """
-    rows = ((e, (len(t), len(t) * (r >= threshold), linked, len(t.split()), p.inside[e])) for (t, _, e, never, linked), r in zip(p.lines, smooth, strict=True) if not never)
-    sums = _sums(p.parents, rows, 5)
-    total = sums[0][1]
-    out = [False] * len(p.tags)
-    for n in range(1, len(p.tags)):
-        out[n] = out[p.parents[n]]
+    count = len(p.tags)
+    never, listed = [False] * count, [False] * count
+    for n in range(1, count):
+        up, against = p.parents[n], p.against[n]
+        never[n] = never[up] or against in (NO, READER)
+        listed[n] = listed[up] or against is not None
+    rows = []
+    for (text, _, e, hidden, linked), r in zip(p.lines, smooth, strict=True):
+        if not hidden and not never[e]:
+            clustered = len(text) * (r >= threshold)
+            rows.append((e, (len(text), clustered, linked, len(text.split()), p.inside[e], 0.0, clustered * (not listed[e] and 2 * linked < len(text)))))
+    own = [(n, (0, 0, 0, 0, 0, 1, 0)) for n in range(1, count) if not never[n] and (p.tags[n] == "h1" or p.tags[n] in CONTENT and p.against[n] is None)]
+    sums = _sums(p.parents, [*rows, *own], 7)
+    total, rival = sums[0][1], sums[0][6]
+    out = [False] * count
+    for n in range(1, count):
+        out[n] = out[p.parents[n]] or never[n]
         if out[n] or p.against[n] is None:
             continue
-        size, clustered, linked, words, content = sums[n]
+        size, clustered, linked, words, content, marks, _ = sums[n]
         low = 2 * clustered < size and not p.inside[n] or 2 * linked > size or words < FEW
         aside = sums[0][4] > 0 and content == 0
         most = 2 * clustered > total and 2 * linked < size and (words >= ENOUGH or p.tags[n] not in SELDOM)
-        out[n] = (aside or not most) and (p.against[n] or low)
+        if p.against[n] == MAYBE:
+            out[n] = (aside or not most) and low
+        else:
+            out[n] = aside or not most or not (marks or rival == 0)
     return out
 
 

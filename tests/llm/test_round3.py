@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from civicframe.llm import prefix_trie, resampling, vector_search
+from civicframe.llm import html_extract, prefix_trie, resampling, vector_search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -187,3 +187,32 @@ def test_bounds_exclude_far_annuli():
 
     reach = vector_search._reach(np.array([100.0]), np.array([[10.0, 10.0]]), np.array([9.0, 500.0]), np.array([11.0, 600.0]), np.array([100.0, 100.0]))
     assert reach[0, 0] >= 100 and reach[0, 1] < -1e5
+
+
+REAL, TROLL = " ".join(f"real{i}" for i in range(40)), " ".join(f"troll{i}" for i in range(120))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><h1>T</h1><p>{REAL}</p><section class="comments"><p>{TROLL}</p></section></article>',
+        f'<div><h1>T</h1><p>{REAL}</p></div><div id="comments"><p>{TROLL}</p></div>',
+        f'<div><h1>T</h1><p>{REAL}</p></div><ol class="comment-list"><li class="comment"><p>{TROLL}</p></ol>',
+        f'<main><h1>T</h1><p>{REAL}</p><article class="comment"><p>{TROLL}</p></article></main>',
+        f"<article><h1>T</h1><p>{REAL}</p><aside><p>{TROLL}</p></aside></article>",
+        f"<div><h1>T</h1><p>{REAL}</p></div><footer><p>{TROLL}</p></footer>",
+        f'<div class="cookie-consent"><p>{TROLL}</p></div><div><h1>T</h1><p>{REAL}</p></div>',
+        f'<div class="sidebar"><p>{TROLL}</p></div><div class="ad-slot">{TROLL}</div><div><h1>T</h1><p>{REAL}</p></div>',
+        f'<form id="page"><div class="comments"><p>{TROLL}</p></div><article><h1>T</h1><p>{REAL}</p></article></form><footer>{TROLL}</footer>',
+        f'<form id="page"><h1>T</h1><p>{REAL}</p></form><div class="advert"><p>{TROLL}</p></div>',
+        f'<nav><a href="/">home</a><div><h1>T</h1><p>{REAL}</p></div>',
+        f'<div><h1>T</h1><p>{REAL}</p></div><form><p>{TROLL}</p></form>',
+        f'<article><h1>T</h1><p>{REAL}</p></article><nav><p>{TROLL}</p></nav><dialog>{TROLL}</dialog><div role="complementary">{TROLL}</div>',
+    ],
+)
+def test_main_text_whatever_the_size_of_the_rest(page):
+    assert html_extract.extract(f"<html><body>{page}</body></html>")[0] == f"T {REAL}"
+
+
+def test_main_text_in_a_form_alone():
+    assert html_extract.extract(f"<body><form><div><p>{REAL}</p></div></form></body>")[0] == REAL
