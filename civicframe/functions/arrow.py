@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civicframe.session import ship_active
+
 PATCH_OPS = frozenset(("add", "remove", "replace", "move", "copy", "test"))
 
 
 def nfc(x: str | Column) -> Column:
     """Composed to NFC, format characters dropped. For many rows, apply it to the distinct values and join."""
+    ship_active()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -59,6 +62,8 @@ def repaired(text: str | None) -> str | None:
 
 
 def repaired_json(x: str | Column) -> Column:
+    ship_active()
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(repaired)
@@ -92,6 +97,7 @@ def rewritten(value: object, mapping: dict[str, str], keep: tuple[str, ...] = ("
 
 def rewritten_json(x: str | Column, mapping: dict[str, str], keep: tuple[str, ...] = ("version",)) -> Column:
     """For a mapping of bounded size; rows that aren't JSON stay."""
+    ship_active()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -129,6 +135,8 @@ def patch_problem(text: str | None, blocked: tuple[str, ...]) -> str | None:
 
 
 def patch_problems(x: str | Column, blocked: tuple[str, ...] = ()) -> Column:
+    ship_active()
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: patch_problem(t, blocked))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicframe.session import ship_active
+
 from .text import c
 
 #: What is dropped before a comparison, and the shortest evidence and run that count.
@@ -45,6 +47,7 @@ def verbatim_quote(evidence: str | Column, text: str | Column, least: float = 0.
 
     Joiners, stars and white space don't count. A run has 40 characters at least and the share ``least`` of the evidence.
     """
+    ship_active()
 
     @F.pandas_udf("string")
     def quotes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

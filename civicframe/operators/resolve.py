@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicframe.functions.domain import ladder
+from civicframe.session import ship
 
 
 def name_score(a: str, b: str) -> Column:
@@ -60,4 +61,5 @@ def best_first_pairs(scored: DataFrame, margin: float = 0.05, least: float = 0.8
     A docket's candidates come to one task: they are the names of one case. Of repeated pairs the best score counts.
     """
     once = scored.groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
+    ship(once.sparkSession)
     return once.groupBy("docket").applyInPandas(lambda pdf: pd.DataFrame(list(_pair(pdf, least, margin)), columns=["docket", "a", "b", "score"]), once.schema)

@@ -18,6 +18,12 @@ def get_session(name: str = "civicframe", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_active() -> None:
+    """``ship`` for functions of columns, which know no session of their own."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that Python operators run wherever it isn't installed."""
     sc = spark.sparkContext

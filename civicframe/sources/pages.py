@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from civicframe.functions.dockets import bound
 from civicframe.functions.text import ascii_digits, c
+from civicframe.session import ship_active
 
 SKIPPED = {"script", "style", "head", "noscript", "template"}
 CELLS = {"td", "th"}
@@ -88,6 +89,7 @@ def _pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def page(html: str | Column) -> Column:
     """struct(title, text, rows, links, ids) of a page by one pass of parser events: white space is one space, null is an empty page."""
+    ship_active()
     return F.pandas_udf(_pages, PAGE)(c(html))
 
 
