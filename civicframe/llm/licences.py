@@ -66,6 +66,20 @@ TEMPLATES = {
     "CC0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "Copyright. All rights reserved."],
 }
+#: Short names of licences, as tags and prose have them.
+SHORT = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0"],
+    "GPL-3.0": ["GPLv3", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "GPL-2.0": ["GPLv2", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "LGPL": ["LGPLv3", "LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "AGPL-3.0": ["AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "ISC": ["ISC"],
+    "MPL-2.0": ["MPL-2.0"],
+    "EPL-2.0": ["EPL-2.0"],
+}
+TEMPLATES = {f: [*texts, *(form.format(name) for name in SHORT.get(f, ()) for form in ("SPDX-License-Identifier: {}", "licensed under {}", "{} licensed", *["under the {}"] * any(map(str.isdigit, name))))] for f, texts in TEMPLATES.items()}
 #: Texts of the unknown class.
 OTHER = [
     "The driver's license was issued by the state and the licence number is printed on the card.",
@@ -78,7 +92,7 @@ OTHER = [
     "They granted permission to any person to copy and distribute the notice.",
 ]
 #: Words of which any licence notice has one; a paragraph without them is unknown. Fixed values.
-ANCHOR = r"licen[cs]|copyright|\bcc\b|\bcc0\b|creative\W+commons|public\W+domain|redistribut|permission|rights\W+reserved|\bgnu\b|mozilla|eclipse|warrant|anyone\W+is\W+free\W+to"
+ANCHOR = r"licen[cs]|copyright|\bcc\b|\bcc0\b|creative\W+commons|public\W+domain|redistribut|permission|rights\W+reserved|\bgnu\b|mozilla|eclipse|warrant|\b(?:[al]?gplv?|mpl|epl|bsd|apache)-?\d|\bspdx\b|anyone\W+is\W+free\W+to"
 #: Line breaks within a paragraph: in texts with blank lines (or bare comment marks) all others; elsewhere those that a hard wrap may have made, after
 #: a line of such a width that ends no sentence.
 BLANK = r"\n[^\w\n]*\n"
@@ -173,14 +187,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     anchor, join = sql(ANCHOR), f"'{JOIN}'"
     text = f"translate(text, {join}, ' ')"
     joined = f"regexp_replace({text}, case when text rlike {sql(BLANK)} then {sql(BREAK)} else {sql(WRAP)} end, {join})"
-    found = f"filter(transform(split(joined, '\n'), (x, i) -> named_struct('i', i, 'x', x)), s -> lower(s.x) rlike {anchor})"
-    before = "substring_index(joined, '\n', s.i)"
-    first = f"if(s.i = 0, 0, s.i + length({before}) - length(replace({before}, {join}, '')))"
-    runs = f"transform(found, s -> named_struct('run', cast({first} as int), 'x', s.x))"
+    # the lines of the text, those that carry on a paragraph with the mark in front, and where paragraphs begin: all linear in the number of lines
+    every = f"split(replace({joined}, {join}, '\n{JOIN}'), '\n')"
+    starts = f"filter(transform(every, (x, i) -> if(startswith(x, {join}), -1, i)), i -> i >= 0)"
+    runs = "transform(starts, (s, p) -> named_struct('run', s, 'x', array_join(slice(every, s + 1, coalesce(try_element_at(starts, p + 2), size(every)) - s), '')))"
+    found = f"filter({runs}, s -> lower(s.x) rlike {anchor})"
     lines = f"filter(transform(split(run.x, {join}), (x, k) -> named_struct('paragraph', run.run + k, 'body', x, 'whole', false)), l -> instr(run.x, {join}) > 0 and lower(l.body) rlike {anchor})"
     units = f"concat(array(named_struct('paragraph', run.run, 'body', replace(run.x, {join}, ' '), 'whole', true)), {lines})"
-    out = docs.where(F.lower("text").rlike(ANCHOR)).select("doc_id", F.expr(joined).alias("joined")).select("doc_id", "joined", F.expr(found).alias("found"))
-    out = out.select("doc_id", F.explode(F.expr(runs)).alias("run")).select("doc_id", F.col("run.run").alias("run"), F.xxhash64("run.x").alias("of"), F.explode(F.expr(units)).alias("unit"))
+    out = docs.where(F.lower("text").rlike(ANCHOR)).select("doc_id", F.expr(every).alias("every")).select("doc_id", "every", F.expr(starts).alias("starts"))
+    out = out.select("doc_id", F.explode(F.expr(found)).alias("run")).select("doc_id", F.col("run.run").alias("run"), F.xxhash64("run.x").alias("of"), F.explode(F.expr(units)).alias("unit"))
     return out.select("doc_id", "unit.paragraph", "unit.body", "run", "of", "unit.whole").distinct()
 
 
