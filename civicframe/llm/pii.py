@@ -50,6 +50,8 @@ FOUND = f"{SECRET}|{EMAIL}|{ADDRESS6}|{ADDRESS}|{DATE}|<all cards>|{PHONE}|{SOCI
 #: Every value of KINDS has one of these, so texts without them are passed on as they are.
 MAYBE = r"[0-9@:=]|AKIA"
 ROUNDS = 8
+#: Characters that are turned as one.
+TURNED = 64
 #: The days of 400 Gregorian years, 146,097 = 189 x 773, from this day on.
 FIRST_DAY, HIGH, LOW = "1800-01-01", 189, 773
 DATE_FORMS = {"-": "yyyy-MM-dd", "/": "dd/MM/yyyy", ".": "dd.MM.yyyy"}
@@ -72,13 +74,21 @@ def _number(key: str, *parts: str) -> str:
 
 
 def _turned(key: str, x: str, hexadecimal: bool = False) -> str:
-    """A string permuted within the classes of its characters: each half is shifted by a keyed digest of the other. Hexadecimal: small hex digits are one class."""
-    digest = f"sha2(concat_ws('|', {key}, cast(i as string), s.r), 512)"
+    """A string permuted within the classes of its characters: each half is shifted by a keyed digest of the other. Hexadecimal: small hex digits are one class.
+
+    Longer strings are turned in blocks of ``TURNED`` characters, each keyed by its place and by the block before it as well, so that the work is in proportion to the length.
+    """
+    tweak = "if(at = 0, null, concat(cast(at as string), ':', element_at(blocks, at)))"
+    return _with("blocks", f"regexp_extract_all({x}, '(?s).{{1,{TURNED}}}', 0)", f"array_join(transform(blocks, (block, at) -> {_turned_block(key, 'block', tweak, hexadecimal)}), '')")
+
+
+def _turned_block(key: str, x: str, tweak: str, hexadecimal: bool) -> str:
+    digest = f"sha2(concat_ws('|', {key}, cast(i as string), s.r, {tweak}), 512)"
     shift = "cast(conv(substr(d, 1 + 4 * ((j - 1) % 32), 4), 16, 10) as int)"
     char = "substr(s.l, j, 1)"
-    moved = "case " + " ".join(f"when {char} rlike '[{a}-{z}]' then char({ord(a)} + (ascii({char}) - {ord(a)} + {shift}) % {ord(z) - ord(a) + 1})" for a, z in ("09", "az", "AZ")) + f" else {char} end"
+    moved = "case " + " ".join(f"when {char} between '{a}' and '{z}' then char({ord(a)} + (ascii({char}) - {ord(a)} + {shift}) % {ord(z) - ord(a) + 1})" for a, z in ("09", "az", "AZ")) + f" else {char} end"
     if hexadecimal:
-        moved = f"case when {char} rlike '[0-9a-f]' then substr('{HEX}', 1 + (instr('{HEX}', {char}) - 1 + {shift}) % 16, 1) else {char} end"
+        moved = f"case when {char} between '0' and '9' or {char} between 'a' and 'f' then substr('{HEX}', 1 + (instr('{HEX}', {char}) - 1 + {shift}) % 16, 1) else {char} end"
     left = f"array_join(flatten(transform(array({digest}), d -> transform(filter(sequence(1, greatest(length(s.l), 1)), j -> j <= length(s.l)), j -> {moved}))), '')"
     half = f"cast(length({x}) div 2 as int)"
     start = f"named_struct('l', substr({x}, 1, {half}), 'r', substr({x}, {half} + 1))"
