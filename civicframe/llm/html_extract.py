@@ -18,7 +18,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pylists, slices
+from .common import pylists, ship, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -316,4 +316,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null or empty html gives text "" and n_chars 0; null ids and urls pass through; repeated rows stay repeated; other
     columns of ``pages`` are ignored. The work is per row, without a shuffle.
     """
+    ship(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long, kept_lines int, all_lines int")

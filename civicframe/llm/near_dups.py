@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mark, pylists, slices, small, utf8
+from .common import cut, mark, pylists, ship, sifted, slices, small, utf8
 
 SHINGLE = 5
 #: A pair of similarity 0.75 misses all trees with a probability of (1 - 0.75**4)**28 = 2e-5.
@@ -324,8 +324,11 @@ def _rest(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
     """key, groups and hashes of the vertices in ``members`` (key, doc_id, mark, groups)."""
-    members = small(cut(members.withColumnsRenamed({"doc_id": "member", "mark": "member_mark"}), "members"))
-    rows = docs.select("doc_id", "text")
+    members = cut(members.withColumnsRenamed({"doc_id": "member", "mark": "member_mark"}), "members")
+    rows, few = docs.select("doc_id", "text"), small(members)
+    if few is members:  # too many to broadcast: only texts that a bitmap can't rule out are shuffled
+        rows = sifted(rows, members, "member_mark")
+    members = few
     return rows.join(members, rows.doc_id.eqNullSafe(members.member) & (mark(rows.text) == members.member_mark)).select("key", "groups", "text").mapInArrow(_sets, "key long, groups array<long>, hashes binary")
 
 
@@ -336,6 +339,7 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``near_duplicates`` with the hash of the text of each row (mark), which names a row together with its id."""
+    ship(docs.sparkSession)
     signed = docs.select("doc_id", mark().alias("mark"), "text").select("doc_id", "mark", "text")
     signed = cut(signed.mapInArrow(_signed, "doc_id long, mark long, n long, key long, base array<long>, rest array<long>"), "signed")
     own = signed.where("key is not null")

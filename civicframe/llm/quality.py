@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import mark, slices, utf8
+from .common import mark, ship, slices, utf8
 
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -85,6 +85,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame) -> DataFrame:
     """The rows with COUNTS of their whole text, as q_n_words and so on. Null and empty texts count zero; repeated rows stay repeated."""
     schema = StructType([*docs.schema.fields, *(StructField(f"q_{c}", LongType()) for c in COUNTS)])
+    ship(docs.sparkSession)
     return docs.mapInArrow(_measure, schema)
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import ship, slices, utf8
 
 #: Parts kept by the encoder of a worker, in two generations, so that its memory stays bounded and frequent parts stay known.
 CACHE = 500_000
@@ -175,4 +175,5 @@ def counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             order = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(order), *(pa.array(c.astype(np.int64)) for c in cols)], names=["doc_id", "section", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, section long, start_byte long, end_byte long, n_tokens long, n_crossing long, doc_tokens long")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pylists, slices
+from .common import fold, pylists, ship, slices
 from .quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Machine:
     goes with the label in the sample (``least_g``), the ``most`` strongest: a pair whose members show nothing alone isn't learned.
     """
     sample = labelled(docs, labels.where(fold(F.col("doc_id")) != 2), "toxic", max_rows)
+    ship(docs.sparkSession)
     got = sample.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms array<int>").toArrow()
     rows = [x.values.to_numpy() if len(x) else np.zeros(0, np.int32) for x in got.column("terms").combine_chunks()] if got.num_rows else []
     y = got.column("toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
@@ -146,6 +147,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             (texts,) = pylists(b, "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(texts), pa.float64())], names=["doc_id", "score"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pylists, shared_path, slices, small
+from .common import cut, pylists, shared_path, ship, slices, small
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,6 +152,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     # A task for each archive, by ranges of the paths: the list is small, but what stands behind a path isn't.
+    ship(archives.sparkSession)
     return archives.select("path").repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
