@@ -110,6 +110,36 @@ def test_gate(spark):
             pytest.fail(q)
 
 
+@pytest.mark.parametrize(
+    "query",
+    [
+        "select * from values (1), (2) as t(a)", "select case_number from court_cases tablesample (10 percent)", "select row_number() over (order by case_number) from court_cases",
+        "select sum(1) over () from court_cases", "select case_number from court_cases union select case_number from hearings", "with c as (select 1) select * from c", "select 1",
+        "select c.case_number from court_cases c, hearings h", "select c.case_number from court_cases c join hearings h on c.case_number = c.case_number", "select c.case_number from court_cases c natural join hearings",
+        "select c.case_number from court_cases c join hearings h on c.case_number = h.case_number or true", "select * from range(5)", "select explode(array(1)) from court_cases", "select system.builtin.upper('x') from court_cases",
+        "select (select max(secret) from users) from court_cases", "select case_number from court_cases where exists (select 1 from users)", "select case_number from court_cases where case_number in (select name from users)",
+        "select transform(case_number) using 'cat' from court_cases", "select reflect('java.lang.System', 'exit', 0) from court_cases", "select case_number from spark_catalog.default.court_cases", "select * from court_cases pivot (count(1) for case_number in (1))",
+        "select case_number from court_cases lateral view explode(array(1)) t as x", "select java_method('a', 'b') from court_cases", "select h.bench from court_cases c left semi join hearings h on c.case_number = h.case_number", "from court_cases select case_number",
+    ],
+)
+def test_gate_judges_nodes(spark, query):
+    with pytest.raises(gate.Refused):
+        gate.check(spark, query, {"court_cases", "hearings"}, whole_windows=False)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "select row_number() over (partition by case_number order by bench desc) n from hearings", "select c.case_number, count(*) n from court_cases c join hearings h on c.case_number = h.case_number and h.bench <> 'x' group by 1 having count(*) > 1 order by n desc limit 5",
+        "select distinct upper(bench) from hearings where bench like 'a%' or bench is null or bench in ('b', 'c') or case_number not in (select case_number from court_cases)", "select case when bench = 'b' then 1 else 2 end x, cast(case_number as int) + 1 from hearings left join court_cases using (case_number)",
+        "select coalesce(bench, 'none'), sum(1) over (partition by bench) from (select * from hearings) t where exists (select 1 from court_cases c where c.case_number = t.case_number)", "select extract(year from current_date()), trim(bench), substring(bench, 1, 2) from hearings",
+        "select count(*) filter (where bench is not null), bool_or(bench = 'x') from hearings",
+    ],
+)
+def test_gate_lets_plain_queries_pass(spark, query):
+    gate.check(spark, query, {"court_cases", "hearings"}, whole_windows=False)
+
+
 def test_silver(spark, tmp_path):
     assert len(silver.TABLES) == 15 and all(set(t.key) <= set(t.schema.names) for t in silver.TABLES.values())
     now = dt.datetime(2024, 1, 1)
