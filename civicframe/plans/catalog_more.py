@@ -481,6 +481,40 @@ def _(p):
     return search.suggestion(search.fuzzy(voc.select("word"), mis).join(voc, "word"))
 
 
+@query(
+    "SRCH7_did_you_mean",
+    "part",
+    sql=r"""
+    with held as (select distinct p_partkey doc, unnest(string_split(p_name, ' ')) word from part),
+    voc as (select word, count(*) freq, length(word) % 2 authority from held group by 1),
+    names as (select distinct string_split(p_name, ' ') w from part),
+    bad as (select w, [case when length(x) >= 5 then substr(x, 1, 2) || substr(x, 4) else x end for x in w] t from names),
+    asked as (select array_to_string(w, ' ') query_id, t from bad union select array_to_string(w, ' ') || ' ' || array_to_string(w, ' '), list_concat(t, t) from bad where w[1] < w[2]),
+    missed as (select * from asked where not exists (select 1 from part where list_has_all(string_split(p_name, ' '), t))),
+    cand as (select token, word, levenshtein(token, word)::bigint d, freq, authority from (select distinct unnest(t) token from missed) k, voc
+      where token = word or (length(token) >= 4 and substr(token, 1, 1) = substr(word, 1, 1) and levenshtein(token, word) between 1 and case when length(token) < 8 then 1 else 2 end)),
+    lists as (select token, list({'a': -authority, 'd': d, 'f': -freq, 'w': word} order by authority desc, d, freq desc, word)[:5] items from cand group by 1),
+    one as (select query_id, len(t) n, coalesce((select items from lists where token = t[1]), [{'a': 0, 'd': 0, 'f': 0, 'w': t[1]}]) a, coalesce((select items from lists where token = t[2]), [{'a': 0, 'd': 0, 'f': 0, 'w': t[2]}]) b,
+      case when len(t) > 2 then 2 else 1 end times from missed),
+    pairs as (select query_id, x, y, times from (select query_id, unnest(a) x, b, times from one), unnest(b) u(y)),
+    two as (select query_id, [x, y] c from pairs where times = 1 union all
+      select p.query_id, [p.x, p.y, q.x, q.y] from pairs p join pairs q on p.query_id = q.query_id where p.times = 2),
+    ranked as (select query_id, [z.w for z in c] ws, row_number() over (partition by query_id order by list_sum([z.a for z in c]), list_sum([z.d for z in c]), list_sum([z.f for z in c]), array_to_string([z.w for z in c], ' ')) place from two),
+    hit as (select * from ranked where place <= 25 and exists (select 1 from part where list_has_all(string_split(p_name, ' '), ws)))
+    select query_id, array_to_string(arg_min(ws, place), ' ') suggestion from hit group by 1""",
+)
+def _(p):
+    from civicframe.operators import suggest
+
+    held = p.select(F.col("p_partkey").alias("doc"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    voc = held.groupBy("word").agg(n("freq")).withColumn("authority", F.length("word") % 2)
+    names = p.select(F.split("p_name", " ").alias("w")).distinct()
+    bad = names.withColumn("t", F.transform("w", lambda x: F.when(F.length(x) >= 5, F.concat(F.substring(x, 1, 2), F.substr(x, F.lit(4)))).otherwise(x)))
+    once = bad.select(F.array_join("w", " ").alias("query_id"), F.col("t").alias("tokens"))
+    twice = bad.where("w[0] < w[1]").select(F.array_join(F.concat("w", "w"), " ").alias("query_id"), F.concat("t", "t").alias("tokens"))
+    return suggest.did_you_mean(once.unionByName(twice), voc, held)
+
+
 @query("SRCH16_demand_report", "events", sql="select event_type, count(*) searches, count(distinct user_id) users, count(*) filter (where value < 10) zero from events group by 1")
 def _(e):
     return e.groupBy("event_type").agg(n("searches"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") < 10).alias("zero"))
