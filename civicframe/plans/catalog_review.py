@@ -186,6 +186,33 @@ def _(o, c, li):
     return upsert.repointed(stores, mapping)[1]
 
 
+@query(
+    "ENT9_merge_commit",
+    "orders",
+    "lineitem",
+    sql="""
+    with m as (select distinct o_custkey old, o_custkey // 10 * 10 + 1 new from orders where o_custkey % 10 > 7),
+    cases as (select coalesce(new, o_custkey) id from orders left join m on old = o_custkey),
+    binds as (select coalesce(new, l_partkey) id from lineitem left join m on old = l_partkey),
+    lineage as (select 'cases' store, old, new, count(*) n from orders join m on old = o_custkey group by all union all select 'binds', old, new, count(*) from lineitem join m on old = l_partkey group by all)
+    select 'cases' store, id::varchar id, 'live' what, count(*) n from cases group by 2 union all select 'binds', id::varchar, 'live', count(*) from binds group by 2
+    union all select store, old || ' > ' || new, 'lineage', n from lineage""",
+)
+def _(o, li):
+    from civicframe.sources import generations
+    from civicframe.storage import shared_path
+
+    spark = o.sparkSession
+    folder = shared_path(spark, "stores")
+    generations.commit(spark, folder, {"cases": o.select("o_orderkey", F.col("o_custkey").alias("id")), "binds": li.select("l_orderkey", F.col("l_partkey").alias("id"))})
+    mapping = o.where("o_custkey % 10 > 7").select(F.col("o_custkey").alias("old"), F.expr("o_custkey div 10 * 10 + 1").alias("new"))
+    generations.merge(spark, folder, mapping, {"cases": "id", "binds": "id"})
+    stores = generations.live(spark, folder)
+    counted = [stores[s].groupBy(F.lit(s).alias("store"), F.col("id").cast("string").alias("id"), F.lit("live").alias("what")).agg(F.count("*").alias("n")) for s in ("cases", "binds")]
+    lineage = stores["lineage"].select("store", F.concat_ws(" > ", "old", "new").alias("id"), F.lit("lineage").alias("what"), F.col("rows").alias("n"))
+    return counted[0].unionByName(counted[1]).unionByName(lineage)
+
+
 @query("STM1_lookback", "events", sql="""with m as (select max(ts) t from events), i as (select event_id, ts from events, m where ts >= t - interval 48 hour) select event_id, (select count(*) from i) > 50 saturated from (select * from i order by ts desc, lpad(event_id::varchar, 12, '0') limit 50)""")
 def _(e):
     last = e.agg(F.max("ts").alias("now"))
