@@ -45,6 +45,33 @@ def ordered_pairs(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
     return marked.groupBy(*keys).agg(F.count("ok").alias("pairs"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ordered"))
 
 
+def sequence_pairs(df: DataFrame, keys: list[str], seq: str, value: str, block: int = 1 << 16) -> DataFrame:
+    """keys, pairs and ordered, as ``ordered_pairs`` has them in the order of a number and the value: within blocks of numbers, and between the last and the first of blocks, so that a register may be of any size."""
+    rows = df.where(F.col(seq).isNotNull() & F.col(value).isNotNull()).select(*keys, seq, value, F.floor(F.col(seq) / block).alias("_b"))
+    before = F.lag(value).over(Window.partitionBy(*keys, "_b").orderBy(seq, value))
+    within = rows.select(*keys, (F.col(value) >= before).cast("int").alias("ok"))
+    by = F.struct(seq, value)
+    edges = rows.groupBy(*keys, "_b").agg(F.min_by(value, by).alias("_low"), F.max_by(value, by).alias("_high"))
+    between = edges.select(*keys, (F.col("_low") >= F.lag("_high").over(Window.partitionBy(*keys).orderBy("_b"))).cast("int").alias("ok"))  # a row for each block
+    return within.unionByName(between).groupBy(*keys).agg(F.count("ok").alias("pairs"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ordered"))
+
+
+def register_report(held: DataFrame, probes: DataFrame, keys: list[str], seq: str, date: str) -> DataFrame:
+    """Of each register: held (numbers), high, density, probed, hits and hit_rate of ``probes`` (keys and seq), pairs, ordered and confidence.
+
+    Rates are percentages with one decimal, null where there is nothing to say. The confidence is the share of neighbours whose dates don't run backwards: a low one says that the numbers aren't a
+    sequence, so that what looks like a gap never was.
+    """
+    rate = lambda a, b: F.round(F.col(a) * 100.0 / F.nullif(F.col(b), F.lit(0)), 1)
+    has = held.where(F.col(seq) >= 1)
+    counted = has.groupBy(*keys).agg(F.count_distinct(seq).alias("held"), F.max(seq).alias("high")).withColumn("density", rate("held", "high"))
+    tried = probes.select(*keys, seq).distinct().join(has.select(*keys, seq).distinct().withColumn("_hit", F.lit(1)), [*keys, seq], "left")
+    tried = tried.groupBy(*keys).agg(F.count("*").alias("probed"), F.count("_hit").alias("hits")).withColumn("hit_rate", rate("hits", "probed"))
+    pairs = sequence_pairs(has, keys, seq, date).withColumn("confidence", rate("ordered", "pairs"))
+    zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("probed", "hits")]
+    return counted.join(tried, keys, "left").join(pairs, keys, "left").select(*keys, "held", "high", "density", *zero, "hit_rate", "pairs", "ordered", "confidence")
+
+
 def disjunctive_match(left: DataFrame, right: DataFrame, left_keys: list[tuple[str, Column]], right_keys: list[tuple[str, Column]], left_id: str, right_id: str, most: int) -> DataFrame:
     """left_id, right_id, confidence: rows that meet on any kind of reference, as one equi-join of (kind, value) pairs.
 

@@ -63,3 +63,15 @@ def best_first_pairs(scored: DataFrame, margin: float = 0.05, least: float = 0.8
     once = scored.groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
     ship(once.sparkSession)
     return once.groupBy("docket").applyInPandas(lambda pdf: pd.DataFrame(list(_pair(pdf, least, margin)), columns=["docket", "a", "b", "score"]), once.schema)
+
+
+def unrivalled(scored: DataFrame, margin: float = 0.05) -> DataFrame:
+    """The pairs (docket, a, b, score) without a rival: no other pair of the docket with the same a or the same b has a score within ``margin`` of theirs, or a higher one. Scores of repeated pairs count once, the best."""
+    pairs = scored.groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
+
+    def lone(df: DataFrame, side: str) -> DataFrame:
+        two = F.slice(F.sort_array(F.collect_list("score"), False), 1, 2)  # the candidates of one name in one docket
+        best = df.groupBy("docket", side).agg(two.alias("_two")).where((F.size("_two") == 1) | (F.try_element_at("_two", F.lit(2)) < F.col("_two")[0] - margin))
+        return best.select("docket", side, F.col("_two")[0].alias("score"))
+
+    return pairs.join(lone(pairs, "a"), ["docket", "a", "score"]).join(lone(pairs, "b"), ["docket", "b", "score"]).select("docket", "a", "b", "score")

@@ -194,6 +194,26 @@ def _(li):
     return held.withColumn("density", dom.percent(F.col("held"), F.col("high")))
 
 
+@query(
+    "AGG23_register_report",
+    "orders",
+    sql="""
+    with h as (select o_orderpriority r, o_orderkey s, o_orderdate d from orders where o_orderkey >= 1),
+    n as (select *, lag(d) over (partition by r order by s, d) p from h),
+    t as (select o_custkey % 5 k, o_orderkey s from orders where o_orderstatus = 'F'),
+    b as (select substr(r, 1, 1)::int - 1 k, r from (select distinct r from h)),
+    q as (select b.r, count(distinct t.s) probed, count(distinct h.s) hits from t join b using (k) left join h on h.r = b.r and h.s = t.s group by 1)
+    select n.r, count(distinct s) held, max(s) high, round(100.0 * count(distinct s)::double / max(s), 1) density, any_value(probed) probed, any_value(hits) hits,
+      round(100.0 * any_value(hits)::double / any_value(probed), 1) hit_rate, count(p) pairs, count(*) filter (where d >= p) ordered, round(100.0 * count(*) filter (where d >= p)::double / count(p), 1) confidence
+    from n join q on q.r = n.r group by 1""",
+)
+def _(o):
+    held = o.select(F.col("o_orderpriority").alias("r"), F.col("o_orderkey").alias("s"), F.col("o_orderdate").alias("d"))
+    named = held.groupBy((F.substring("r", 1, 1).cast("int") - 1).alias("k"), "r").agg(n()).drop("n")
+    probes = o.where("o_orderstatus = 'F'").select((F.col("o_custkey") % 5).cast("int").alias("k"), F.col("o_orderkey").alias("s")).join(F.broadcast(named), "k").select("r", "s")  # five registers
+    return graph.register_report(held, probes, ["r"], "s", "d")
+
+
 @query("AGG24_modal_pad", "part", sql="with c as (select p_brand, length(p_name) pad, count(*) n from part group by 1, 2) select p_brand, arg_max(pad, row(n, pad))::bigint pad from c group by 1")
 def _(p):
     c = p.groupBy("p_brand", F.length("p_name").cast("long").alias("pad")).agg(n())
@@ -323,9 +343,9 @@ def _(e):
     return both.groupBy("day").agg(F.sum("shown").alias("shown"), F.sum("clicks").alias("clicks")).withColumn("ctr", F.round(F.col("clicks") / F.col("shown"), 4))
 
 
-@query("J15_geography", "lineitem", "supplier", "nation", "orders", "customer", sql="""select r_key, count(distinct l_suppkey) suppliers from (select l_suppkey, c_nationkey r_key from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
+@query("J15_geography", "lineitem", "supplier", "orders", "customer", sql="""select r_key, count(distinct l_suppkey) suppliers from (select l_suppkey, c_nationkey r_key from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
     union select s_suppkey, s_nationkey from supplier) group by 1""")
-def _(li, s, na, o, c):
+def _(li, s, o, c):
     via = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select("l_suppkey", F.col("c_nationkey").alias("r_key"))
     own = s.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("r_key"))
     return via.unionByName(own).groupBy("r_key").agg(F.countDistinct("l_suppkey").alias("suppliers"))
@@ -370,11 +390,17 @@ def _(o):
     return graph.ordered_pairs(o, ["o_custkey"], "o_orderkey", "o_orderdate")
 
 
-@query("WIN5_rival_exclusion", "lineitem", sql="select l_orderkey, l_linenumber from (select *, max(l_extendedprice) over (partition by l_orderkey) m, count(*) over (partition by l_orderkey) k from lineitem) qualify count(*) filter (where l_extendedprice >= m * 0.9) over (partition by l_orderkey) = 1 and l_extendedprice = m")
+@query(
+    "WIN5_rival_exclusion",
+    "lineitem",
+    sql="""
+    with p as (select l_orderkey docket, l_partkey % 4 a, l_suppkey % 4 b, max(round(l_extendedprice / 100000, 4)) score from lineitem group by all)
+    select docket, a, b, score from p where not exists (
+      select 1 from p q where q.docket = p.docket and (q.a = p.a or q.b = p.b) and (q.a, q.b) <> (p.a, p.b) and q.score >= p.score - 0.05)""",
+)
 def _(li):
-    w = Window.partitionBy("l_orderkey")
-    m = li.withColumn("m", F.max("l_extendedprice").over(w)).withColumn("k", F.count_if(F.col("l_extendedprice") >= F.col("m") * 0.9).over(w))
-    return m.where("k = 1 and l_extendedprice = m").select("l_orderkey", "l_linenumber")
+    pairs = li.groupBy(F.col("l_orderkey").alias("docket"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b")).agg(F.max(F.round(F.col("l_extendedprice") / 100000, 4)).alias("score"))
+    return resolve.unrivalled(pairs, 0.05)
 
 
 @query("WIN6_latest_disposing", "events", sql="select user_id, arg_max(event_type, row(ts, event_id)) last_disposing from events where event_type in ('purchase', 'error') group by 1")
@@ -460,9 +486,27 @@ def _(c, s, p):
     return _envelope(c, s, p)
 
 
-@query("SET2_missing_columns", "customer", "supplier", sql="select c_name title, c_mktsegment segment from customer union all select s_name, null from supplier")
-def _(c, s):
-    return c.select(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment")).unionByName(s.select(F.col("s_name").alias("title")), allowMissingColumns=True)
+@query(
+    "SET2_missing_columns",
+    "customer",
+    "supplier",
+    "part",
+    "orders",
+    sql="""select 'customer/' || c_custkey iri, c_name title, c_mktsegment segment, null::timestamp as "date" from customer union all select 'supplier/' || s_suppkey, s_name, null, null from supplier
+    union all select 'part/' || p_partkey, p_name, p_type, null from part union all select 'order/' || o_orderkey, null, o_orderpriority, o_orderdate from orders""",
+)
+def _(c, s, p, o):
+    iri = lambda kind, key: F.concat(F.lit(f"{kind}/"), F.col(key).cast("string")).alias("iri")
+    four = [
+        c.select(iri("customer", "c_custkey"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment")),
+        s.select(iri("supplier", "s_suppkey"), F.col("s_name").alias("title")),
+        p.select(iri("part", "p_partkey"), F.col("p_name").alias("title"), F.col("p_type").alias("segment")),
+        o.select(iri("order", "o_orderkey"), F.col("o_orderpriority").alias("segment"), F.col("o_orderdate").alias("date")),
+    ]
+    out = four[0]
+    for one in four[1:]:
+        out = out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 @query("SET3_cited_unknown", "orders", "lineitem", sql="select o_orderkey from orders except select l_orderkey from lineitem")
@@ -470,10 +514,18 @@ def _(o, li):
     return o.select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").distinct()
 
 
-@query("SET4_union_sorted", "orders", "lineitem", sql="select o_orderkey, array_to_string(list_sort(list_distinct([o_custkey % 7, o_orderkey % 5, o_custkey % 3])), ',') ids from orders")
+@query(
+    "SET4_union_sorted",
+    "orders",
+    "lineitem",
+    sql="""
+    with l as (select l_orderkey, list(l_partkey) parts from lineitem group by 1)
+    select o_orderkey, array_to_string(list_sort(list_distinct(list_concat([o_custkey], coalesce(parts, [])))), ',') ids from orders left join l on l_orderkey = o_orderkey""",
+)
 def _(o, li):
-    a, b = F.array(F.col("o_custkey") % 7, F.col("o_orderkey") % 5), F.array(F.col("o_custkey") % 3)
-    return o.select("o_orderkey", F.array_join(F.array_sort(F.array_union(a, b)), ",").alias("ids"))
+    linked = li.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))  # the lines of an order
+    both = F.array_union(F.array("o_custkey"), F.coalesce("parts", F.array().cast("array<bigint>")))
+    return o.join(linked, o.o_orderkey == linked.l_orderkey, "left").select("o_orderkey", F.array_join(F.array_sort(both), ",").alias("ids"))
 
 
 @query("SET5_holes_minus_absent", "lineitem", sql="select v missing from (select unnest(range(1, (select max(l_orderkey) from lineitem) + 1)) v) where v % 7 <> 0 and v not in (select l_orderkey from lineitem)")

@@ -698,6 +698,58 @@ def _(li):
     return in_order(li.select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber", "l_partkey"])
 
 
+@query("SRC2_shards", "lineitem", sql="select l_returnflag, count(*) n, count(distinct l_orderkey) orders from lineitem group by 1")
+def _(li):
+    from civicframe.sources.readers import shards
+    from civicframe.storage import shared_path
+
+    folder = shared_path(li.sparkSession, "dataset")
+    li.select("l_orderkey", "l_returnflag").repartition(4).write.parquet(f"{folder}/lines")
+    return shards(li.sparkSession, folder, "lines").groupBy("l_returnflag").agg(n(), F.countDistinct("l_orderkey").alias("orders"))
+
+
+@query("SRC7_json_lines", "events", sql="select event_id, event_type from events where event_id % 7 <> 0")
+def _(e):
+    from civicframe.sources.readers import json_lines
+    from civicframe.storage import shared_path
+
+    path, line = shared_path(e.sparkSession, "lines"), F.to_json(F.struct("event_id", "event_type"))
+    e.select(F.when(F.col("event_id") % 7 == 0, F.substr(line, F.lit(1), F.length(line) - 3)).otherwise(line)).write.text(path)
+    return json_lines(e.sparkSession, path, "event_id long, event_type string")
+
+
+@query("SRC8_unseen", "orders", sql="select o_orderkey from orders where o_orderkey % 3 <> 0 or o_orderstatus <> 'F'")
+def _(o):
+    from civicframe.sources.readers import json_lines, unseen
+    from civicframe.storage import shared_path
+
+    cache = shared_path(o.sparkSession, "cache")
+    o.where("o_orderkey % 3 = 0 and o_orderstatus = 'F'").select(F.to_json(F.struct("o_orderkey"))).write.text(cache)
+    return unseen(json_lines(o.sparkSession, cache, "o_orderkey long"), o.select("o_orderkey"), "o_orderkey")
+
+
+@query("SRC10_batch_slugs", "part", sql="with s as (select p_name slug, min(p_partkey) k from part group by 1) select slug, row_number() over (order by k) as position from s")
+def _(p):
+    from civicframe.sources.readers import batch_slugs
+    from civicframe.storage import shared_path
+
+    path = shared_path(p.sparkSession, "batch")
+    p.orderBy("p_partkey").select(F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("slug")).write.option("header", "true").csv(path)
+    return batch_slugs(p.sparkSession, path)
+
+
+@query("STR19_mojibake", "documents", sql="select doc_id, sha256(coalesce(text, '')) body from documents")
+def _(d):
+    garbled = F.decode(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "ISO-8859-1")
+    return d.select("doc_id", F.sha2(tx.repaired_mojibake(garbled), 256).alias("body"))
+
+
+@query("STR29_cells", "part", sql="select p_partkey, p_name || ', मा.' || p_brand judges, p_name || ' (' || p_type || ')' label, p_size n from part")
+def _(p):
+    cells = p.select("p_partkey", F.concat("p_name", F.lit("मा."), "p_brand").alias("j"), F.concat("p_name", F.lit("( "), "p_type", F.lit(" )")).alias("l"), F.concat(F.translate(F.col("p_size").cast("string"), "0123456789", "०१२३४५६७८९"), F.lit(" जना")).alias("c"))
+    return cells.select("p_partkey", tx.split_judges("j").alias("judges"), tx.spaced_parentheses("l").alias("label"), tx.counted("c").alias("n"))
+
+
 @query("SRC5_children", "orders", "lineitem", sql="select o_orderkey, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) parts from orders join lineitem on l_orderkey = o_orderkey group by 1")
 def _(o, li):
     kids = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))

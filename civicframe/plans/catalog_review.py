@@ -32,13 +32,43 @@ def _(p):
 @query("SRC11_cause_list", "supplier", "nation", sql="select n_nationkey, s_suppkey::varchar number, s_name party from supplier join nation on s_nationkey = n_nationkey")
 def _(s, n):
     row = F.concat(F.lit("<tr><td>"), "s_suppkey", F.lit("<td> "), "s_name", F.lit(" </td><td>x</td></tr>"))
-    lists = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    lists = s.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 50)).agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))  # lists of 50 rows at most
     html = F.concat(F.lit("<table><tr><th>No</th><th>Party</th><th>Note</th></tr><tr><td></td><td>blank</td><td></td></tr><tr><td>too short</td></tr>"), "rows", F.lit("</table>"))
     made = n.join(lists, n.n_nationkey == lists.s_nationkey).select("n_nationkey", pages.page(html).alias("page"))
     rows = made.select("n_nationkey", F.explode(pages.table_rows(F.col("page"), ["No", "Party", "Note"])).alias("r"))
     return rows.select("n_nationkey", F.col("r")["No"].alias("number"), F.col("r")["Party"].alias("party"))
 
 
+_DAY = "date '2019-03-01' + (page_id % 700)::int"
+
+
+@query(
+    "SRC12_published",
+    "pages",
+    sql=f"""
+    with p as (select page_id, page_id % 7 k, {_DAY} d, html from pages)
+    select page_id, case when k = 6 then null when k = 5 then d + 1 else d end published, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) <> '' titled from p""",
+)
+def _(p):
+    day = F.date_add(F.lit("2019-03-01").cast("date"), (F.col("page_id") % 700).cast("int"))
+    iso, k = F.date_format(day, "yyyy-MM-dd"), F.col("page_id") % 7
+    time = F.concat(F.lit("<time datetime='"), F.date_format(F.date_add(day, 1), "yyyy-MM-dd"), F.lit("'>x</time>"))
+    carriers = [
+        F.concat(F.lit("<meta property='article:published_time' content='"), iso, F.lit("T10:00:00Z'>"), time),
+        F.concat(F.lit("<meta content='"), F.date_format(day, "MMMM d, yyyy"), F.lit("' name='DC.date.issued'>"), time),
+        F.concat(F.lit("<meta itemprop=datePublished content="), iso, F.lit(">"), time),
+        F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"x": 1}, {"datePublished": "'), iso, F.lit('"}]}</script>'), time),
+        F.concat(F.lit("<meta name=date content=2082-04-20><p>प्रकाशित: "), F.date_format(day, "yyyy/M/d"), F.lit("</p>")),  # a year of Bikram Sambat is passed over
+        F.concat(time, F.lit("<script>{\"datePublished\": \"2001-01-01\"}</script>")),
+        F.lit("<p>मिति २०८२-०४-२०</p><script type='application/ld+json'>{broken</script>"),
+    ]
+    head = F.lit("")
+    for i, x in enumerate(carriers):
+        head = F.when(k == i, x).otherwise(head)
+    made = p.select("page_id", pages.page(F.concat(head, F.coalesce("html", F.lit("")))).alias("page"))
+    return made.select("page_id", pages.published(F.col("page"), 2030).alias("published"), (F.col("page.title") != "").alias("titled"))
+
+
 @query("SRC11_press_release", "pages", sql="""select page_id, 'Release ' || page_id title, '2081-0' || (1 + page_id % 9) || '-05' as "date", ['/f/' || page_id || '.PDF'] files from pages""")
 def _(p):
     head = F.concat(F.lit("<style>1999-01-01</style><h1>Release\n<i>"), "page_id", F.lit("</i></h1><p>मिति २०८१।"), F.translate((1 + F.col("page_id") % 9).cast("string"), "123456789", "१२३४५६७८९"), F.lit("।५</p><a href='/f/"), "page_id", F.lit(".PDF'>x</a><a href='/y'>y</a>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
@@ -17,7 +18,26 @@ SKIPPED = {"script", "style", "head", "noscript", "template"}
 CELLS = {"td", "th"}
 #: Elements that end a cell or a row that was left open.
 ROWS = {"tr", "table", "tbody", "thead", "tfoot"}
-PAGE = "title string, text string, rows array<array<string>>, links array<string>, ids array<string>"
+PAGE = "title string, text string, rows array<array<string>>, links array<string>, ids array<string>, dates array<struct<rank: int, value: string>>"
+#: Where a page states its date, the surest first: properties and names of meta elements, linked data, time elements.
+PUBLISHED, NAMED, ITEM, LINKED, TIMED = range(5)
+
+
+def _linked_dates(text: str) -> list[str]:
+    """The dates of publication in linked data, in the order in which they stand; what isn't JSON has none."""
+    try:
+        open_ = [json.loads(text)]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            out += [v for k, v in x.items() if k == "datePublished" and isinstance(v, str)]
+            open_ += reversed([*x.values()])
+        elif isinstance(x, list):
+            open_ += reversed(x)
+    return out
 
 
 class _Page(HTMLParser):
@@ -25,15 +45,29 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.text, self.rows, self.links, self.ids = [], [], [], []
+        self.text, self.rows, self.links, self.ids, self.dates = [], [], [], [], []
         self.title, self.cell, self.skip, self.in_title = None, None, 0, False
+        self.linked = None  # the parts of a script of linked data
 
     def _end_cell(self) -> None:
         if self.cell is not None:
             self.rows[-1].append(" ".join("".join(self.cell).split()))
             self.cell = None
 
+    def _dated(self, tag: str, attrs: dict[str, str]) -> None:
+        value = attrs.get("content" if tag == "meta" else "datetime", "")
+        if tag == "meta" and value:
+            ranks = [r for r, met in ((PUBLISHED, attrs.get("property", "").lower() == "article:published_time"), (NAMED, "date" in attrs.get("name", "").lower()), (ITEM, attrs.get("itemprop", "").lower() == "datepublished")) if met]
+            self.dates += [(r, value) for r in ranks[:1]]
+        elif tag == "time" and value:
+            self.dates.append((TIMED, value))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("meta", "time", "script"):
+            own = {k: v or "" for k, v in attrs}
+            self._dated(tag, own)
+            if tag == "script" and own.get("type", "").lower() == "application/ld+json":
+                self.linked = []
         if tag in SKIPPED:
             self.skip += 1
         elif tag in ROWS:
@@ -55,6 +89,9 @@ class _Page(HTMLParser):
         self.handle_data(" ")
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "script" and self.linked is not None:
+            self.dates += [(LINKED, d) for d in _linked_dates("".join(self.linked))]
+            self.linked = None
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif tag in CELLS or tag in ROWS:
@@ -64,6 +101,8 @@ class _Page(HTMLParser):
         self.handle_data(" ")
 
     def handle_data(self, data: str) -> None:
+        if self.linked is not None:
+            self.linked.append(data)
         if self.skip:
             return
         self.text.append(data)
@@ -79,16 +118,16 @@ def _read(html: str | None) -> tuple:
     page.close()
     page._end_cell()
     flat = lambda parts: " ".join("".join(parts or []).split())
-    return flat(page.title), flat(page.text), [r for r in page.rows if r], page.links, page.ids
+    return flat(page.title), flat(page.text), [r for r in page.rows if r], page.links, page.ids, [{"rank": r, "value": v} for r, v in page.dates]
 
 
 def _pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for htmls in batches:
-        yield pd.DataFrame([_read(h) for h in htmls], columns=["title", "text", "rows", "links", "ids"])
+        yield pd.DataFrame([_read(h) for h in htmls], columns=["title", "text", "rows", "links", "ids", "dates"])
 
 
 def page(html: str | Column) -> Column:
-    """struct(title, text, rows, links, ids) of a page by one pass of parser events: white space is one space, null is an empty page."""
+    """struct(title, text, rows, links, ids, dates) of a page by one pass of parser events: white space is one space, null is an empty page."""
     ship_active()
     return F.pandas_udf(_pages, PAGE)(c(html))
 
@@ -126,6 +165,22 @@ def stated_date(text: str | Column) -> Column:
     return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
 
 
+#: Words before a date of publication in a text, and the first year that one may have.
+DATED, FIRST_YEAR = ("प्रकाशित", "मिति"), 1990
+
+
+def published(parsed: Column, last_year: int | Column) -> Column:
+    """The date on which a page (``page``) says that it was published, or null: the surest statement first, then a dated line of the text.
+
+    Only plausible years count, to ``last_year``: a year of Bikram Sambat read as a Gregorian one is no date. Digits are ASCII ones, for the same reason.
+    """
+    plausible = lambda d: F.when(F.year(d).between(F.lit(FIRST_YEAR), F.lit(last_year) if isinstance(last_year, int) else last_year), d)
+    day = lambda v: plausible(F.coalesce(F.try_to_date(F.substring(F.trim(v), 1, 10), "yyyy-MM-dd"), F.try_to_date(F.trim(v), "MMMM d, yyyy"), F.try_to_date(F.trim(v), "d MMMM yyyy"), F.try_to_date(F.trim(v), "d/M/yyyy")))
+    stated = F.filter(F.transform(F.array_sort(F.transform(parsed["dates"], lambda d, i: F.struct(d["rank"].alias("rank"), i.alias("i"), d["value"].alias("value")))), lambda d: day(d["value"])), lambda d: d.isNotNull())
+    line = F.regexp_extract(parsed["text"], rf"(?:{'|'.join(DATED)})[:\s]*([0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})(?![0-9])", 1)
+    return F.coalesce(F.try_element_at(stated, F.lit(1)), plausible(F.try_to_date(F.translate(line, "/", "-"), "yyyy-M-d")))
+
+
 def press_release(html: str | Column, files: str = r"\.(pdf|docx?)$") -> Column:
     """struct(title, text, date, files) of a press release; a page without text is still a release."""
     p = page(html)

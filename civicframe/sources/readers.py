@@ -51,9 +51,10 @@ def unseen(cache: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 
 def batch_slugs(spark: SparkSession, path: str, column: str = "slug") -> DataFrame:
-    """slug and position: the trimmed slugs of a CSV in file order, each at its first place."""
-    rows = spark.read.option("header", "true").csv(path).select(F.trim(column).alias("slug"), F.monotonically_increasing_id().alias("position"))
-    return rows.where("slug <> ''").groupBy("slug").agg(F.min("position").alias("position"))
+    """slug and position (from 1): the trimmed slugs of CSV files in the order of file names and lines, each at its first place."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.option("header", "true").csv(path).select(F.trim(column).alias("slug"), at.alias("_at"))
+    return numbered(rows.where("slug <> ''").groupBy("slug").agg(F.min("_at").alias("_at")), ["_at"], name="position").drop("_at")
 
 
 def jdbc(spark: SparkSession, url: str, relation: str, predicates: list[str], **properties: str) -> DataFrame:
