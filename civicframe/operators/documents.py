@@ -100,3 +100,27 @@ def judgments(searches: DataFrame, clicks: DataFrame) -> DataFrame:
     both = shown.join(hit, ["search_id", "rank"], "left")
     out = both.groupBy("q_normalized", "rank").agg(F.count("*").alias("shown"), F.count("_hit").alias("clicked"))
     return out.withColumn("ctr", F.round(F.col("clicked") / F.col("shown"), 4))
+
+
+def copies_removed(docs: DataFrame, proposals: DataFrame) -> DataFrame:
+    """id, survivor and action of each of ``proposals`` (id, survivor) to delete a document as an exact copy of another one of docs (id, title, text, deleted).
+
+    Title, fingerprint of the text and survivor must agree. *deleted*, else why not: *missing* (no such document), *gone* (deleted before), *no survivor* (none, itself, or deleted), *survivor goes too* (proposed as a copy
+    itself), *title*, *text* (null and empty text have no fingerprint). A document that is proposed twice keeps the smallest survivor.
+    """
+    facts = docs.select("id", "deleted", F.trim("title").alias("title"), F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("mark"))
+    wanted = proposals.groupBy("id").agg(F.min("survivor").alias("survivor"))
+    going = wanted.select(F.col("id").alias("survivor"), F.lit(True).alias("goes"))
+    own = facts.select("id", F.struct("deleted", "title", "mark").alias("own"))
+    other = facts.select(F.col("id").alias("survivor"), F.struct("deleted", "title", "mark").alias("other"))
+    rows = wanted.join(own, "id", "left").join(other, "survivor", "left").join(going, "survivor", "left")
+    action = (
+        F.when(F.col("own").isNull(), "missing")
+        .when(F.col("own.deleted"), "gone")
+        .when(F.col("other").isNull() | F.col("other.deleted") | (F.col("id") == F.col("survivor")), "no survivor")
+        .when(F.coalesce("goes", F.lit(False)), "survivor goes too")
+        .when(~F.col("own.title").eqNullSafe(F.col("other.title")), "title")
+        .when(F.col("own.mark").isNull() | ~F.col("own.mark").eqNullSafe(F.col("other.mark")), "text")
+        .otherwise("deleted")
+    )
+    return rows.select("id", "survivor", action.alias("action"))

@@ -686,6 +686,29 @@ def _(d):
     return d.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("survivor"), n("copies")).where("copies > 1")
 
 
+@query(
+    "PIPE12_copies_removed",
+    "documents",
+    sql="""
+    with d as (select doc_id id, text, lang title, doc_id % 11 = 3 deleted from documents),
+    g as (select text, min(id) survivor from d where text is not null group by 1),
+    p as (select id, survivor from d join g using (text) where id <> survivor union all select id, id - id % 5 from d where id % 5 = 4),
+    w as (select id, min(survivor) survivor from p group by 1)
+    select w.id, w.survivor, case when a.deleted then 'gone' when b.id is null or b.deleted then 'no survivor' when w.survivor in (select id from w) then 'survivor goes too'
+      when a.title is distinct from b.title then 'title' when coalesce(a.text, '') = '' or a.text is distinct from b.text then 'text' else 'deleted' end as action
+    from w join d a on a.id = w.id left join d b on b.id = w.survivor""",
+)
+def _(d):
+    from civicframe.operators.documents import copies_removed
+
+    docs = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), "text", (F.col("doc_id") % 11 == 3).alias("deleted"))
+    mark = F.sha2(F.col("text").cast("binary"), 256)
+    first = docs.where("text is not null").groupBy(mark.alias("mark")).agg(F.min("id").alias("survivor"))
+    copies = docs.where("text is not null").select("id", mark.alias("mark")).join(first, "mark").where("id <> survivor").select("id", "survivor")
+    wrong = docs.where("id % 5 = 4").select("id", (F.col("id") - F.col("id") % 5).alias("survivor"))
+    return copies_removed(docs, copies.unionByName(wrong))
+
+
 @query(
     "SRC1_ordered_scan",
     "lineitem",
