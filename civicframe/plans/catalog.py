@@ -394,13 +394,13 @@ def _(o):
     "WIN5_rival_exclusion",
     "lineitem",
     sql="""
-    with p as (select l_orderkey docket, l_partkey % 4 a, l_suppkey % 4 b, max(round(l_extendedprice / 100000, 4)) score from lineitem group by all)
+    with p as (select l_orderkey docket, l_partkey % 4 a, l_suppkey % 4 b, max(l_extendedprice) score from lineitem group by all)
     select docket, a, b, score from p where not exists (
-      select 1 from p q where q.docket = p.docket and (q.a = p.a or q.b = p.b) and (q.a, q.b) <> (p.a, p.b) and q.score >= p.score - 0.05)""",
+      select 1 from p q where q.docket = p.docket and (q.a = p.a or q.b = p.b) and (q.a, q.b) <> (p.a, p.b) and q.score >= p.score - 5000)""",
 )
 def _(li):
-    pairs = li.groupBy(F.col("l_orderkey").alias("docket"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b")).agg(F.max(F.round(F.col("l_extendedprice") / 100000, 4)).alias("score"))
-    return resolve.unrivalled(pairs, 0.05)
+    pairs = li.groupBy(F.col("l_orderkey").alias("docket"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b")).agg(F.max("l_extendedprice").alias("score"))
+    return resolve.unrivalled(pairs, 5000)
 
 
 @query("WIN6_latest_disposing", "events", sql="select user_id, arg_max(event_type, row(ts, event_id)) last_disposing from events where event_type in ('purchase', 'error') group by 1")
