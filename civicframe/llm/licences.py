@@ -139,7 +139,7 @@ def altered(rng: random.Random, text: str, noise: list[str], cut: bool = True) -
 def train(seed: int = 5, copies: int = 60, epochs: int = 300) -> Model:
     rng = random.Random(seed)
     noise = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 8))) for _ in range(400)] + "the of and to in is for on with that by as it are was this be".split()
-    data = [(f, altered(rng, t, noise)) for f, ts in TEMPLATES.items() for t in ts for _ in range(copies)]
+    data = [(f, altered(rng, t, noise)) for f, ts in TEMPLATES.items() for t in ts for _ in range(copies if len(words(t)) > 3 else copies // 4)]
     data += [("unknown", altered(rng, t, noise)) for t in OTHER for _ in range(copies)]
     data += [("unknown", [rng.choice(noise) for _ in range(rng.randint(1, 60))]) for _ in range(8 * copies)]
     rng.shuffle(data)
