@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from civicframe.plans import catalog, catalog_casework, catalog_dockets, catalog_more, catalog_review, statistics  # noqa: F401
+from civicframe.plans import catalog, catalog_casework, catalog_dockets, catalog_more, catalog_review, catalog_stores, statistics  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES = {**catalog.QUERIES, **statistics.QUERIES}
