@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicframe.operators import upsert
 from civicframe.sources import keyed
 from civicframe.storage import shared_path
+from civicframe.streaming.consumers import Consumer, Fanout
 
 from .catalog import n, query
 
@@ -69,3 +70,40 @@ def _(o):
     for _ in keyed.backfill(store, _recomputed, "status", batch=4, dry_run=False):
         pass
     return upsert.changed_columns(before, keyed.rows(store), KEY).groupBy("changed").agg(n())
+
+
+# -- one stream, many consumers ----------------------------------------------------------------------------------------------
+
+
+@query(
+    "STM9_consumers",
+    "events",
+    sql="""
+    select 'all' as consumer, event_id, 'handled' as outcome, 1 as delivered from events
+    union all select 'clicks', event_id, case when event_id % 10 in (0, 1) then 'dead' else 'handled' end,
+        case event_id % 10 when 0 then 1 when 1 then 3 when 2 then 2 else 1 end from events where event_type = 'click'""",
+)
+def _(e):
+    """Three batches; the second consumer is down for one of them at first, refuses some rows for good, some each time and some once."""
+    spark, down = e.sparkSession, [False, True, False]
+    folder = shared_path(spark, "consumers")
+    rows = e.select(F.concat(F.lit("web."), "event_type").alias("subject"), F.col("event_id").cast("string").alias("dedup_key"), "event_id")
+
+    def every(batch, key):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/all/{key}")
+
+    def clicks(batch, key):
+        if down and down.pop(0):
+            raise OSError("down")
+        digit = F.col("event_id") % 10
+        bad = (digit == 0) | (digit == 1) | ((digit == 2) & (F.col("delivered") == 1))
+        batch.where(~bad).write.mode("overwrite").parquet(f"{folder}/out/clicks/{key}")
+        return batch.where(bad).select("dedup_key", F.lit("refused").alias("error"), (digit == 0).alias("poison"))
+
+    fan = Fanout(spark, folder, [Consumer("all", "web.>", every), Consumer("clicks", "web.click", clicks, most=3)])
+    for i in range(3):
+        fan(rows.where(F.col("event_id") % 3 == i), i)
+    fan.drain()
+    told = [(name, spark.read.parquet(f"{folder}/out/{name}/*"), "handled") for name in ("all", "clicks")] + [("clicks", fan.dead_letters("clicks"), "dead")]
+    out = [df.select(F.lit(name).alias("consumer"), "event_id", F.lit(outcome).alias("outcome"), "delivered") for name, df, outcome in told]
+    return out[0].unionByName(out[1]).unionByName(out[2])
