@@ -59,6 +59,30 @@ def resolved_places(mentions: DataFrame, key: str, gazetteer: DataFrame, most: i
     return rows.select(key, "district", unit.alias("unit"), F.when(F.size(inside) > 1, "several municipalities").otherwise(F.col("reason")).alias("reason"))
 
 
+def redirected(mentions: DataFrame, key: str, column: str, twins: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """key, iri, district and reason of places that the gazetteer (iri, kind, parent, name) doesn't know as written, but other entries do.
+
+    twins (iri, titles: preferred first): an entry that isn't in the gazetteer, with a title equal to the place, leads to what the first of its titles names there: the one district of the name,
+    else the one unit. Twins that lead to several units of one district bind the district; to several districts, nothing. ``key`` is unique; a null place has no twin.
+    """
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    ends = {f"{k}_{f.__name__}": f(of(k, F.col("iri"))) for k in ("district", "unit") for f in (F.min, F.max)}
+    named = gazetteer.groupBy(place_key("name").alias("_k")).agg(*(x.alias(name) for name, x in ends.items()), F.min(of("unit", F.col("parent"))).alias("parent"))
+    one = lambda kind: F.col(f"{kind}_min") == F.col(f"{kind}_max")  # noqa: E731  least and greatest agree: there is one
+    target = F.when(one("district"), F.struct(F.col("district_min").alias("iri"), F.col("district_min").alias("district"))).when(one("unit"), F.struct(F.col("unit_min").alias("iri"), F.col("parent").alias("district")))
+    targets = named.select("_k", target.alias("_to")).where("_to is not null")
+    forms = twins.join(gazetteer.select("iri").distinct(), "iri", "left_anti").select(F.col("iri").alias("_twin"), F.posexplode("titles").alias("_at", "_title"))
+    forms = forms.select("_twin", "_at", place_key("_title").alias("_k")).where("_k <> ''")
+    to = forms.join(targets, "_k").groupBy("_twin").agg(F.min_by("_to", "_at").alias("_to"))
+    led = forms.select("_twin", "_k").distinct().join(to, "_twin").withColumn("_d", F.coalesce("_to.district", F.lit("")))
+    known = led.groupBy("_k").agg(F.min("_to.iri").alias("_a"), F.max("_to.iri").alias("_b"), F.min("_d").alias("_c"), F.max("_d").alias("_d"))
+    rows = mentions.select(key, place_key(column).alias("_k")).join(known, "_k", "left")
+    agree = F.col("_c") == F.col("_d")
+    district = F.when(agree, F.nullif("_c", F.lit("")))
+    iri = F.when(agree, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(district))
+    return rows.select(key, iri.alias("iri"), district.alias("district"), F.when(F.col("_a").isNull(), "no twin").when(~agree, "twins disagree").alias("reason"))
+
+
 def court_places(courts: DataFrame, key: str, districts: DataFrame, seats: DataFrame, provinces: DataFrame, national: list[str]) -> DataFrame:
     """``courts`` with district and province: a district court has its own (districts: court, district), a high court the province of its seat (seats: court, district)
     without a district, a national one "national". Unknown courts have neither. The three tables are a register of at most some hundred courts each.

@@ -1,12 +1,13 @@
-"""Queries over stores that change by files, over streams with several consumers and over files of other formats; they extend ``plans.catalog``."""
+"""Queries over stores that change by files, streams with several consumers, files of other formats, scraped text and twins of places; they extend ``plans.catalog``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.operators import upsert
-from civicframe.sources import keyed
+from civicframe.functions import text as tx
+from civicframe.operators import places, upsert
+from civicframe.sources import keyed, readers
 from civicframe.storage import shared_path
 from civicframe.streaming.consumers import Consumer, Fanout
 
@@ -107,3 +108,104 @@ def _(e):
     told = [(name, spark.read.parquet(f"{folder}/out/{name}/*"), "handled") for name in ("all", "clicks")] + [("clicks", fan.dead_letters("clicks"), "dead")]
     out = [df.select(F.lit(name).alias("consumer"), "event_id", F.lit(outcome).alias("outcome"), "delivered") for name, df, outcome in told]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# -- files of other formats ----------------------------------------------------------------------------------------------------
+
+
+@query("SRC2_shards", "part", sql="select p_partkey, p_name, case when p_partkey % 2 = 0 then p_size end p_size, 'deep' as config from part union all select p_partkey, p_name, null, 'flat' from part")
+def _(p):
+    """A config of several shards, of which some lack a column, and one of a single file's name."""
+    spark, folder = p.sparkSession, shared_path(p.sparkSession, "shards")
+    p.where("p_partkey % 2 = 0").select("p_partkey", "p_name", "p_size").write.parquet(f"{folder}/deep")
+    p.where("p_partkey % 2 = 1").select("p_partkey", "p_name").write.mode("append").parquet(f"{folder}/deep")
+    p.select("p_partkey", "p_name").write.parquet(f"{folder}/flat.parquet")
+    deep, flat = (readers.shards(spark, folder, name).withColumn("config", F.lit(name)) for name in ("deep", "flat"))
+    return deep.unionByName(flat, allowMissingColumns=True)
+
+
+@query("SRC7_event_lines", "events", sql="select event_id, event_type, case when event_id % 4 > 1 then user_id end user_id from events where event_id % 4 > 0")
+def _(e):
+    """Every fourth line is cut off, and of the others some lack a field."""
+    spark, path = e.sparkSession, shared_path(e.sparkSession, "event-lines")
+    line = F.to_json(F.struct("event_id", "event_type", F.when(F.col("event_id") % 4 > 1, F.col("user_id")).alias("user_id")))
+    e.select(F.when(F.col("event_id") % 4 == 0, F.substring(line, 1, 12)).otherwise(line)).write.text(path)
+    return readers.json_lines(spark, path, "event_id long, event_type string, user_id long")
+
+
+@query("SRC8_crawl_resumed", "documents", sql="select doc_id, source from documents where doc_id % 3 = 2 or doc_id % 7 = 0")
+def _(d):
+    """A cache of what was fetched, some of its lines broken by a crash: those are to be fetched again."""
+    spark, path = d.sparkSession, shared_path(d.sparkSession, "crawl")
+    line = F.to_json(F.struct("doc_id", "text"))
+    d.where("doc_id % 3 < 2").select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line)).write.text(path)
+    return readers.unseen(readers.json_lines(spark, path, "doc_id long, text string"), d.select("doc_id", "source"), "doc_id")
+
+
+@query("SRC10_batch_slugs", "part", sql="select slug, row_number() over (order by first) as position from (select p_brand slug, min(p_partkey) as first from part where p_partkey % 3 > 0 group by 1)")
+def _(p):
+    """Files in the order of part keys; every third line is blank."""
+    spark, path = p.sparkSession, shared_path(p.sparkSession, "slugs")
+    slug = F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" ")))
+    ordered = p.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").select(slug.alias("slug"), F.lit("x").alias("note"))
+    ordered.write.option("header", "true").options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return readers.batch_slugs(spark, path)
+
+
+# -- text of scraped pages -----------------------------------------------------------------------------------------------------
+
+
+@query("STR19_mojibake", "customer", sql="select c_custkey, 'अदालत ' || c_name || case when c_custkey % 3 = 2 then ' é' else '' end as name from customer")
+def _(c):
+    text = F.concat(F.lit("अदालत "), "c_name", F.when(F.col("c_custkey") % 3 == 2, " é").otherwise(""))
+    garbled = F.when(F.col("c_custkey") % 3 == 0, text).otherwise(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
+    return c.select("c_custkey", tx.repaired_mojibake(garbled).alias("name"))
+
+
+@query(
+    "STR29_cells",
+    "supplier",
+    sql="""
+    select s_suppkey, case when s_suppkey % 5 > 0 then 'माननीय ' || s_name || ', माननीय श्याम' end judges, s_name || ' (' || s_nationkey || ')' note,
+        case when s_suppkey % 4 > 0 then s_suppkey end::int as count from supplier""",
+)
+def _(s):
+    judges = F.when(F.col("s_suppkey") % 5 == 0, " \n ").otherwise(F.concat(F.lit("  माननीय \t"), "s_name", F.lit("माननीय  श्याम ")))
+    note = F.concat(F.lit("'"), "s_name", F.lit("(  "), "s_nationkey", F.lit(" )'"))
+    count = F.when(F.col("s_suppkey") % 4 == 0, "none").otherwise(F.concat(tx.devanagari_digits(F.col("s_suppkey").cast("string")), F.lit(" पटक")))
+    return s.select("s_suppkey", tx.split_judges(judges).alias("judges"), tx.spaced_parentheses(note).alias("note"), tx.counted(count).alias("count"))
+
+
+# -- places ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "ENT13_redirects",
+    "customer",
+    "supplier",
+    "nation",
+    "region",
+    sql="""
+    with t as (
+        select case c_custkey % 3 when 0 then 'unit ' || c_nationkey when 1 then 'area ' || n_regionkey else 'mixed ' || c_custkey % 4 end k,
+            'u' || c_nationkey iri, 'd' || n_regionkey d
+        from customer join nation on c_nationkey = n_nationkey),
+    g as (select k, count(distinct iri) i, count(distinct d) n, min(iri) iri, min(d) d from t group by 1),
+    m as (
+        select s_suppkey, case s_suppkey % 4 when 0 then 'unit ' || s_nationkey when 1 then 'area ' || n_regionkey when 2 then 'mixed 2' else 'elsewhere' end k
+        from supplier join nation on s_nationkey = n_nationkey)
+    select s_suppkey, case when n > 1 then null when i > 1 then d else iri end iri, case when n is null then 'no twin' when n > 1 then 'twins disagree' end reason
+    from m left join g using (k)""",
+)
+def _(c, s, n_, r):
+    """Entries without a code bear a local title and, in another script, that of a unit."""
+    none = F.lit(None).cast("string")
+    districts = r.select(F.concat(F.lit("d"), "r_regionkey").alias("iri"), F.lit("district").alias("kind"), none.alias("parent"), F.col("r_name").alias("name"))
+    units = n_.select(F.concat(F.lit("u"), "n_nationkey").alias("iri"), F.lit("unit").alias("kind"), F.concat(F.lit("d"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey") % 3
+    local = F.when(k == 0, F.concat(F.lit("Unit "), "c_nationkey")).when(k == 1, F.concat(F.lit("Area, "), "n_regionkey")).otherwise(F.concat(F.lit("MIXED "), F.col("c_custkey") % 4))
+    twins = c.join(n_, c.c_nationkey == n_.n_nationkey).select(F.concat(F.lit("c"), "c_custkey").alias("iri"), F.array(local, "n_name").alias("titles"))
+    q = F.col("s_suppkey") % 4
+    at = F.when(q == 0, F.concat(F.lit("unit-"), "s_nationkey")).when(q == 1, F.concat(F.lit("(area "), "n_regionkey", F.lit(")"))).when(q == 2, "Mixed 2").otherwise("elsewhere")
+    mentions = s.join(n_, s.s_nationkey == n_.n_nationkey).select("s_suppkey", at.alias("place"))
+    return places.redirected(mentions, "s_suppkey", "place", twins, districts.unionByName(units)).select("s_suppkey", "iri", "reason")

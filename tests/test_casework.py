@@ -166,3 +166,22 @@ def test_canonical_ids(spark):
     ids = ["http://evil.com/entity/person/a-b/", "https://x.org/entity/organization/gov/x", "https://x.org/entity/a", "https://x.org/entity/person/A", "entity/person/a", "", None]
     got = [g[0] for g in values(spark, ids, lambda x: web.canonical_iri("https://r.org", x))]
     assert got == ["https://r.org/entity/person/a-b", "https://r.org/entity/organization/gov/x", None, None, None, None, None]
+
+
+def test_twins_without_a_code_lead_to_the_gazetteer(spark):
+    gazetteer = spark.createDataFrame(
+        [("d1", "district", None, "Kavre"), ("d2", "district", None, "Rukum"), ("d3", "district", None, "Rukum"), ("u1", "unit", "d1", "Banepa"), ("u2", "unit", "d1", "Panauti"), ("u3", "unit", "d2", "Musikot"),
+         ("u4", "unit", "d3", "Musikot"), ("u5", "unit", None, "Lost")],
+        "iri string, kind string, parent string, name string",
+    )
+    twins = spark.createDataFrame(
+        [("t1", ["Old Town", "Banepa"]), ("t2", ["Valley", "Banepa"]), ("t3", ["Valley", "Panauti"]), ("t4", ["Hills", "Musikot"]), ("t5", ["Both", "Kavre"]), ("t6", ["Both", "Lost"]),
+         ("t7", [None, "Far", "Lost"]), ("u1", ["Coded", "Banepa"]), ("t8", ["Kavre", "Banepa", "First"]), ("t9", ["Rukum", "Banepa"]), ("t10", None)],
+        "iri string, titles array<string>",
+    )
+    asked = ["old  town!", "Valley", "Hills", "Both", "far", "Coded", "First", "Rukum", "nowhere", None, ""]
+    out = places.redirected(spark.createDataFrame(list(enumerate(asked)), "k int, place string"), "k", "place", twins, gazetteer)
+    assert [tuple(r)[1:] for r in sorted(out.collect())] == [
+        ("u1", "d1", None), ("d1", "d1", None), (None, None, "no twin"), (None, None, "twins disagree"), ("u5", None, None), (None, None, "no twin"), ("d1", "d1", None), ("u1", "d1", None),
+        (None, None, "no twin"), (None, None, "no twin"), (None, None, "no twin"),
+    ]
