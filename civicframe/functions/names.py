@@ -111,6 +111,13 @@ def _same(a: Column, b: Column) -> Column:
     return (a["raw"] == b["raw"]) | (~(has_devanagari(a["raw"]) & has_devanagari(b["raw"])) & F.arrays_overlap(a["forms"], b["forms"]))
 
 
+def heads(short: Column, long: Column) -> Column:
+    """Whether a name (``name_tokens``) is how a longer one begins, word by word."""
+    places = F.sequence(F.lit(1), F.size(short))
+    begins = F.forall(places, lambda i: _same(F.try_element_at(short, i), F.try_element_at(long, i)))
+    return F.when((F.size(short) > 0) & (F.size(long) > F.size(short)), begins).otherwise(False)
+
+
 def match_score(left: Column, right: Column, surnames: Collection[str] = (), particles: Collection[str] = ()) -> Column:
     """How near two names (``name_tokens``) are to one entity's: 1 if equal, 0 if they must not bind.
 

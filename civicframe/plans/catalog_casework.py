@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicframe.functions import evidence, names, scripts, web
-from civicframe.operators import casework, documents, places
+from civicframe.operators import casework, decisions, documents, places
 from civicframe.operators.rules import Rules
 
 from .catalog import query
@@ -79,6 +79,47 @@ def _(c):
     return c.select("c_custkey", names.name_veto(name, ["district", "office"]).alias("veto"), names.province_veto(name, where, {"gandaki": ["गण्डकी", "gandaki"]}).alias("province"))
 
 
+@query(
+    "ENT6_ladder",
+    "part",
+    sql="""
+    with d as (select p_name, string_split(p_name, ' ')[1] w1, min(p_partkey) k from part group by 1, 2),
+    ents as (
+        select 'e:' || p_name entity, p_name title, w1, k from d
+        union all select 'o:' || p_name, p_name || ' office', w1, k from d
+        union all select 'f:' || p_name, p_name || ' office parsa', w1, k from d where k % 2 = 0
+        union all select 's:' || w1, w1, w1, min(k) from d group by w1),
+    edges as (select w1, min(k % 3) low from ents group by 1),
+    m as (
+        select p_partkey, string_split(p_name, ' ')[1] w1,
+            case p_partkey % 5 when 1 then string_split(p_name, ' ')[1] when 2 then p_name || ' office' when 3 then string_split(p_name, ' ')[1] || ' zzz' else p_name end title
+        from part),
+    r as (
+        select p_partkey as mention, entity,
+            case when entity is null then 'below the threshold' when p_partkey % 2 = 1 and low >= k % 3 then 'search cut' when p_partkey % 5 = 1 then 'single token'
+                when p_partkey % 5 = 2 and k % 2 = 0 then 'unqualified organisation' when k % 4 = 0 then 'record not read' when k % 4 = 1 then 'election record' end reason
+        from m left join ents using (title, w1) left join edges using (w1))
+    select mention, case when reason is null then entity end entity, entity as best, case when entity is null then 'NO_MATCH' when reason is null then 'BIND' else 'REVIEW' end verdict, reason
+    from r""",
+)
+def _(p):
+    """Names of parts, some cut, qualified or with a particle, against what a search for their first word gives."""
+    first = F.split("p_name", " ")[0]
+    d = p.groupBy("p_name", first.alias("w1")).agg(F.min("p_partkey").alias("k"))
+    of = lambda df, tag, name, title: df.select(F.concat(F.lit(tag), name).alias("entity"), title.alias("title"), "w1", "k")
+    name = F.col("p_name")
+    entities = of(d, "e:", name, name).unionByName(of(d, "o:", name, F.concat(name, F.lit(" office")))).unionByName(of(d.where("k % 2 = 0"), "f:", name, F.concat(name, F.lit(" office parsa"))))
+    entities = entities.unionByName(of(d.groupBy("w1").agg(F.min("k").alias("k")), "s:", F.col("w1"), F.col("w1")))
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 1, first).when(k == 2, F.concat(name, F.lit(" Office."))).when(k == 3, F.concat(first, F.lit(" zzz"))).when(k == 4, F.replace(name, F.lit(" "), F.lit(" old "))).otherwise(name)
+    mentions = p.select(F.col("p_partkey").alias("mention"), said.alias("name"), (F.col("p_partkey") % 2 == 0).alias("complete"), first.alias("w1"))
+    election = F.when(F.col("k") % 4 == 1, True).when(F.col("k") % 4 > 1, False)
+    found = mentions.select("mention", "w1").join(entities, "w1").select(
+        "mention", "entity", F.array("title").alias("titles"), (F.col("k") % 3).cast("double").alias("relevance"), F.lit(False).alias("coded"), F.lit(None).cast("string").alias("province"), election.alias("election")
+    )
+    return decisions.decided(mentions, found, decisions.Lexicon(particles=["old"], generic=["office"])).select("mention", "entity", "best", "verdict", "reason")
+
+
 @query("STR21_publisher", "documents", sql="select doc_id, case when doc_id % 2 = 0 then lower(trim(source)) when doc_id % 3 = 0 then 'moha.gov.np' end publisher from documents")
 def _(d):
     even = F.col("doc_id") % 2 == 0
