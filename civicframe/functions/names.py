@@ -7,9 +7,8 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dockets import bound
 from .scripts import to_roman_colloquial
-from .text import c, devanagari_nfc, has_devanagari
+from .text import bound, c, devanagari_nfc, has_devanagari
 
 ZERO_WIDTH = "​‌‍﻿"
 #: Letters that registers interchange, as they are and as they are folded.

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dockets import bound
-from .text import ASCII, DEVANAGARI, c, devanagari_nfc, has_devanagari
+from .text import ASCII, DEVANAGARI, bound, c, devanagari_nfc, has_devanagari
 
 NUKTA = "\u093c"
 #: Fixed values (the IAST scheme): consonants, independent vowels, vowel signs, other marks.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from unicodedata import normalize
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def ascii_digits(x: str | Column) -> Column:
     return F.translate(c(x), DEVANAGARI, ASCII)
 
@@ -178,6 +184,32 @@ def windows(text: str | Column, size: int, overlap: int) -> Column:
     return F.transform(no, lambda i: F.struct(i.alias("no"), (i * step).alias("start"), t.substr(i * step + 1, F.lit(size)).alias("body")))
 
 
+def snapped_windows(text: str | Column, size: int, overlap: int, slack: int, first: str | Column | int = 0, most: int | None = None) -> Column:
+    """Windows whose ends snap back to a line end, as array<struct<start, end, body>>: at most ``most`` of them, if given.
+
+    A window aims at ``size`` characters (the first one at ``first`` more, such as a caption); it ends behind the last line end in the last ``slack`` of these, if that leaves more than
+    ``overlap``, and the next starts ``overlap`` before its end. An empty text has one empty window.
+    """
+    t = F.coalesce(c(text), F.lit(""))
+    n = F.length(t)
+    steps = F.floor(n / max(1, size - overlap - slack)).cast("int") + 2
+    steps = F.least(steps, F.lit(most)) if most else steps
+    extra = F.lit(first) if isinstance(first, int) else F.coalesce(c(first), F.lit(0)).cast("int")
+
+    def window(state: Column, step: Column) -> Column:
+        start = state["start"]
+        target = start + size + F.when(step == 1, extra).otherwise(0)
+        low = F.greatest(start, target - slack)
+        back = F.instr(F.reverse(t.substr(low + 1, target - low)), "\n")
+        end = F.when(target >= n, n).when((back > 0) & (target - back + 1 > start + overlap), target - back + 1).otherwise(target)
+        made = bound(end, lambda e: F.struct(F.array_append(state["out"], F.struct(start.alias("start"), e.alias("end"))).alias("out"), (e - overlap).alias("start"), (e >= n).alias("done")))
+        return F.when(state["done"], state).otherwise(made)
+
+    empty = F.array().cast("array<struct<start: int, end: int>>")
+    cuts = F.aggregate(F.sequence(F.lit(1), steps), F.struct(empty.alias("out"), F.lit(0).alias("start"), F.lit(False).alias("done")), window, lambda s: s["out"])
+    return F.transform(cuts, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), t.substr(w["start"] + 1, w["end"] - w["start"]).alias("body")))
+
+
 #: Patterns of what is redacted, by class; our own.
 REDACTED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "card": r"[0-9]{16}"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.dockets import bound
+from civicframe.functions.text import bound
 
 
 def place_key(x: str | Column) -> Column:

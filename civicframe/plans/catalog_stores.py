@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicframe.functions import redaction
 from civicframe.functions import text as tx
 from civicframe.operators import places, upsert
 from civicframe.sources import keyed, readers
@@ -209,3 +210,45 @@ def _(c, s, n_, r):
     at = F.when(q == 0, F.concat(F.lit("unit-"), "s_nationkey")).when(q == 1, F.concat(F.lit("(area "), "n_regionkey", F.lit(")"))).when(q == 2, "Mixed 2").otherwise("elsewhere")
     mentions = s.join(n_, s.s_nationkey == n_.n_nationkey).select("s_suppkey", at.alias("place"))
     return places.redirected(mentions, "s_suppkey", "place", twins, districts.unionByName(units)).select("s_suppkey", "iri", "reason")
+
+
+# -- windows and redaction ---------------------------------------------------------------------------------------------------------
+
+
+def _ended(rows: str) -> str:
+    """SQL for the end of a window (t, s, target): 300 characters, overlap 40, slack 100."""
+    part = f"(select *, greatest(s, target - 100) low, instr(reverse(substr(t, greatest(s, target - 100) + 1, target - greatest(s, target - 100))), chr(10)) back from {rows})"
+    return f"(select *, case when target >= length(t) then length(t) when back > 0 and target - back + 1 > s + 40 then target - back + 1 else target end e from {part})"
+
+
+@query(
+    "STR24_snapped_windows",
+    "documents",
+    sql=f"""
+    with recursive d as (select doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10)) t from documents),
+    w as (
+        select doc_id, t, 0 s, 300 + doc_id % 50 target from d
+        union all select doc_id, t, e - 40, e - 40 + 300 from {_ended("w")} where e < length(t))
+    select doc_id, s::int as start, e::int as "end", sha256(substr(t, s::bigint + 1, (e - s)::bigint)) body from {_ended("w")}""",
+)
+def _(d):
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n"))
+    w = d.select("doc_id", F.inline(tx.snapped_windows(text, 300, 40, 100, F.col("doc_id") % 50)))
+    return w.select("doc_id", "start", "end", F.sha2("body", 256).alias("body"))
+
+
+@query(
+    "STR27_published",
+    "documents",
+    sql="""
+    with d as (select doc_id, coalesce(text, '') t from documents),
+    e as (select doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) + (doc_id % 5 = 1)::int n from d)
+    select doc_id, case when doc_id % 5 = 2 then 'withheld' else 'told' end as action, case when doc_id % 5 = 2 then 'citizenship' else '' end residual, n::int email from e""",
+)
+def _(d):
+    """To some texts a mail address is added, to others a number in a shape that no rule takes out."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 1, " a.b@example.org ").when(F.col("doc_id") % 5 == 2, "\ncitizenship no: 12/345/6789").otherwise(""))
+    out = redaction.published(d.select("doc_id", t.alias("text")), "text", "contact")
+    action = F.when(F.col("action") == "withheld", "withheld").otherwise("told")
+    mails = F.coalesce(F.try_element_at("counts", F.lit("email")), F.lit(0))
+    return out.select("doc_id", action.alias("action"), F.array_join(F.map_keys("residual"), ",").alias("residual"), mails.alias("email"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.dockets import bound
+from civicframe.functions.text import bound
 from civicframe.functions.text import ascii_digits, c
 from civicframe.session import ship_active
 
