@@ -171,11 +171,11 @@ def _(p):
 @query(
     "AGG20_pinned_facet",
     "part",
-    sql="""with c as (select p_type as value, count(*) n from part group by 1), t as (select * from c order by n desc, value limit 2)
-    select * from t union select * from c where value in ('SMALL', 'PROMO', 'ECONOMY', 'none')""",
+    sql="""with c as (select p_type as value, count(*) n from part group by 1), t as (select * from c order by n desc, value limit 3)
+    select * from t union select * from c where value in ('SMALL', 'PROMO', 'ECONOMY', 'STANDARD', 'none')""",
 )
 def _(p):
-    return search.pinned(p.groupBy(F.col("p_type").alias("value")).agg(n()), 2, ["SMALL", "PROMO", "ECONOMY", "none"])
+    return search.pinned(p.groupBy(F.col("p_type").alias("value")).agg(n()), 3, ["SMALL", "PROMO", "ECONOMY", "STANDARD", "none"])
 
 
 @query("AGG21_global_extent", "orders", sql="select round(min(o_totalprice), 2) low, round(max(o_totalprice), 2) high, count(*) n from orders")
