@@ -29,6 +29,8 @@ TREES, BASE, DEPTH = 28, 4, 8
 WEIGHT, MEMBERS = 1 << 20, 256
 #: The same, where blocks of different components meet.
 BLOCK = 512
+#: Edges whose components one task finds; more go in rounds over the cluster.
+FEW = 10_000
 #: Trees whose orders are cut into chunks in dense regions, and vertices with many links that all others of a region are compared with then.
 SEEDS, HUBS = 8, 48
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -252,15 +254,36 @@ def _compare(percent: int):
     return run
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and root of every vertex of ``FEW`` edges at most."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above.setdefault(up, up)
+            x = above[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(*pylists(b, "u", "v"), strict=True):
+            u, v = root(u), root(v)
+            above[max(u, v)] = min(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(above, pa.int64()), pa.array([root(x) for x in [*above]], pa.int64())], names=["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and root of every vertex of ``edges`` (u, v): root is the smallest id of its component.
 
     Each round maps a vertex to the smallest of itself and its neighbours and contracts the edges. The ids are hashes, so about
     half of the vertices go in a round, whatever the shape. Aggregates combine before the shuffle: a hub is one row from each task.
+    The last ``FEW`` edges are contracted at once: rounds over them would cost the driver as many jobs and tasks as those over all.
     """
     maps = []
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    while not edges.isEmpty():
+    while n := edges.count():
+        if n <= FEW:
+            maps.append(cut(edges.coalesce(1).mapInArrow(_finish, "id long, root long"), "step"))
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("root")), "step")
         maps.append(step)
@@ -272,7 +295,7 @@ def components(edges: DataFrame) -> DataFrame:
     out = maps[0]
     for step in maps[1:]:
         out = out.join(step.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    return cut(out, "components")
+    return cut(out, "components") if len(maps) > 1 else out
 
 
 def _blocks(weight: Column, members: Column) -> Column:

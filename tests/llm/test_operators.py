@@ -727,6 +727,23 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 150: 100, 200: 100}
 
 
+def test_components_of_few_edges(spark, monkeypatch):
+    """Few edges are one step, for which the driver runs no rounds; more go in rounds until few are left. The roots are the same."""
+    edges = [(k * 7919 % 3001, (k + 1) * 7919 % 3001) for k in range(2000)] + [(5000, k) for k in range(5001, 5300)] + [(7000, 6000), (6000, 7000), (8000, 8000)]
+    want = {x: min(k * 7919 % 3001 for k in range(2001)) for x in (k * 7919 % 3001 for k in range(2001))} | dict.fromkeys(range(5000, 5300), 5000) | {6000: 6000, 7000: 6000}
+    written, plain = [], near_dups.cut
+    monkeypatch.setattr(near_dups, "cut", lambda df, name: written.append(name) or plain(df, name))
+    steps = []
+    for few in (near_dups.FEW, 100, 0):
+        monkeypatch.setattr(near_dups, "FEW", few)
+        written.clear()
+        got = rows(near_dups.components(spark.createDataFrame(edges, "u long, v long")))
+        assert len(got) == len(want) and {r["id"]: r["root"] for r in got} == want
+        steps.append(written.count("step"))
+    assert steps[0] == 1 < steps[1] < steps[2]
+    assert rows(near_dups.components(spark.createDataFrame([], "u long, v long"))) == []
+
+
 def test_token_counts(spark, sf, docs):
     from tokenizers import Tokenizer
 
