@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TIERS = ("identifiers", "contact", "strict")
 D = "[0-9०-९]"
 _GAP = r"[^\p{L}\n]{0,6}"
+#: Stands for what was taken out while a text is looked at again: a letter, so that no gap reaches over it, but of no label and no value, as the names of classes are.
+MARK = "[ʘ]"
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,11 @@ def rules(tier: str) -> list[Rule]:
     return [r for r in RULES if TIERS.index(r.tier) <= TIERS.index(tier)]
 
 
-def redacted(x: str | Column, tier: str) -> Column:
+def redacted(x: str | Column, tier: str, mark: str | None = None) -> Column:
+    """The text with the name of its class in the place of each value, or with ``mark``."""
     out = F.col(x) if isinstance(x, str) else x
     for r in rules(tier):
-        out = F.regexp_replace(out, r.remove, f"[{r.kind}]")
+        out = F.regexp_replace(out, r.remove, mark or f"[{r.kind}]")
     return out
 
 
@@ -66,10 +69,12 @@ def published(df: DataFrame, column: str, tier: str, on_residue: str = "withhold
     if on_residue not in ("withhold", "keep"):
         raise ValueError(f"on_residue is withhold or keep, not {on_residue!r}")
     done = df.withColumns({"_new": redacted(column, tier), "counts": _found(F.col(column), {r.kind: r.remove for r in rules(tier)})})
-    done = done.withColumn("residual", residue("_new", tier))
+    # "[phone] 4913187196670932" has no label but the one that redaction wrote: such texts, and no others, are looked at with marks
+    done = done.withColumn("_left", residue("_new", tier))
+    done = done.withColumn("residual", F.when(F.size("_left") > 0, residue(redacted(column, tier, MARK), tier)).otherwise(F.col("_left")))
     left, changed = F.size("residual") > 0, ~F.col("_new").eqNullSafe(F.col(column))
     bad = "withheld" if on_residue == "withhold" else "refused"
     done = done.withColumn("action", F.when(left, bad).when(changed, "redacted").otherwise("same"))
     source = F.when(F.col("action").isin("withheld", "redacted"), F.col(column))
     text = F.when(F.col("action") == "refused", F.col(column)).when(F.col("action") != "withheld", F.col("_new"))
-    return done.withColumns({"source_text": source, column: text}).drop("_new")
+    return done.withColumns({"source_text": source, column: text}).drop("_new", "_left")

@@ -41,6 +41,16 @@ def test_residue_is_withheld_or_refused(spark):
             rows(spark, texts, **bad)
 
 
+def test_names_of_classes_are_no_labels(spark):
+    texts = [
+        "to +1 (836) 555-9331 4913187196670932 53.121.55.90", "passport AB123456 1234567, account 012345678 12345678, 12-34-56-78901 1234567",  # numbers that follow what was taken out
+        "[phone] 4913187196670932", "+1 (836) 555-9331 4913187196670932, mobile: 12-345-678", "phone +1 (836) 555-9331 4913187196670932",  # labels of the text itself, the last one's number is gone
+    ]
+    got = rows(spark, texts, "strict")
+    assert [(r["action"], r["residual"]) for r in got] == [("redacted", {}), ("redacted", {}), ("withheld", {"phone": 1}), ("withheld", {"phone": 1}), ("redacted", {})]
+    assert got[0]["text"] == "to [phone] 4913187196670932 53.121.55.90" and got[1]["text"] == "passport [passport] 1234567, account [account] 12345678, [citizenship] 1234567"
+
+
 def plain_windows(t, size, overlap, slack, first, most):
     out, start, target = [], 0, size + first
     while most is None or len(out) < most:
