@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def resolve_chain(nodes: DataFrame, hops: int = 10) -> DataFrame:
     return ends
 
 
+def nearest(start: Column, parent: Callable[[Column], Column], found: Callable[[Column], Column], hops: int) -> Column:
+    """``start`` if it is found, else the first found value above it, at most ``hops`` above; null if there is none.
+
+    For trees whose parents follow from the key (numbers, codes, paths), so that each row walks by itself: no join, and no recursion with a bound on all rows. ``parent`` is null at the top.
+    """
+    up = F.aggregate(F.sequence(F.lit(1), F.lit(hops)), start, lambda at, _: F.when(found(at), at).otherwise(parent(at)))
+    return F.when(found(up), up)
+
+
 def gaps(registers: DataFrame, keys: list[str], seq: str, tail: int = 0, block: int = 1 << 16) -> DataFrame:
     """keys, seq and kind (interior, tail) of the numbers that a register implies but doesn't hold.
 
