@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from civicframe.storage import cut
+
 
 def rebuild(spark: SparkSession, docs: DataFrame, folder: str, generation: int, live: DataFrame | None) -> DataFrame:
     """Writes a new generation and returns it; none is made if it would empty an index that has documents."""
@@ -35,11 +37,22 @@ def catch_up(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def index_tree(nodes: DataFrame, root: str) -> DataFrame:
-    """path and body of nodes (id, parent, label): one JSON object for each, its path from the root, equal in every run."""
-    spark = nodes.sparkSession
-    paths = spark.sql("""with recursive t(id, label, path) as (
-        select id, label, concat(:root, '/', id) from {nodes} where parent is null
-        union all select n.id, n.label, concat(t.path, '/', n.id) from {nodes} n join t on n.parent = t.id) select * from t""", args={"root": root}, nodes=nodes)
+    """path and body of nodes (id, parent, label) that hang on one without a parent: one JSON object for each, its path from the root, equal in every run.
+
+    Paths grow upwards and double their reach in every round, so a tree may have any number of nodes and levels. What hangs on no top, or on a cycle, has no path.
+    """
+    rows = cut(nodes.select("id", "label", F.col("parent").alias("top"), F.col("id").alias("path")), "nodes")
+    done, still = rows.where("top is null"), rows.where("top is not null")
+    while True:
+        # only the tops that are asked for: few of them, as near the root, are broadcast, and no task gets all that hangs on one
+        wanted = still.select(F.col("top").alias("id")).distinct()
+        tops = cut(done.unionByName(still).join(wanted, "id", "left_semi").select(F.col("id").alias("top"), F.col("top").alias("_next"), F.col("path").alias("_above")), "tops")
+        grown = cut(still.join(tops, "top").select("id", "label", F.col("_next").alias("top"), F.concat("_above", F.lit("/"), "path").alias("path")), "paths")
+        ended = grown.where("top is null")
+        if ended.isEmpty():  # nothing ends so far up, hence nothing further up: the others go round in circles
+            break
+        done, still = done.unionByName(ended), grown.where("top is not null")
+    paths = done.select(F.concat(F.lit(root), F.lit("/"), "path").alias("path"), "label")
     return paths.select("path", F.to_json(F.struct(F.concat("path", F.lit(".jsonld")).alias("@id"), "label", "path")).alias("body"))
 
 
