@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,34 +35,61 @@ def publisher_gate(records: DataFrame, key: str, publisher: Column, least: int)
     return counted.withColumn("held", F.col("publishers") < least)
 
 
-def _pair(pdf: pd.DataFrame, least: float, margin: float) -> Iterator[tuple]:
-    """Best first; a pair goes if a rival on either side, still open, is within the margin."""
-    by_a, by_b = {}, {}
-    rows = list(pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False))
-    for r in rows:
-        by_a.setdefault(r.a, []).append(r)
-        by_b.setdefault(r.b, []).append(r)
-    taken_a, taken_b = set(), set()
+def _pair(rows: list[tuple], least: float, margin: float) -> Iterator[tuple]:
+    """Of a docket's pairs (a, b, score), best first: a pair goes if a rival on either side, still open, is within the margin."""
+    by_a, by_b, taken_a, taken_b = {}, {}, set(), set()
+    for r in reversed(rows):  # so that the best stand last
+        by_a.setdefault(r[0], []).append(r)
+        by_b.setdefault(r[1], []).append(r)
+
+    def alone(r: tuple, own: list[tuple], end: int, taken: set) -> bool:
+        while own[-1][end] in taken:  # never open again
+            own.pop()
+        best = own[-1] if own[-1] is not r else next((x for x in reversed(own) if x is not r and x[end] not in taken), None)
+        return best is None or best[2] < r[2] - margin
+
     for r in rows:
-        if r.score < least:
-            break
-        if r.a in taken_a or r.b in taken_b:
-            continue
-        rivals = [x for x in by_a[r.a] if x.b != r.b and x.b not in taken_b] + [x for x in by_b[r.b] if x.a != r.a and x.a not in taken_a]
-        if all(x.score < r.score - margin for x in rivals):
-            taken_a.add(r.a)
-            taken_b.add(r.b)
-            yield r.docket, r.a, r.b, r.score
+        if r[2] >= least and r[0] not in taken_a and r[1] not in taken_b and alone(r, by_a[r[0]], 1, taken_b) and alone(r, by_b[r[1]], 0, taken_a):
+            taken_a.add(r[0])
+            taken_b.add(r[1])
+            yield r
+
+
+def _paired(least: float, margin: float):
+    """Pairs each docket of rows that are sorted by docket and best first; only the docket that is being read is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docket, held, schema = None, [], None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            schema, out = batch.schema, []
+            for d, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and d != docket and (d == d or docket == docket):  # NaN is one docket
+                    out += [(docket, *p) for p in _pair(held, least, margin)]
+                    held = []
+                docket = d
+                held.append(tuple(r))
+            yield made(out)
+        if held:
+            yield made([(docket, *p) for p in _pair(held, least, margin)])
+
+    return run
 
 
 def best_first_pairs(scored: DataFrame, margin: float = 0.05, least: float = 0.85) -> DataFrame:
     """One-to-one pairs within each docket (docket, a, b, score), the best first, of ``least`` or more; a pair with an open rival in the margin on either side goes.
 
-    A docket's candidates come to one task: they are the names of one case. Of repeated pairs the best score counts.
+    A docket's candidates come to one task: they are the names of one case. Python is called for batches of rows, whatever the number of dockets. Of repeated pairs the best score counts;
+    rows without a score are no candidates.
     """
-    once = scored.groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
+    near = scored.select("docket", "a", "b", "score").where(F.col("score") >= least - max(margin, 0))  # what is below isn't bound and is in no margin
+    once = near.repartition("docket").groupBy("docket", "a", "b").agg(F.max("score").alias("score"))
     ship(once.sparkSession)
-    return once.groupBy("docket").applyInPandas(lambda pdf: pd.DataFrame(list(_pair(pdf, least, margin)), columns=["docket", "a", "b", "score"]), once.schema)
+    ordered = once.sortWithinPartitions("docket", F.desc("score"), F.asc_nulls_last("a"), F.asc_nulls_last("b"))
+    return ordered.mapInArrow(_paired(least, margin), once.schema)
 
 
 def unrivalled(scored: DataFrame, margin: float = 0.05) -> DataFrame:
