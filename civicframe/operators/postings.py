@@ -1,25 +1,32 @@
 """A search index of postings, so that a query reads its own terms and, for the best hits, only the blocks that may hold one.
 
-A posting is a term in a field of a document: its frequency, its places, and its share of BM25 but for the term's rarity. Postings are written by buckets of terms and
-sorted by term, field and document, documents in blocks of consecutive numbers. Of each term, field and block a summary has the number of postings and the highest share. For the
-best k the summaries bound what a document of each block may score: the blocks with the highest bounds are read first, then those whose bound reaches the k-th
-score found. Phrases come from the places.
+A posting is a term in a field of a document: its frequency, its places, and its share of BM25 but for the term's rarity. Documents are turned into postings where they lie, block by
+block, and each task writes its own by buckets of terms, sorted by term and field: nothing is shuffled, and a document's words are stored once. Of each term, field and block there is one row:
+the number of postings, the highest share, and the postings themselves. For the best k the former bound what a document of each block may score: the blocks with the highest bounds are read
+first, then those whose bound reaches the k-th score found. Phrases come from the places.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from civicframe.operators.numbering import numbered
 from civicframe.operators.search import PHRASE, TITLES, TYPES, field_weights
+from civicframe.session import ship
 
 #: Documents in a block, buckets of terms, and blocks that are read before any is skipped.
 BLOCK, BUCKETS, FIRST = 4096, 64, 8
+#: A block of long documents ends at so many bytes, but holds a document at least; a task turns one block at a time.
+BYTES = 1 << 22
 K1, B = 1.2, 0.75
 #: Decimals that scores are ranked by, as sums of doubles depend on their order.
 DECIMALS = 6
@@ -29,8 +36,12 @@ def bucket(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
-def _words(x: str) -> Column:
-    return F.split(F.lower(F.coalesce(F.col(x), F.lit(""))), r"\s+")
+#: White space, to Spark and to Arrow.
+SPACE = r"[ \t\n\x0B\f\r]+"
+
+
+def _lower(x: str) -> Column:
+    return F.lower(F.coalesce(F.col(x), F.lit("")))
 
 
 @dataclass
@@ -47,36 +58,90 @@ class Index:
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """The postings of the terms; no other buckets are listed, and no other terms' row groups read."""
-        return self._of("postings", terms)
+        rows = self._of("postings", terms).select("term", "field", "block", "mean", F.inline("docs"))
+        tf = F.size("places")
+        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+        return rows.select("term", "field", "block", "key", "kind", "len", "places", tf.alias("tf"), share.alias("share"))
 
     def blocks(self, terms: Sequence[str]) -> DataFrame:
-        return self._of("blocks", terms)
+        """term, field, block, n (postings) and top (their highest share)."""
+        return self._of("postings", terms).select("term", "field", "block", "n", "top")
 
     def fields(self) -> DataFrame:
         """field, n (documents) and mean (words)."""
         return self.spark.read.parquet(f"{self.folder}/fields")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of a task in blocks of up to ``size`` documents and BYTES of text."""
+    held, docs, held_bytes = [], 0, 0
+    for batch in batches:
+        ends, at = np.cumsum(np.sum([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=0, dtype=np.int64)), 0
+        while at < batch.num_rows:
+            past = ends[at - 1] if at else 0
+            n = min(size - docs, batch.num_rows - at, max(int(np.searchsorted(ends, past + BYTES - held_bytes, "right")) - at, 0 if docs else 1))
+            if n:
+                held.append(batch.slice(at, n))
+                at, docs, held_bytes = at + n, docs + n, held_bytes + int(ends[at + n - 1] - past)
+            if docs == size or at < batch.num_rows:
+                yield held
+                held, docs, held_bytes = [], 0, 0
+    if held:
+        yield held
+
+
+def _inverted(means: Mapping[str, float], size: int):
+    """Turns documents (key, kind, and the text of each field in lower case) into a row for each term, field and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, rows in enumerate(_blocks(batches, size)):
+            table = pa.Table.from_batches(rows).combine_chunks()
+            for field in table.column_names[2:]:
+                words = pc.split_pattern_regex(table[field].chunk(0), SPACE)
+                lens = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                coded = words.flatten().dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")  # by term, then as they stand: by document and place
+                doc, at = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[order], (np.arange(len(code), dtype=np.int32) - np.repeat(np.cumsum(lens, dtype=np.int32) - lens, lens))[order]
+                code = code[order]
+                new_term = np.diff(code, prepend=-1) != 0
+                new_doc = new_term | (np.diff(doc, prepend=-1) != 0)
+                starts = np.flatnonzero(new_doc)  # of the postings among the places
+                tf, doc = np.diff(starts, append=len(code)), doc[starts]
+                terms = np.flatnonzero(new_term[starts])  # of the terms among the postings
+                length, mean = lens[doc], means[field]
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(at, pa.int32()))
+                key, kind = (table[x].chunk(0).take(pa.array(doc)) for x in ("key", "kind"))
+                docs = pa.StructArray.from_arrays([key, kind, pa.array(length, pa.int32()), places], ["key", "kind", "len", "places"])
+                n = len(terms)
+                columns = {
+                    "term": coded.dictionary.take(pa.array(code[starts[terms]])), "field": pa.repeat(field, n), "block": pa.array(np.full(n, first + i)), "n": pa.array(np.diff(terms, append=len(doc))),
+                    "top": pa.array(np.maximum.reduceat(share, terms)), "mean": pa.array(np.full(n, float(mean))), "docs": pa.ListArray.from_arrays(pa.array(np.append(terms, len(doc)), pa.int32()), docs),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
 def build(docs: DataFrame, key: str, fields: Sequence[str], folder: str, kind: str | None = None, block: int = BLOCK, buckets: int = BUCKETS) -> Index:
     """Writes the index of ``fields`` of ``docs`` by a unique ``key``; ``kind`` is a column that hits carry along. Null fields have one empty word, as everywhere in search."""
-    rows = docs.select(F.col(key).alias("key"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), *fields)
-    rows = numbered(rows, ["key"], name="doc", start=0)
-    each = F.array(*(F.struct(F.lit(f).alias("field"), _words(f).alias("words")) for f in fields))
-    long = rows.select("key", "kind", "doc", F.inline(each))
-    stats = long.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col(key).alias("key"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), *(_lower(f).alias(f"_{i}") for i, f in enumerate(fields)))
+    names = [f"_{i}" for i, _ in enumerate(fields)]
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.size(F.split(x, SPACE)).alias("len")) for f, x in zip(fields, names)))
+    stats = rows.select(F.inline(each)).groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     stats.write.mode("overwrite").parquet(f"{folder}/fields")
-    means = docs.sparkSession.read.parquet(f"{folder}/fields").select("field", "mean")
-    words = long.select("key", "kind", "doc", "field", F.size("words").alias("len"), F.posexplode("words").alias("at", "term"))
-    tf = words.groupBy("term", "field", "doc", "key", "kind", "len").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("tf", F.size("places"))
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    full = tf.join(F.broadcast(means), "field").withColumns({"share": share, "block": F.floor(F.col("doc") / block), "bucket": (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")})  # a row for each field
-    # ranges of term and document, not a task for each bucket: a frequent term is spread over many files of its bucket
-    order = ["bucket", "term", "field", "doc"]
-    full.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    written = docs.sparkSession.read.parquet(f"{folder}/postings")
-    tops = written.groupBy("bucket", "term", "field", "block").agg(F.count("*").alias("n"), F.max("share").alias("top"))
-    tops.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
-    return Index(docs.sparkSession, folder, buckets)
+    means = {r.field: r["mean"] for r in spark.read.parquet(f"{folder}/fields").collect()}  # a row for each field
+    posting = StructType().add("key", rows.schema["key"].dataType).add("kind", rows.schema["kind"].dataType).add("len", IntegerType()).add("places", ArrayType(IntegerType()))
+    schema = StructType().add("term", StringType()).add("field", StringType()).add("block", LongType()).add("n", LongType()).add("top", DoubleType()).add("mean", DoubleType()).add("docs", ArrayType(posting))
+    made = rows.mapInArrow(_inverted({x: means.get(f) for f, x in zip(fields, names)}, block), schema)
+    named = F.element_at(F.create_map(*(F.lit(x) for p in zip(names, fields) for x in p)), F.col("field"))
+    full = made.withColumns({"field": named, "bucket": (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")})
+    full.sortWithinPartitions("bucket", "term", "field", "block").write.option("compression", "zstd").mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    return Index(spark, folder, buckets)
 
 
 def _rarity(index: Index, weights: Mapping[str, float], blocks: DataFrame) -> DataFrame:
